@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import token_counts
+from linkloom.llm import mixing, packing, token_counts
 from linkloom.session import table
 
 TOKEN_LIMIT = 512
@@ -16,8 +16,54 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path, TOKEN_LIMIT)
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), path)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_mix_sources": op4_mix_sources,
+    "op5_pack": op5_pack,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The default ``MixPlan`` in SQL: tapes in digest order, water-filled targets, inverted schedules.
+OP4_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS source_key,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS digest
+  FROM documents),
+sources AS (
+  SELECT source_key, source_size, rank, w, cap, total FROM (
+    SELECT source_key, source_size, rank, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w,
+           (2 * source_size)::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS total
+    FROM (SELECT source_key, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source_key) - 1 AS rank FROM sized GROUP BY source_key))),
+levelled AS (
+  SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+            / sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM sources),
+water AS (SELECT level AS water FROM levelled WHERE level * w <= cap ORDER BY cap / w, rank LIMIT 1),
+targets AS (SELECT source_key, source_size, rank, coalesce(least(cap, (SELECT water FROM water) * w), cap) AS target FROM levelled),
+tape AS (
+  SELECT doc_id, size, source_size, target, rank,
+         coalesce(sum(size) OVER (PARTITION BY source_key ORDER BY substr(digest, 1, 15), doc_id, size
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM sized JOIN targets USING (source_key)),
+readings AS (
+  SELECT *, greatest(0, least(size, floor(target) - start))::BIGINT AS first, greatest(0, least(size, floor(target) - (source_size + start)))::BIGINT AS second,
+         CASE rank % 3 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS w0,
+         CASE rank % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END AS w1,
+         start / target AS share0, (source_size + start) / target AS share1
+  FROM tape)
+SELECT doc_id, size, source_size, target, first + second AS taken,
+       CASE WHEN first > 0 THEN least(1.0::DOUBLE, 2.0::DOUBLE * share0 / (w0 + sqrt(greatest(0.0::DOUBLE, w0 * w0 + 2.0::DOUBLE * (w1 - w0) * share0)))) END AS position,
+       CASE WHEN second > 0 THEN least(1.0::DOUBLE, 2.0::DOUBLE * share1 / (w0 + sqrt(greatest(0.0::DOUBLE, w0 * w0 + 2.0::DOUBLE * (w1 - w0) * share1)))) END AS repeat_position
+FROM readings
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL}
