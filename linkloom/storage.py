@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,3 +43,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/linkloom-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df``, marked for broadcast if it has no more than ``most_rows`` rows; else left to a shuffled join.
+
+    ``df`` should be a stored table, as it is counted here.
+    """
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
