@@ -92,8 +92,8 @@ def training_time(share: Column, rank: Column, plan: MixPlan) -> Column:
     return seg.t0 + (seg.t1 - seg.t0) * F.least(F.lit(1.0), inside)
 
 
-def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", carried: Sequence[str] = ()) -> DataFrame:
-    """One row per document, range-sorted by training position.
+def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", carried: Sequence[str] = (), ordered: bool = True) -> DataFrame:
+    """One row per document, range-sorted by training position if ``ordered``.
 
     Columns: ``doc_id``, ``size`` (words), ``source_size``, ``target`` (of its source), ``taken``
     (words the mix takes, repeats counted), ``position`` and ``repeat_position`` (training times
@@ -118,13 +118,14 @@ def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_i
             word_count(F.col("text")).alias("size"),
             F.conv(F.substring(digest, 1, 3), 16, 10).cast("int").alias("__bucket"),
             F.conv(F.substring(digest, 4, 12), 16, 10).cast("long").alias("__key"),
+            F.monotonically_increasing_id().alias("__row"),
             *(F.col(c).alias(f"__carried_{c}") for c in carried),
         ),
         "mix",
     )
     sources = source_targets(sized.groupBy("source_key").agg(F.sum("size").alias("source_size")), plan)
-    ties = [F.col(f"__carried_{c}") for c in carried]
-    placed = running_total(sized, ["source_key"], "__bucket", ["__key", "doc_id", "size", *ties], "size", "__start").join(sources, "source_key")
+    narrow = sized.select("doc_id", "source_key", "size", "__bucket", "__key", "__row")
+    placed = running_total(narrow, ["source_key"], "__bucket", ["__key", "doc_id", "size", "__row"], "size", "__start").join(sources, "source_key")
 
     def reading(i: int) -> Column:
         left = F.floor("target") - (F.col("source_size") * i + F.col("__start"))
@@ -136,8 +137,11 @@ def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_i
 
     taken = sum((reading(i) for i in range(1, plan.most_repeats)), reading(0))
     repeats = [time(i) for i in range(1, plan.most_repeats)]
-    return placed.select(
-        "doc_id", "size", "source_size", "target", taken.alias("taken"),
+    mixed = placed.select(
+        "__row", "doc_id", "size", "source_size", "target", taken.alias("taken"),
         time(0).alias("position"), (repeats[0] if repeats else F.lit(None).cast("double")).alias("repeat_position"),
-        *(F.col(f"__carried_{c}").alias(c) for c in carried),
-    ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    )
+    if carried:
+        mixed = mixed.join(sized.select("__row", *(F.col(f"__carried_{c}").alias(c) for c in carried)), "__row")
+    mixed = mixed.drop("__row")
+    return mixed if not ordered else mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")

@@ -11,13 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.mixing import source_key
-from linkloom.storage import checkpointed, written
+from linkloom.storage import broadcast_if_small, checkpointed, written
 
 #: ASCII white space, which separates words; and the symbols counted.
 BLANKS = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
+#: Estimates of up to so many (language, source) groups, about 200 bytes each, are broadcast.
+BROADCAST_GROUPS = 50_000
+
 #: The transformed statistics, in order.
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats", "capitals")
 
@@ -214,7 +217,7 @@ def robust_estimates(rows: DataFrame, plan: OutlierPlan) -> DataFrame:
     scale = plan.half / chi_square_cdf(chi_square_quantile(plan.half, d), d + 2)
     estimate = checkpointed(_first(rows, keys, plan.spread_floor).join(keys, "key").drop("key"))
     for _ in range(plan.steps):
-        near = rows.join(estimate, "group_key").withColumn("step", F.floor(F.log(_squared(d) + 1e-9) * 32).cast("long"))
+        near = rows.join(broadcast_if_small(estimate, BROADCAST_GROUPS), "group_key").withColumn("step", F.floor(F.log(_squared(d) + 1e-9) * 32).cast("long"))
         values = [F.col(f"f{i}") for i in range(d)]
         sums = {"n": F.lit(1)} | {f"s{i}": values[i] for i in range(d)} | {f"p{i}{j}": values[i] * values[j] for i in range(d) for j in range(i + 1)}
         by_step = near.groupBy("group_key", "step").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
@@ -249,7 +252,7 @@ def judge(docs: DataFrame, plan: OutlierPlan = OutlierPlan(), carried: Sequence[
     counted = written(counted.select("*", *(v.alias(f"f{i}") for i, v in enumerate(transformed()))), "quality")
     d = len(FEATURES)
     estimate = robust_estimates(counted.where(~F.col("base_failed")).select("lang_key", "group_key", *(f"f{i}" for i in range(d))), plan)
-    measured = counted.join(estimate, "group_key", "left").withColumn("distance", _squared(d))
+    measured = counted.join(broadcast_if_small(estimate, BROADCAST_GROUPS), "group_key", "left").withColumn("distance", _squared(d))
     within = F.coalesce(F.col("distance") <= chi_square_quantile(plan.keep, d), F.lit(True))
     return measured.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

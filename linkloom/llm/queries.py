@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import chat, html_text, mixing, packing, quality, secrets, token_counts
+from linkloom.llm import chat, html_text, mixing, ngram_join, packing, quality, secrets, token_counts
 from linkloom.session import table
 
 TOKEN_LIMIT = 512
@@ -40,6 +40,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("found")
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op5_pack": op5_pack,
     "op6_html_text": op6_html_text,
     "op7_quality": op7_quality,
+    "op8_ngram_join": op8_ngram_join,
     "op9_secrets": op9_secrets,
 }
 

@@ -74,8 +74,7 @@ def _linked(scanned: DataFrame, plan: LinkPlan) -> DataFrame:
     access identifier is near; an address where both an identifier and a secret (assigned,
     hexadecimal or such a token) are.
     """
-    both = scanned.where((F.size("__weak") > 0) & (F.size("__access") > 0))
-    width = plan.scope * 4
+    both, width = scanned, plan.scope * 4
 
     def dealt(array: str) -> DataFrame:
         rows = both.select("__row", F.explode(array).alias("s")).select("__row", (F.col("s.start") - plan.scope).alias("low"), (F.col("s.end") + plan.scope).alias("high"))
@@ -125,9 +124,12 @@ def scan(docs: DataFrame, plan: LinkPlan = LinkPlan(), carried: Sequence[str] =
     )
     apart = F.filter("__weak", lambda w: ~F.exists("__base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     scanned = written(second.withColumn("__weak", apart), "secrets")
-    joined = scanned.join(_linked(scanned, plan), "__row", "left")
+    linkable = (F.size("__weak") > 0) & (F.size("__access") > 0)
+    joined = scanned.where(linkable).join(_linked(scanned.where(linkable), plan), "__row", "left")
     every = F.array_sort(F.concat("__base", F.coalesce("__more", F.array().cast(SPAN))))
-    return joined.withColumn("found", every).select(
+    shown = [*outer, "doc_id", *(f"n_{k}" for k in KINDS[:3]), "__base"]
+    both = joined.select(*shown, every.alias("found")).unionByName(scanned.where(~linkable).select(*shown, F.col("__base").alias("found")))
+    return both.select(
         "doc_id", "n_assign", "n_access", "n_hex",
         F.sha2(listed(F.col("__base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), "found",
         *(F.col(o).alias(c) for o, c in zip(outer, carried, strict=True)),
