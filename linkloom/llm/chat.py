@@ -87,21 +87,25 @@ def _raised(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Iterative self-joins that double: per level each node's ancestor 2**level above, and at last depth and score sum.
 
     A path of n nodes takes log2(n) joins, each on (tree, node), which is unique, so that no
-    join is skewed by a large tree.
+    join is skewed by a large tree. Nodes that have met their root leave the joins, so a round
+    costs what is left of the long paths.
     """
     state = written(links.select("tree", "node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("score").alias("total")), "chat")
-    levels = []
-    while state.where(F.col("up").isNotNull()).limit(1).count():
-        levels.append(state.where(F.col("up").isNotNull()).select("tree", "node", "up"))
-        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("__up"), F.col("depth").alias("__depth"), F.col("total").alias("__total"))
+    levels, done = [], state.where(F.col("up").isNull())
+    while True:
+        left = state.where(F.col("up").isNotNull())
+        if not left.limit(1).count():
+            return levels, done
+        levels.append(left.select("tree", "node", "up"))
+        above = done.unionByName(left).select("tree", F.col("node").alias("up"), F.col("up").alias("__up"), F.col("depth").alias("__depth"), F.col("total").alias("__total"))
         state = written(
-            state.join(above, ["tree", "up"], "left").select(
+            left.join(above, ["tree", "up"], "left").select(
                 "tree", "node", F.col("__up").alias("up"),
                 (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("__total", F.lit(0.0))).alias("total"),
             ),
             "chat",
         )
-    return levels, state
+        done = done.unionByName(state.where(F.col("up").isNull()))
 
 
 def chosen_paths(nodes: DataFrame, plan: ChatPlan = ChatPlan()) -> DataFrame:
