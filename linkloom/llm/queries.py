@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkloom.llm import chat, html_text, mixing, ngram_join, packing, quality, secrets, token_counts
+from linkloom.llm import ann, chat, html_text, mixing, ngram_join, packing, quality, secrets, token_counts
 from linkloom.session import table
 
 TOKEN_LIMIT = 512
@@ -16,6 +17,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path, TOKEN_LIMIT)
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -50,6 +55,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_nearest": op2_nearest,
     "op3_chat_format": op3_chat_format,
     "op4_mix_sources": op4_mix_sources,
     "op5_pack": op5_pack,
@@ -59,6 +65,19 @@ QUERIES = {
     "op9_secrets": op9_secrets,
 }
 
+#: Exact search, as a factor of one gives.
+OP2_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, e, list_inner_product(e, e) AS square FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+  WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) / (sqrt(q.square) * sqrt(c.square)) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
 #: The default ``MixPlan`` in SQL: tapes in digest order, water-filled targets, inverted schedules.
 OP4_SQL = r"""
 WITH sized AS (
@@ -94,4 +113,4 @@ SELECT doc_id, size, source_size, target, first + second AS taken,
 FROM readings
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_nearest": OP2_SQL, "op4_mix_sources": OP4_SQL}
