@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.components import components
 from linkloom.llm.groups import grouped
-from linkloom.storage import written
+from linkloom.storage import broadcast_if_small, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Word digests a worker remembers; the store is emptied when full.
@@ -43,7 +43,7 @@ class JoinPlan:
     recall: float = 0.9999
     hashes: int = 128
     slack: float = 0.15
-    block: int = 1024
+    block: int = 512
     block_words: int = 2_000_000
 
     @property
@@ -107,7 +107,7 @@ def signature(grams: np.ndarray, n: int, hashes: int) -> np.ndarray:
     for at in range(0, len(grams), step):
         part = grams[None, at : at + step] * scale[:, None] + shift[:, None]
         np.minimum(least, part.min(axis=1), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+    return least
 
 
 def _sketched(text: Column, plan: JoinPlan) -> Column:
@@ -124,7 +124,7 @@ def _sketched(text: Column, plan: JoinPlan) -> Column:
             grams = ngram_set(words, plan.n)
             sig = signature(grams, plan.n, bands * rows)
             keys = [int.from_bytes(hashlib.blake2b(part.tobytes(), digest_size=8, salt=bytes([i])).digest(), "little", signed=True) for i, part in enumerate(sig.reshape(bands, rows))]
-            out.append({"digest": hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), "bands": keys, "signature": sig.tobytes(), "n_words": len(words), "words": pack.compress(words.tobytes())})
+            out.append({"digest": hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), "bands": keys, "signature": (sig >> np.uint64(48)).astype(np.uint16).tobytes(), "n_words": len(words), "words": pack.compress(words.tobytes())})
         kind = pa.struct([("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary()), ("n_words", pa.int64()), ("words", pa.binary())])
         return pa.array(out, kind)
 
@@ -155,7 +155,7 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         if n < 2:
             continue
         ids = group["rep"].to_numpy()
-        sigs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint32).reshape(n, -1)
+        sigs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(n, -1)
         enough = math.ceil(least * sigs.shape[1])
         pairs = []
         step = max(1, 4_000_000 // (n * sigs.shape[1]))
@@ -181,17 +181,27 @@ def _in_blocks(rows: DataFrame, key: str, blocks: str) -> DataFrame:
     return dealt.withColumn("g", pair)
 
 
-def candidate_clusters(reps: DataFrame, plan: JoinPlan) -> DataFrame:
+def shared_bands(sketched: DataFrame) -> DataFrame:
+    """(band, rep, n): each representative with the bands that it shares with n - 1 others.
+
+    Copies, which share all their bands, collapse to their smallest row within each band, before
+    the shuffle as far as a task sees them.
+    """
+    bands = sketched.where(F.col("digest").isNotNull()).select(F.xxhash64("digest").alias("d"), "row", F.posexplode("bands").alias("i", "hash"))
+    single = bands.groupBy(F.xxhash64("i", "hash").alias("band"), "d").agg(F.min("row").alias("rep"))
+    single = written(single.select("band", "rep"), "ngram-bands")
+    shared = single.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    return written(single.join(shared, "band"), "ngram-shared")
+
+
+def candidate_clusters(shared: DataFrame, payload: DataFrame, plan: JoinPlan) -> DataFrame:
     """(rep, cluster) for texts that share a band with one whose signature agrees enough.
 
-    Bands are dealt by their hash; a bucket with more than ``block`` texts is split into blocks
-    that meet in pairs. Only edges to a block's least connected member leave a task, so a
-    bucket's rows never become all its pairs.
+    A bucket with more than ``block`` texts is split into blocks that meet in pairs. Only edges
+    to a block's least connected member leave a task, so a bucket's rows never become all its
+    pairs.
     """
-    bands = reps.select("rep", F.posexplode("bands").alias("i", "hash")).select("rep", F.xxhash64("i", "hash").alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = bands.join(shared, "band").withColumn("blocks", F.ceil(F.col("n") / plan.block))
-    rows = met.join(reps.select("rep", "signature"), "rep")
+    rows = shared.withColumn("blocks", F.ceil(F.col("n") / plan.block)).join(payload.select("rep", "signature"), "rep")
     dealt = _in_blocks(rows, "band", "blocks").select("g", "rep", "signature").repartition("g").sortWithinPartitions("g")
     least = plan.times / plan.of - plan.slack
     edges = dealt.mapInArrow(lambda batches: _alike(batches, least), "u long, v long")
@@ -252,7 +262,43 @@ def _verified(batches: Iterator[pa.RecordBatch], plan: JoinPlan) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(linked @ copies), pa.array(ids[root])], ["u", "links", "v"])
 
 
-def jaccard_classes(docs: DataFrame, plan: JoinPlan = JoinPlan(), carried: Sequence[str] = ()) -> DataFrame:
+#: Rows of up to so many ids are broadcast (8 bytes each); beyond, those joins are shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def _sketch_table(docs: DataFrame, plan: JoinPlan, carried: Sequence[str] = ()) -> DataFrame:
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), _sketched(F.col("text"), plan).alias("s"), *carried)
+    return written(named.select("doc_id", "row", *carried, "s.*"), "ngrams")
+
+
+def _classes(sketched: DataFrame, plan: JoinPlan) -> DataFrame:
+    """(row, doc_id, class_id, n_links, first) for every row of the sketch table."""
+    shared = shared_bands(sketched)
+    involved = broadcast_if_small(written(shared.select("rep").distinct(), "ngram-involved"), BROADCAST_IDS)
+    payload = written(sketched.select(F.col("row").alias("rep"), "signature", "n_words", "words").join(involved, "rep"), "ngram-payload")
+    known = sketched.where(F.col("digest").isNotNull()).select("doc_id", "row", "digest")
+    held = written(known.groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id")), "ngram-copies")
+    clusters = written(candidate_clusters(shared, payload, plan), "ngram-clusters")
+
+    sized = written(clusters.join(payload.drop("signature"), "rep").join(held.select("rep", "copies"), "rep"), "ngram-sized")
+    blocks = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / plan.block), F.ceil(F.sum("n_words") / plan.block_words)).alias("blocks"))
+    dealt = _in_blocks(sized.join(blocks, "cluster"), "cluster", "blocks")
+    dealt = dealt.select("g", "rep", F.col("__own").alias("own"), "copies", "words").repartition("g").sortWithinPartitions("g")
+    checked = written(dealt.mapInArrow(lambda batches: _verified(batches, plan), "u long, links long, v long"), "ngram-links")
+    links = checked.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
+    classes = components(checked.where("u <> v").select("u", "v")).select(F.col("node").alias("rep"), "label")
+
+    classed = written(held.join(links, "rep", "left").join(classes, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "ngram-classed")
+    ids = classed.groupBy("label").agg(F.min("least_id").alias("class_id"))
+    resolved = classed.join(ids, "label").select("digest", "label", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    placed = known.join(resolved, "digest")
+    keep = placed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("kept"))
+    told = placed.join(keep, "label").select("row", "doc_id", "class_id", "n_links", (F.col("kept") == F.col("row")).alias("first"))
+    without = sketched.where(F.col("digest").isNull()).select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
+    return told.unionByName(without)
+
+
+def jaccard_classes(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
     """One row per document: ``doc_id``, ``class_id``, ``n_links`` and ``first`` (the one of its class to keep).
 
     Documents link if their sets of ``n``-word n-grams (words as split by ASCII white space) have
@@ -262,39 +308,22 @@ def jaccard_classes(docs: DataFrame, plan: JoinPlan = JoinPlan(), carried: Seque
     A text of fewer than ``n`` words is a single n-gram; null texts and texts without words link
     to nothing and are classes of their own. Repeated rows are copies of each other; with null
     ids a class's id comes from the others. An empty table gives no rows; other columns are
-    ignored unless named in ``carried``.
+    ignored.
 
     Copies (equal sets) are first collapsed to one representative, so hot groups of copies weigh
     nothing afterwards; band buckets and clusters are compared in blocks; pairs are counted where
-    they are compared and never become rows.
+    they are compared and never become rows. N-gram sets move only for texts that share a band.
     """
-    outer = [f"__carried_{c}" for c in carried]
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), _sketched(F.col("text"), plan).alias("s"), *(F.col(c).alias(o) for c, o in zip(carried, outer, strict=True)))
-    sketched = written(named.select("doc_id", "row", *outer, "s.*"), "ngrams")
-    known = sketched.where(F.col("digest").isNotNull())
-    held = known.groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"))
-    held = written(held, "ngram-copies")
-    alone = held.select("rep", "copies")
-    narrow = sketched.select(F.col("row").alias("rep"), "bands", "signature").join(alone, "rep", "left_semi")
-    clusters = written(candidate_clusters(written(narrow, "ngram-reps"), plan), "ngram-clusters")
-
-    sized = clusters.join(sketched.select(F.col("row").alias("rep"), "n_words", "words"), "rep").join(alone, "rep")
-    blocks = clusters.join(sketched.select(F.col("row").alias("rep"), "n_words"), "rep").groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count("*") / plan.block), F.ceil(F.sum("n_words") / plan.block_words)).alias("blocks")
-    )
-    dealt = _in_blocks(sized.join(blocks, "cluster"), "cluster", "blocks")
-    dealt = dealt.select("g", "rep", F.col("__own").alias("own"), "copies", "words").repartition("g").sortWithinPartitions("g")
-    checked = written(dealt.mapInArrow(lambda batches: _verified(batches, plan), "u long, links long, v long"), "ngram-links")
-    links = checked.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    classes = components(checked.where("u <> v").select("u", "v")).select(F.col("node").alias("rep"), "label")
+    return _classes(_sketch_table(docs, plan), plan).drop("row")
 
-    classed = held.join(links, "rep", "left").join(classes, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    ids = classed.groupBy("label").agg(F.min("least_id").alias("class_id"), F.min("rep").alias("__any"))
-    resolved = classed.join(ids, "label").select("digest", "label", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    keep = known.select("digest", "doc_id", "row").join(resolved.select("digest", "label"), "digest").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("kept_row"))
-    full = sketched.select("doc_id", "row", "digest", *outer).join(resolved.join(keep, "label"), "digest", "left")
-    return full.select(
-        "doc_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.coalesce("kept_row", "row") == F.col("row")).alias("first"),
-        *(F.col(o).alias(c) for c, o in zip(carried, outer, strict=True)),
-    )
+
+def first_of_classes(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
+    """``docs`` with one document of each class: that with the smallest id, of repeated rows any one.
+
+    Texts without words all stay. Texts are written once beside their sketches; the rows to
+    leave out are broadcast while they are few, so that texts are shuffled only beyond that.
+    """
+    whole = "__document"
+    sketched = _sketch_table(docs.withColumn(whole, F.struct(*(F.col(f"`{c}`") for c in docs.columns))), plan, [whole])
+    removed = written(_classes(sketched.drop(whole), plan).where(~F.col("first")).select("row"), "ngram-removed")
+    return sketched.select("row", whole).join(broadcast_if_small(removed, BROADCAST_IDS), "row", "left_anti").select(f"{whole}.*")
