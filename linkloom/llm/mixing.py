@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.prefix import running_total
-from linkloom.storage import written
+from linkloom.storage import broadcast_if_small, written
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Plans of up to so many documents, about 60 bytes each, are broadcast to carried columns.
+BROADCAST_ROWS = 2_000_000
+
 
 @dataclass(frozen=True)
 class MixPlan:
@@ -142,6 +145,7 @@ def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_i
         time(0).alias("position"), (repeats[0] if repeats else F.lit(None).cast("double")).alias("repeat_position"),
     )
     if carried:
-        mixed = mixed.join(sized.select("__row", *(F.col(f"__carried_{c}").alias(c) for c in carried)), "__row")
+        whole = sized.select("__row", *(F.col(f"__carried_{c}").alias(c) for c in carried))
+        mixed = whole.join(broadcast_if_small(written(mixed, "mix-plan"), BROADCAST_ROWS), "__row")
     mixed = mixed.drop("__row")
     return mixed if not ordered else mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
