@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import ann, chat, html_text, mixing, ngram_join, packing, quality, secrets, token_counts
+from linkloom.llm import ann, chat, html_text, mixing, ngram_join, packing, quality, secrets, token_counts, toxicity
 from linkloom.session import table
 
 TOKEN_LIMIT = 512
@@ -53,6 +53,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_nearest": op2_nearest,
@@ -63,6 +67,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_ngram_join": op8_ngram_join,
     "op9_secrets": op9_secrets,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: Exact search, as a factor of one gives.

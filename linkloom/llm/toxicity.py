@@ -260,7 +260,8 @@ def fit(docs: DataFrame, labels: DataFrame, plan: ToxicPlan = ToxicPlan()) -> tu
     usable = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), plan.folds) != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(plan.most_labelled)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    sample = sample.orderBy(F.xxhash64("doc_id")).limit(plan.most_labelled).select("text", "toxic").repartition(8).persist()
+    # Of rows that repeat an id one is taken, so the sample keeps its bound; few tasks keep the gathered arrays few.
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").repartition(8).persist()
     try:
         parts = sample.mapInArrow(_counted, "n_neg long, n_pos long, neg binary, pos binary").collect()
         neg, pos = (sum((np.frombuffer(p[c], np.int32) for p in parts), np.zeros(TABLE, np.int64)) for c in ("neg", "pos"))
