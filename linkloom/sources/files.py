@@ -7,7 +7,7 @@ import os
 import struct
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,16 +15,36 @@ from linkloom.functions.urls import page_id_parse, page_id_text
 from linkloom.schemas import PAGES
 
 
+def _texted(kind: T.DataType) -> T.DataType:
+    """The same type with its timestamps as text."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _texted(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_texted(kind.elementType))
+    return T.StringType() if isinstance(kind, T.TimestampNTZType) else kind
+
+
+def parsed_stamp(text: Column) -> Column:
+    """UTC timestamps as the state file writes them, cut to microseconds."""
+    return F.regexp_replace(F.regexp_replace(text, r"(Z|\+00:00)$", ""), r"(\.[0-9]{6})[0-9]+$", "$1").try_cast("timestamp_ntz")
+
+
 def read_state(spark: SparkSession, path: str) -> DataFrame:
     """A state file ``{"pages": {id: page}}`` as page rows; missing fields take their defaults."""
-    stored = T.StructType([f for f in PAGES.fields if f.name != "page_id"])
+    stored = _texted(T.StructType([f for f in PAGES.fields if f.name != "page_id"]))
     raw = spark.read.text(path, wholetext=True)
-    state = raw.select(F.from_json("value", T.StructType([T.StructField("pages", T.MapType(T.StringType(), stored))]), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS][X]"}).alias("s"))
+    state = raw.select(F.from_json("value", T.StructType([T.StructField("pages", T.MapType(T.StringType(), stored))])).alias("s"))
     rows = state.select(F.explode("s.pages").alias("id", "p"))
+
+    def button(b: Column) -> Column:
+        hop = F.when(b["redirect"].isNotNull(), F.struct(b["redirect"]["from"].alias("from"), parsed_stamp(b["redirect"]["last_visited"]).alias("last_visited")))
+        plain = [b[c].alias(c) for c in ("source", "hash", "file_ext", "target")]
+        return F.struct(*plain, parsed_stamp(b["last_visited"]).alias("last_visited"), hop.alias("redirect"), b["alt"].alias("alt"), b["title"].alias("title"))
+
     none = lambda c: F.array().cast(PAGES[c].dataType)
     return rows.select(
-        "p.url", page_id_parse(F.col("id")).alias("page_id"), "p.last_visited", F.coalesce("p.failed", F.lit(0).cast("long")).alias("failed"),
-        F.coalesce("p.buttons", none("buttons")).alias("buttons"), F.coalesce("p.other_internal_links", none("other_internal_links")).alias("other_internal_links"), "p.redirects_to",
+        "p.url", page_id_parse(F.col("id")).alias("page_id"), parsed_stamp(F.col("p.last_visited")).alias("last_visited"), F.coalesce("p.failed", F.lit(0).cast("long")).alias("failed"),
+        F.coalesce(F.transform("p.buttons", button), none("buttons")).alias("buttons"), F.coalesce("p.other_internal_links", none("other_internal_links")).alias("other_internal_links"), "p.redirects_to",
     )
 
 
