@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +44,39 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linkloom-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for paths in _open_scopes:
+        paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._linkloom_path = path
+    return out
+
+
+_open_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The paths of tables that are written inside, for whoever knows when they have served."""
+    paths: list[str] = []
+    _open_scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _open_scopes.remove(paths)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes stored tables, wherever the shared folder is."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables from ``written`` that nothing yet to be computed reads."""
+    for df in tables:
+        remove(df.sparkSession, [df._linkloom_path])
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
