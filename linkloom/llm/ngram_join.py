@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.components import components
 from linkloom.llm.groups import grouped
-from linkloom.storage import broadcast_if_small, written
+from linkloom.storage import broadcast_if_small, discard, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Word digests a worker remembers; the store is emptied when full.
@@ -191,7 +191,9 @@ def shared_bands(sketched: DataFrame) -> DataFrame:
     single = bands.groupBy(F.xxhash64("i", "hash").alias("band"), "d").agg(F.min("row").alias("rep"))
     single = written(single.select("band", "rep"), "ngram-bands")
     shared = single.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    return written(single.join(shared, "band"), "ngram-shared")
+    met = written(single.join(shared, "band"), "ngram-shared")
+    discard(single)
+    return met
 
 
 def candidate_clusters(shared: DataFrame, payload: DataFrame, plan: JoinPlan) -> DataFrame:
@@ -281,10 +283,12 @@ def _classes(sketched: DataFrame, plan: JoinPlan) -> DataFrame:
     clusters = written(candidate_clusters(shared, payload, plan), "ngram-clusters")
 
     sized = written(clusters.join(payload.drop("signature"), "rep").join(held.select("rep", "copies"), "rep"), "ngram-sized")
+    discard(shared, payload)
     blocks = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / plan.block), F.ceil(F.sum("n_words") / plan.block_words)).alias("blocks"))
     dealt = _in_blocks(sized.join(blocks, "cluster"), "cluster", "blocks")
     dealt = dealt.select("g", "rep", F.col("__own").alias("own"), "copies", "words").repartition("g").sortWithinPartitions("g")
     checked = written(dealt.mapInArrow(lambda batches: _verified(batches, plan), "u long, links long, v long"), "ngram-links")
+    discard(sized)
     links = checked.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     classes = components(checked.where("u <> v").select("u", "v")).select(F.col("node").alias("rep"), "label")
 
