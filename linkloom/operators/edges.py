@@ -13,17 +13,22 @@ from linkloom.functions.urls import is_web, page_id
 def page_edges(pages: DataFrame, config: CrawlConfig = DEFAULT) -> DataFrame:
     """Internal, button and redirect edges of every page that may be followed, as a bag.
 
-    Three projections of one scan and no shuffle; multi-edges and self-links stay, as they count
-    in the out-degree.
+    Each page's edges are put together as one array and exploded: one pass over the pages and no
+    shuffle. Multi-edges and self-links stay, as they count in the out-degree.
     """
-    followed = pages.where(~url_host_in(F.col("url"), config.no_follow_hosts)).withColumn("src", page_id(F.col("url")))
-    full = F.col("src.host").isin(*config.full_weight_hosts)
-    internal = followed.select("src", F.explode("other_internal_links").alias("dst_url"), F.when(full, 1.0).otherwise(config.internal_weight).alias("weight"), F.lit("internal").alias("kind"))
-    buttons = followed.select("src", F.explode("buttons").alias("b")).where(F.col("b.target").isNotNull())
-    buttons = buttons.select("src", F.col("b.target").alias("dst_url"), F.lit(config.button_weight).alias("weight"), F.lit("button").alias("kind"))
-    redirects = followed.where(is_web(F.col("redirects_to"))).select("src", F.col("redirects_to").alias("dst_url"), F.lit(config.redirect_weight).alias("weight"), F.lit("redirect").alias("kind"))
-    every = internal.unionByName(buttons).unionByName(redirects)
-    return every.select("src", page_id(F.col("dst_url")).alias("dst"), "weight", "dst_url", "kind")
+    src = page_id(F.col("url"))
+    edge = lambda url, weight, kind: F.struct(url.alias("dst_url"), weight.cast("double").alias("weight"), F.lit(kind).alias("kind"))
+    inner = F.when(src["host"].isin(*config.full_weight_hosts), F.lit(1.0)).otherwise(F.lit(config.internal_weight))
+    none = F.array().cast("array<struct<dst_url:string,weight:double,kind:string>>")
+    linked = F.filter("buttons", lambda b: b["target"].isNotNull())
+    every = F.concat(
+        F.coalesce(F.transform("other_internal_links", lambda u: edge(u, inner, "internal")), none),
+        F.coalesce(F.transform(linked, lambda b: edge(b["target"], F.lit(config.button_weight), "button")), none),
+        F.when(is_web(F.col("redirects_to")), F.array(edge(F.col("redirects_to"), F.lit(config.redirect_weight), "redirect"))).otherwise(none),
+    )
+    followed = pages.where(~url_host_in(F.col("url"), config.no_follow_hosts))
+    rows = followed.select(src.alias("src"), F.explode(every).alias("e"))
+    return rows.select("src", page_id(F.col("e.dst_url")).alias("dst"), "e.weight", "e.dst_url", "e.kind")
 
 
 def unvisited_urls(edges: DataFrame, pages: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.config import DEFAULT, CrawlConfig
-from linkloom.storage import checkpointed
+from linkloom.storage import bucketed, checkpointed
 
 
 def prepared_edges(edges: DataFrame) -> DataFrame:
@@ -38,12 +38,13 @@ def step(ids: DataFrame, shares: DataFrame, ranks: DataFrame, damping: float) ->
 def pagerank(edges: DataFrame, iterations: int, ids: DataFrame | None = None, start: DataFrame | None = None, config: CrawlConfig = DEFAULT) -> DataFrame:
     """(id, score) after ``iterations`` steps from 1.0, or from the scores of ``start`` where it has them.
 
-    Shares and ids are stored once; ranks are stored every ``checkpoint_every`` steps, in the
+    Shares are stored bucketed by source and ids by id, so that a step shuffles scores and
+    partial sums but never the edges. Ranks are stored every ``checkpoint_every`` steps, in the
     folder that executors share, so that neither lineage nor a lost executor makes the loop
     start over. A node's sum is taken partially before its shuffle, so hubs don't gather.
     """
-    shares = checkpointed(prepared_edges(edges))
-    ids = checkpointed(nodes_of(edges) if ids is None else ids)
+    shares = bucketed(prepared_edges(edges), "src", "shares")
+    ids = bucketed(nodes_of(edges) if ids is None else ids, "id", "ids")
     ranks = ids.select("id", F.lit(1.0).alias("score"))
     if start is not None:
         ranks = ids.join(start.select("id", F.col("score").alias("__s")), "id", "left").select("id", F.coalesce("__s", F.lit(1.0)).alias("score"))

@@ -51,6 +51,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """``df`` stored in the shared folder, bucketed and sorted by ``key``.
+
+    Joins and aggregations on ``key`` then read it in place, without a shuffle, as often as they
+    run. There are as many buckets as the session has shuffle partitions.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"linkloom_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    for paths in _open_scopes:
+        paths.append(path)
+    return spark.table(name)
+
+
 _open_scopes: list[list[str]] = []
 
 
