@@ -184,10 +184,10 @@ def q_content_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", images.content_hash(F.col("text").cast("binary")).alias("hash"))
 
 
-@query("blob_dedupe", "SELECT substr(sha256(text), 1, 32) AS hash, lang AS file_ext FROM documents WHERE substr(sha256(text), 1, 32) NOT IN (SELECT substr(sha256(text), 1, 32) FROM documents WHERE doc_id % 10 = 0) GROUP BY ALL")
+@query("blob_dedupe", "SELECT substr(sha256(text), 1, 32) AS hash, lang AS file_ext FROM documents WHERE substr(sha256(text), 1, 32) NOT IN (SELECT substr(sha256(text), 1, 32) FROM documents WHERE source = 'src0') GROUP BY ALL")
 def q_blob_dedupe(spark, sf):
-    all_images = table(spark, sf, "documents").select("doc_id", images.content_hash(F.col("text").cast("binary")).alias("hash"), F.col("lang").alias("file_ext"), F.col("text").cast("binary").alias("bytes"))
-    stored = all_images.where("doc_id % 10 = 0").select("hash").distinct().join(all_images.select("hash", "file_ext").distinct(), "hash")
+    all_images = table(spark, sf, "documents").select("source", images.content_hash(F.col("text").cast("binary")).alias("hash"), F.col("lang").alias("file_ext"), F.col("text").cast("binary").alias("bytes"))
+    stored = all_images.where("source = 'src0'").select("hash").distinct().join(all_images.select("hash", "file_ext").distinct(), "hash")
     return state.new_blobs(all_images, stored).select("hash", "file_ext")
 
 
@@ -259,28 +259,30 @@ def _page_links(spark, sf):
 
 
 def _sql_links() -> str:
-    """ASCII hrefs of the page table: absolute paths without dot segments, quotes or encoding."""
+    """Hrefs of the page table: absolute paths, decoded, cut at the fragment and percent-encoded by character."""
+    decoded = "replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+    path, asked = "regexp_extract(href, '^[^?#]*')", "regexp_extract(href, '^[^?#]*(\\?[^#]*)', 1)"
+    escape = lambda part, marked: f"array_to_string(list_transform(string_split({part}, ''), lambda c: CASE WHEN c = '' OR (ascii(c) BETWEEN 33 AND 126 AND NOT contains('{marked}', c)) THEN c ELSE url_encode(c) END), '')"
+    marked_path, marked_query = '"#<>?^`{}', '"#<>'
     return f"""
 found AS (SELECT page_id AS page, url AS page_url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS raw, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS pos FROM pages),
-plain AS (SELECT page, pos, page_url, regexp_extract(page_url, '^[a-z]+://[^/?#]*') || raw AS url FROM found WHERE regexp_matches(raw, '^/[A-Za-z0-9.,]*$')),
-links AS (SELECT page, pos, {sql_clean('url')} AS href, page_url FROM plain WHERE strlen(url) <= 256)"""
-
-
-_ASCII_ONLY = r"^[\x21-\x7e]*$"
+plain AS (SELECT page, pos, page_url, {decoded} AS href FROM found),
+full_ AS (SELECT page, pos, page_url, regexp_extract(page_url, '^[a-z]+://[^/?#]*') || {escape(path, marked_path)} || {escape(asked, marked_query)} || CASE WHEN contains(href, '#') THEN '#' || {escape("regexp_extract(href, '#(.*)$', 1)", '"<>`')} ELSE '' END AS url FROM plain),
+links AS (SELECT page, pos, {sql_clean('url')} AS href, page_url FROM full_ WHERE strlen(url) <= 256)"""
 
 
 @query("internal_links", f"WITH {_sql_links()}, once AS (SELECT page, href, min(pos) AS pos FROM links WHERE href <> page_url GROUP BY ALL) SELECT page, href FROM once")
 def q_internal_links(spark, sf):
-    """All internal links with plain hrefs, before the cap."""
+    """All internal links of every page, before the cap."""
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("page"), "url", "html")
     parsed = written(pages.select("page", html_links.tokens(F.col("html"), F.col("url")).alias("t")), "tokens")
     anchors = parsed.select("page", F.col("t.base").alias("page_url"), F.explode("t.anchors").alias("a")).select("page", "page_url", "a.pos", "a.raw", "a.url")
-    links = html_links.usable_anchors(anchors.where(F.col("raw").rlike(r"^/[A-Za-z0-9.,]*$")))
+    links = html_links.usable_anchors(anchors)
     own = links.where((urls.host_of(F.col("href")) == urls.host_of(F.col("page_url"))) & (F.col("href") != F.col("page_url")))
     return own.select("page", "href").distinct()
 
 
-@query("internal_links_top8")
+@query("internal_links_top8", f"WITH {_sql_links()}, once AS (SELECT page, href, min(pos) AS pos FROM links WHERE href <> page_url GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY pos) AS n FROM once) SELECT page, count(*)::INTEGER AS n, string_agg(href, ' ' ORDER BY pos) AS links FROM ranked WHERE n <= 8 GROUP BY page")
 def q_internal_top8(spark, sf):
     return _page_links(spark, sf)[1].select("page", F.size("links").alias("n"), F.array_join("links", " ").alias("links"))
 
@@ -471,10 +473,10 @@ def q_frontier_cap(spark, sf):
     return frontier.capped(frontier.ranked_candidates(*_frontier_inputs(spark, sf), NOW), 9950).select("url", "reason")
 
 
-@query("admitted", f"WITH u AS (SELECT page_id AS seq, url, {sql_id_host('url')} AS host, {sql_id_path('url')} AS path FROM pages WHERE NOT {sql_host_in(sql_host('url'), DEFAULT.banned_hosts)}), q AS (SELECT DISTINCT {sql_id_host('url')} AS host, {sql_id_path('url')} AS path FROM pages WHERE page_id % 7 = 0) SELECT host, path, arg_min(url, seq) AS url, min(seq) AS seq FROM u WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.host = u.host AND q.path = u.path) GROUP BY host, path")
+@query("admitted", f"WITH u AS (SELECT page_id AS seq, url, {sql_id_host('url')} AS host, {sql_id_path('url')} AS path FROM pages WHERE NOT {sql_host_in(sql_host('url'), DEFAULT.banned_hosts)}), q AS (SELECT DISTINCT {sql_id_host('url')} AS host, {sql_id_path('url')} AS path FROM pages WHERE contains(url, '?')) SELECT host, path, arg_min(url, seq) AS url, min(seq) AS seq FROM u WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.host = u.host AND q.path = u.path) GROUP BY host, path")
 def q_admitted(spark, sf):
     found = page_urls(spark, sf).withColumnRenamed("page_id", "seq")
-    queued = found.where("seq % 7 = 0").select(urls.page_id(F.col("url")).alias("page_id")).distinct()
+    queued = found.where(F.col("url").contains("?")).select(urls.page_id(F.col("url")).alias("page_id")).distinct()
     return frontier.admitted(found, queued).select("page_id.host", "page_id.path", "url", "seq")
 
 
