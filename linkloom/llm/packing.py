@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import json
 import zlib
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,9 @@ from linkloom.llm.mixing import source_key
 from linkloom.llm.prefix import running_total
 from linkloom.storage import written
 
-PIECES = "array<struct<start:long,length:long,ids_crc32:long,sequence_id:long,offset:long>>"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source_key string"
+#: Documents that a worker passes on together.
+SLICE = 256
 
 
 @dataclass(frozen=True)
@@ -65,40 +67,46 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _encoded(text: Column, vocabulary: str, end_id: int) -> Column:
-    @F.arrow_udf("struct<n: long, ids: binary>")
-    def encoded(texts: pa.Array) -> pa.Array:
-        enc = encoder(vocabulary)
-        end = np.array([end_id], enc.width).tobytes()
-        ids = [enc.encode(t.as_py()) + end for t in texts]
-        counts = pa.array([len(x) // enc.width.itemsize for x in ids], pa.int64())
-        return pa.StructArray.from_arrays([counts, pa.array(ids, pa.binary())], ["n", "ids"])
-
-    return encoded(F.coalesce(text.cast("string"), F.lit("")))
-
-
-def _cut(ids: Column, cuts: Column, n: Column) -> Column:
-    """Neighbouring cuts that stand in one sequence without a gap joined, with their checksums."""
-
-    @F.arrow_udf(PIECES)
-    def cut(ids: pa.Array, cuts: pa.Array, sizes: pa.Array) -> pa.Array:
-        out = []
-        for raw, places, n in zip(ids, cuts, sizes, strict=True):
-            raw, n = raw.as_py(), n.as_py()
-            words = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
-            joined: list[dict] = []
-            for p in places.as_py():
-                last = joined[-1] if joined else None
-                if last and last["sequence_id"] == p["sequence_id"] and last["start"] + last["length"] == p["start"] and last["offset"] + last["length"] == p["offset"]:
-                    last["length"] += p["length"]
-                else:
-                    joined.append(p)
-            for p in joined:
-                p["ids_crc32"] = zlib.crc32(words[p["start"] : p["start"] + p["length"]].tobytes())
-            out.append(joined)
-        return pa.array(out, pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "length", "ids_crc32", "sequence_id", "offset")])))
-
-    return cut(ids, cuts, n)
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """Counts and identifiers in place of texts, passed on in slices so that a worker holds few of them."""
+    enc = encoder(vocabulary)
+    end = np.array([end_id], enc.width).tobytes()
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
+            ids = [enc.encode(t.as_py() or "") + end for t in batch["text"]]
+            counts = pa.array([len(x) // enc.width.itemsize for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["source_key"], counts, pa.array(ids, pa.binary())], ["doc_id", "source_key", "n", "ids"])
+
+
+def _joined(places: list[dict]) -> list[dict]:
+    """Neighbouring cuts that stand in one sequence without a gap, as one."""
+    out: list[dict] = []
+    for p in places:
+        last = out[-1] if out else None
+        if last and last["sequence_id"] == p["sequence_id"] and last["start"] + last["length"] == p["start"] and last["offset"] + last["length"] == p["offset"]:
+            last["length"] += p["length"]
+        else:
+            out.append(p)
+    return out
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces with their checksums, from each document's identifiers and cuts."""
+    names = ("start", "length", "ids_crc32", "sequence_id", "offset")
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
+            out: list[tuple] = []
+            for doc_id, key, n, raw, places in zip(*(batch[c] for c in ("doc_id", "source_key", "n", "ids", "cuts")), strict=True):
+                doc_id, key, n, raw = doc_id.as_py(), key.as_py(), n.as_py(), raw.as_py()
+                words = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
+                for p in _joined(places.as_py()):
+                    p["ids_crc32"] = zlib.crc32(words[p["start"] : p["start"] + p["length"]].astype("<u4").tobytes())
+                    out.append((doc_id, *(p[c] for c in names[:3]), n, *(p[c] for c in names[3:]), key))
+            kinds = [pa.int64()] * 7 + [pa.string()]
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source_key"])
 
 
 def served_order(queued: DataFrame, plan: PackPlan, shares: Mapping[str | None, float] | None = None) -> DataFrame:
@@ -177,13 +185,9 @@ def pack(docs: DataFrame, vocabulary: str, plan: PackPlan = PackPlan(), shares:
     ignored. Texts are encoded once and the identifiers written to the shared folder; planning
     reads only counts, and identifiers move in one shuffle, to meet their cuts.
     """
-    coded = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        source_key(F.col("source")).alias("source_key"),
-        F.monotonically_increasing_id().alias("__row"),
-        _encoded(F.col("text"), vocabulary, plan.end_id).alias("__coded"),
-    )
-    coded = written(coded.select("doc_id", "source_key", "__row", F.col("__coded.n").alias("n"), F.col("__coded.ids").alias("ids")), "pack")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), source_key(F.col("source")).alias("source_key"), F.col("text").cast("string").alias("text"))
+    coded = named.mapInArrow(lambda batches: _encoded(batches, vocabulary, plan.end_id), "doc_id long, source_key string, n long, ids binary")
+    coded = written(coded.withColumn("__row", F.monotonically_increasing_id()), "pack")
     spread = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(7))
     queued = coded.select("source_key", "__row", "n", F.pmod(spread, F.lit(plan.buckets)).cast("int").alias("__bucket"), spread.alias("__key"))
     placed = served_order(queued, plan, shares)
@@ -199,5 +203,4 @@ def pack(docs: DataFrame, vocabulary: str, plan: PackPlan = PackPlan(), shares:
         ).alias("cut"),
     )
     by_doc = cuts.groupBy("__row").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
-    whole = coded.join(by_doc, "__row").select("doc_id", "source_key", F.col("n").alias("doc_tokens"), F.inline(_cut(F.col("ids"), F.col("cuts"), F.col("n"))))
-    return whole.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source_key")
+    return coded.join(by_doc, "__row").select("doc_id", "source_key", "n", "ids", "cuts").mapInArrow(_cut, PIECES)
