@@ -22,7 +22,7 @@ from linkloom.storage import broadcast_if_small, discard, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Word digests a worker remembers; the store is emptied when full.
-WORD_STORE = 400_000
+WORD_STORE = 100_000
 #: Numerator and denominator of the least similarity are kept as integers, so that ties at it are exact.
 SKETCH = "struct<digest: binary, bands: array<long>, signature: binary, n_words: long, words: binary>"
 
@@ -279,7 +279,7 @@ def _classes(sketched: DataFrame, plan: JoinPlan) -> DataFrame:
     involved = broadcast_if_small(written(shared.select("rep").distinct(), "ngram-involved"), BROADCAST_IDS)
     payload = written(sketched.select(F.col("row").alias("rep"), "signature", "n_words", "words").join(involved, "rep"), "ngram-payload")
     known = sketched.where(F.col("digest").isNotNull()).select("doc_id", "row", "digest")
-    held = written(known.groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id")), "ngram-copies")
+    held = written(known.groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")), "ngram-copies")
     clusters = written(candidate_clusters(shared, payload, plan), "ngram-clusters")
 
     sized = written(clusters.join(payload.drop("signature"), "rep").join(held.select("rep", "copies"), "rep"), "ngram-sized")
@@ -293,11 +293,10 @@ def _classes(sketched: DataFrame, plan: JoinPlan) -> DataFrame:
     classes = components(checked.where("u <> v").select("u", "v")).select(F.col("node").alias("rep"), "label")
 
     classed = written(held.join(links, "rep", "left").join(classes, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "ngram-classed")
-    ids = classed.groupBy("label").agg(F.min("least_id").alias("class_id"))
-    resolved = classed.join(ids, "label").select("digest", "label", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    placed = known.join(resolved, "digest")
-    keep = placed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("kept"))
-    told = placed.join(keep, "label").select("row", "doc_id", "class_id", "n_links", (F.col("kept") == F.col("row")).alias("first"))
+    # The smallest id of each class is found among representatives, so no row is dealt by its class.
+    best = classed.groupBy("label").agg(F.min("best").alias("__least")).select("label", F.col("__least.doc_id").alias("class_id"), F.col("__least.row").alias("kept"))
+    resolved = classed.join(best, "label").select("digest", "class_id", "kept", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    told = known.join(resolved, "digest").select("row", "doc_id", "class_id", "n_links", (F.col("kept") == F.col("row")).alias("first"))
     without = sketched.where(F.col("digest").isNull()).select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
     return told.unionByName(without)
 
