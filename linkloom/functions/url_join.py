@@ -7,6 +7,7 @@ file) and opaque ones such as ``data:``.
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -103,6 +104,24 @@ def join(base: str | None, reference: str) -> str | None:
     return f"{origin}/{path}{asked}{tail}"
 
 
+def original_image(url: str) -> str:
+    """The image that an image-optimising endpoint was given, else the URL itself."""
+    found = re.match(r"[a-z]+://[^/?#]*/_next/image\?([^#]*)", url)
+    for pair in found[1].split("&") if found else ():
+        name, _, value = pair.partition("=")
+        if unquote_plus(name) == "url":
+            return join(url, unquote_plus(value)) or url
+    return url
+
+
+def original_images(url: Column) -> Column:
+    @F.arrow_udf("string")
+    def run(urls: pa.Array) -> pa.Array:
+        return pa.array([None if u is None else original_image(u) for u in urls.to_pylist()], pa.string())
+
+    return F.when(url.contains("/_next/image"), run(url)).otherwise(url)
+
+
 def joined(base: Column, references: Column) -> Column:
     """An array of references resolved against one base each row; null where one isn't a URL."""
 
