@@ -17,7 +17,10 @@ from linkloom.storage import written
 @pytest.fixture(scope="module")
 def docs(spark, awkward_docs):
     own = table(spark, "/root/testdata/sf0.01", "documents").limit(400).withColumn("doc_id", F.col("doc_id") + 10000)
-    return written(awkward_docs.unionByName(own, allowMissingColumns=True), "test")
+    docs = awkward_docs.unionByName(own, allowMissingColumns=True)
+    for clash in ("found", "kept", "row", "first", "taken", "n", "ids", "digest"):
+        docs = docs.withColumn(clash, F.lit(clash))
+    return written(docs, "test")
 
 
 def rows(df):
