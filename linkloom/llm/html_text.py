@@ -36,6 +36,8 @@ UNLIKELY = re.compile(
 )
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|text|body)(?=$|[\s_-])", re.I)
 
+#: Of those, words that mark what isn't the article whatever stands beside them in a name.
+NEVER = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|comments?|disqus|cookies?|newsletter|share|sharing|social|related)(?=$|[_-])", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=\s|=|/|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
@@ -45,6 +47,22 @@ LEVELS = 6
 SIBLING_SHARE, MENU_LINKS = 0.2, 0.6
 
 
+def unlikely(names: str) -> bool:
+    """Whether class, id and role mark an element as no part of the article.
+
+    A name counts by its last word ("article-footer" is a footer, "sidebar-content" may be content)
+    or by a word that never is article; a plainly likely name beside it outweighs it.
+    """
+    marked = False
+    for name in names.split():
+        if UNLIKELY.search(name):
+            last = re.split(r"[_-]", name)[-1]
+            marked |= bool(NEVER.search(name)) or not LIKELY.search(last)
+        elif LIKELY.search(name):
+            return False
+    return marked
+
+
 class Page:
     """Elements in page order, and blocks of text each belonging to one of them."""
 
@@ -57,7 +75,7 @@ class Page:
         parent = stack[-1]
         names = " ".join(a or b or c for _, a, b, c in NAMED.findall(attrs)) if attrs else ""
         bad = tag in DROPPED or (tag == "header" and not self.inside[parent]) or bool(attrs and HIDDEN.search(attrs))
-        if names and tag not in ("html", "body", "article", "main") and UNLIKELY.search(names) and not LIKELY.search(names):
+        if names and tag not in ("html", "body", "article", "main") and unlikely(names):
             bad = True
         elif names and tag == "article" and re.search(r"(?:^|[\s_-])comments?(?=$|[\s_-])", names, re.I):
             bad = True

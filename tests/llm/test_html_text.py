@@ -17,6 +17,8 @@ CASES = [
     (f"<div class='sidebar'><p>{LONG}</p></div><div id=content><p>{LONG}</p><ul><li>one<li>two</ul></div><div class=comments><p>{LONG}</p></div>", f"{LONG.strip()} one two"),
     (f"<header>Site</header><main><p>{LONG}</p><form><p>{LONG}</p></form><aside>{LONG}</aside></main><div class='cookie-notice'>{LONG}</div>", LONG.strip()),
     (f"<div><div><p>{LONG}</p></div><div><p>{LONG}</p></div><div><a href=x>{LONG}</a></div></div>", f"{LONG.strip()} {LONG.strip()}"),
+    (f"<div class='post has-comments'><p>{LONG}</p><div class=article-comments><p>{LONG}</p></div><div class='ad-text'>{LONG}</div></div><div class=article-footer><p>{LONG}</p></div>", LONG.strip()),
+    (f"<div class='with-sidebar content'><p>{LONG}</p></div><div role=complementary><p>{LONG}</p></div>", LONG.strip()),
     ("<p>unclosed <a href='x>", "unclosed <a href='x>"),
 ]
 
