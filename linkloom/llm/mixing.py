@@ -15,7 +15,7 @@ from linkloom.storage import broadcast_if_small, written
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Plans of up to so many documents, about 60 bytes each, are broadcast to carried columns.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
