@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import json
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,7 +76,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) ->
             batch = whole.slice(at, SLICE)
             ids = [enc.encode(t.as_py() or "") + end for t in batch["text"]]
             counts = pa.array([len(x) // enc.width.itemsize for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["source_key"], counts, pa.array(ids, pa.binary())], ["doc_id", "source_key", "n", "ids"])
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), counts, pa.array(ids, pa.binary())], [*kept, "n", "ids"])
 
 
 def _joined(places: list[dict]) -> list[dict]:
@@ -109,7 +110,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source_key"])
 
 
-def served_order(queued: DataFrame, plan: PackPlan, shares: Mapping[str | None, float] | None = None) -> DataFrame:
+def served_order(queued: DataFrame, plan: PackPlan, shares: Mapping[str | None, float] | None = None, ordered: bool = False) -> DataFrame:
     """Deficit round-robin: adds ``window`` and ``place``, the tokens that all queues sent before.
 
     ``queued`` has ``source_key``, ``__bucket``, ``__row`` and ``n`` (tokens). A queue sends packets of
@@ -119,7 +120,15 @@ def served_order(queued: DataFrame, plan: PackPlan, shares: Mapping[str | None,
     that needs no state passed between tasks, and in which deficits carry across windows and
     partitions alike. Shares not given are the sources' shares of all tokens; given shares hold
     while their queues last, after which the queues that remain divide the window.
+
+    If ``ordered``, buckets and keys are one order of all rows, and without given shares a
+    queue's quantum in a window is what it holds of the window's tokens in that order: a packet
+    leaves in the round of the window that its last token falls into.
     """
+    if ordered and shares is None:
+        everything = queued.withColumn("__all", F.lit(0))
+        tape = running_total(everything, ["__all"], "__bucket", ["__key", "__row"], "n", "__tape").drop("__all")
+        return _placed(_packets(tape, plan), lambda end: end / plan.window, plan)
     totals = queued.groupBy("source_key").agg(F.sum("n").alias("__queue"))
     tape = running_total(queued, ["source_key"], "__bucket", ["__key", "__row"], "n", "__tape")
     if shares is None:
@@ -128,11 +137,20 @@ def served_order(queued: DataFrame, plan: PackPlan, shares: Mapping[str | None,
         served = lambda end: end * F.col("__per_token")
     else:
         rounds, served = _drained(totals, shares, plan)
-    packets = tape.join(rounds, "source_key").select(
-        "__row", "source_key", "n", "__tape", *[c for c in rounds.columns if c.startswith("__per") or c == "__share"],
+    return _placed(_packets(tape.join(rounds, "source_key"), plan), served, plan)
+
+
+def _packets(tape: DataFrame, plan: PackPlan) -> DataFrame:
+    """Each row once for every packet of at most one sequence, with its ``start`` and ``length``."""
+    packets = tape.select(
+        "__row", "source_key", "n", "__tape", *[c for c in tape.columns if c.startswith("__per") or c == "__share"],
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(plan.sequence).cast("long"))).alias("start"),
     )
-    packets = packets.withColumn("length", F.least(F.lit(plan.sequence), F.col("n") - F.col("start")).cast("long"))
+    return packets.withColumn("length", F.least(F.lit(plan.sequence), F.col("n") - F.col("start")).cast("long"))
+
+
+def _placed(packets: DataFrame, served: Callable[[Column], Column], plan: PackPlan) -> DataFrame:
+    """Packets with their windows and places; ``served`` tells the rounds by which a token of the tape is sent."""
     end = F.col("__tape") + F.col("start") + F.col("length")
     sent = packets.select(
         "__row", "source_key", "start", "length", (F.col("__tape") + F.col("start")).alias("__at"),
@@ -173,24 +191,30 @@ def _drained(totals: DataFrame, shares: Mapping[str | None, float], plan: PackPl
     return rounds, served
 
 
-def pack(docs: DataFrame, vocabulary: str, plan: PackPlan = PackPlan(), shares: Mapping[str | None, float] | None = None, id_col: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, plan: PackPlan = PackPlan(), shares: Mapping[str | None, float] | None = None, id_col: str = "doc_id", order: Column | None = None) -> DataFrame:
     """One row per piece: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and ``source_key``.
 
     Each document is its token identifiers and ``end_id``; queues are served by deficit
     round-robin (see ``served_order``) into one stream that is cut every ``sequence`` tokens. Every
     sequence but the last is full, so padding is less than one sequence in all.
 
+    Without an ``order`` queues run by a digest of the id and every window has the sources' shares
+    of the whole. With it (a whole number per row, not negative, such as ``stored_order`` gives)
+    queues run by it and a window has the shares of its own stretch of that order.
+
     Null or empty texts are one piece with ``end_id`` alone; a null source is a queue of its own;
     rows that repeat an id are packed each; an empty table gives no rows; other columns are
     ignored. Texts are encoded once and the identifiers written to the shared folder; planning
     reads only counts, and identifiers move in one shuffle, to meet their cuts.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), source_key(F.col("source")).alias("source_key"), F.col("text").cast("string").alias("text"))
-    coded = named.mapInArrow(lambda batches: _encoded(batches, vocabulary, plan.end_id), "doc_id long, source_key string, n long, ids binary")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), source_key(F.col("source")).alias("source_key"), F.col("text").cast("string").alias("text"), *([] if order is None else [order.cast("long").alias("__order")]))
+    ranked = "" if order is None else "__order long, "
+    coded = named.mapInArrow(lambda batches: _encoded(batches, vocabulary, plan.end_id), f"doc_id long, source_key string, {ranked}n long, ids binary")
     coded = written(coded.withColumn("__row", F.monotonically_increasing_id()), "pack")
     spread = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(7))
-    queued = coded.select("source_key", "__row", "n", F.pmod(spread, F.lit(plan.buckets)).cast("int").alias("__bucket"), spread.alias("__key"))
-    placed = served_order(queued, plan, shares)
+    bucket, key = (F.pmod(spread, F.lit(plan.buckets)).cast("int"), spread) if order is None else (F.shiftright("__order", 10), F.col("__order"))
+    queued = coded.select("source_key", "__row", "n", bucket.alias("__bucket"), key.alias("__key"))
+    placed = served_order(queued, plan, shares, ordered=order is not None)
     first, last = F.floor(F.col("place") / plan.sequence), F.floor((F.col("place") + F.col("length") - 1) / plan.sequence)
     cuts = placed.select("*", F.explode(F.sequence(first, last)).alias("sequence_id"))
     begin = F.greatest(F.col("place"), F.col("sequence_id") * plan.sequence)

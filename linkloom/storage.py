@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def stored_order(df: DataFrame) -> Column:
+    """A whole number per row of ``df`` that grows along its rows, as stored.
+
+    Spark deals a folder's files to tasks by size. So if ``df`` is a Parquet folder as read, the
+    number is made of the task that wrote the file, the file's number among those of that task
+    and the row's place in it: the order of a sorted table outlives being written. Otherwise it
+    is the order in which the plan gives its rows.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or "_metadata" in df.columns:
+        return F.monotonically_increasing_id()
+    part = lambda p: F.coalesce(F.expr(f"try_cast(nullif(regexp_extract(_metadata.file_name, '{p}', 1), '') as bigint)"), F.lit(0))
+    return F.shiftleft(part("^part-([0-9]+)"), 43) + F.shiftleft(part("-c([0-9]+)[.]"), 33) + F.col("_metadata.row_index")
+
+
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     """``df`` stored in the shared folder, bucketed and sorted by ``key``.
 

@@ -1,5 +1,6 @@
 """The pipeline's stages against the operators' decisions taken by hand."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from linkloom.llm import ngram_join, quality, secrets
 from linkloom.session import table
-from linkloom.storage import written
+from linkloom.storage import stored_order, written
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +75,32 @@ def test_names_and_empty(spark, docs):
     assert len(corpus_pipeline.STAGES) == 5
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_packing_follows_the_mix(spark):
+    """Shares change along the sequences as the schedules say, and a second reading is a whole reading later."""
+    rng = random.Random(7)
+    made = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randrange(50, 150))), s) for i, s in enumerate("aabcc" * 300)]
+    mixed = corpus_pipeline.mix_to_weights(spark, spark.createDataFrame(made, "doc_id long, text string, source string"), "")
+    pieces = corpus_pipeline.pack(spark, written(mixed, "test"), "").toPandas()
+    last = pieces.sequence_id.max()
+    early, late = pieces[pieces.sequence_id < last * 0.25], pieces[pieces.sequence_id > last * 0.75]
+    share = lambda part, s: part[part.source_key == f"0{s}"].length.sum() / part.length.sum()
+    assert share(early, "a") > 1.2 * share(late, "a") and share(late, "c") > 1.2 * share(early, "c")
+    pieces = pieces.sort_values(["sequence_id", "offset"])
+    pieces["before"] = pieces.groupby("source_key").length.cumsum() - pieces.length
+    begun = pieces[pieces.start == 0].groupby(["source_key", "doc_id"])
+    twice = begun.agg(apart=("before", lambda x: x.max() - x.min()), times=("before", "size")).query("times == 2")
+    reading = begun.doc_tokens.first().groupby("source_key").sum()
+    assert len(twice) > 100
+    for (s, _), gap in twice.apart.items():
+        assert gap == pytest.approx(reading[s], rel=0.01)
+
+
+
+def test_stored_order_is_that_of_the_rows(spark):
+    """Files of very different sizes, which Spark does not read in the order of their numbers."""
+    rows = spark.range(5000).select("id", F.when(F.col("id") > 3000, F.repeat(F.uuid(), 50)).alias("text")).orderBy("id")
+    kept = written(rows.repartitionByRange(7, "id").sortWithinPartitions("id"), "test")
+    seen = kept.select("id", stored_order(kept).alias("at")).orderBy("at").collect()
+    assert [r.id for r in seen] == list(range(5000)) and len({r["at"] for r in seen}) == 5000
