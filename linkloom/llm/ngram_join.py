@@ -247,10 +247,15 @@ def overlaps(sets: Sequence[np.ndarray]) -> np.ndarray:
 
 
 def _verified(batches: Iterator[pa.RecordBatch], plan: JoinPlan) -> Iterator[pa.RecordBatch]:
-    """Per member of a block pair: the copies it links to there, and an edge to its least linked member."""
+    """Per member of a block pair: the copies it links to there, and an edge to its least linked member.
+
+    ``within`` marks a block's pair with itself. In a pair of two blocks only links between them
+    count, also where one of them is empty.
+    """
     unpack = zstandard.ZstdDecompressor()
     for group in grouped(batches, "g"):
         n = group.num_rows
+        within = group["within"][0].as_py()
         ids, own, copies = (group[c].to_numpy() for c in ("rep", "own", "copies"))
         sets = [ngram_set(np.frombuffer(unpack.decompress(w), np.uint32), plan.n) for w in group["words"].to_pylist()]
         size = np.array([len(s) for s in sets])
@@ -258,7 +263,7 @@ def _verified(batches: Iterator[pa.RecordBatch], plan: JoinPlan) -> Iterator[pa.
         # shared / (a + b - shared) >= times / of
         linked = shared * (plan.of + plan.times) >= plan.times * (size[:, None] + size[None, :])
         np.fill_diagonal(linked, False)
-        if own.min() != own.max():
+        if not within:
             linked &= own[:, None] != own[None, :]
         root = _roots(n, np.argwhere(np.triu(linked)))
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(linked @ copies), pa.array(ids[root])], ["u", "links", "v"])
@@ -286,7 +291,7 @@ def _classes(sketched: DataFrame, plan: JoinPlan) -> DataFrame:
     discard(shared, payload)
     blocks = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / plan.block), F.ceil(F.sum("n_words") / plan.block_words)).alias("blocks"))
     dealt = _in_blocks(sized.join(blocks, "cluster"), "cluster", "blocks")
-    dealt = dealt.select("g", "rep", F.col("__own").alias("own"), "copies", "words").repartition("g").sortWithinPartitions("g")
+    dealt = dealt.select("g", "rep", F.col("__own").alias("own"), (F.col("__own") == F.col("__other")).alias("within"), "copies", "words").repartition("g").sortWithinPartitions("g")
     checked = written(dealt.mapInArrow(lambda batches: _verified(batches, plan), "u long, links long, v long"), "ngram-links")
     discard(sized)
     links = checked.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))

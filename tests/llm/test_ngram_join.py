@@ -77,6 +77,18 @@ def test_large_groups(spark, plan):
     assert run(docs, plan)[0] == by_hand(docs.collect())
 
 
+def test_empty_blocks(spark):
+    """Clusters of two or three long texts in more blocks than texts: links in one block count once."""
+    rng = random.Random(6)
+    rows = []
+    for c in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows += [(10 * c + i, " ".join([*base[: 195 + i], f"t{i}"])) for i in range(2 + c % 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for words in (100, 250):
+        assert run(docs, JoinPlan(block_words=words))[0] == by_hand(docs.collect())
+
+
 def test_awkward(spark, awkward_docs):
     short = spark.createDataFrame([(500, "a b"), (501, "a  b"), (502, "a"), (503, "A b"), (504, None)], "doc_id long, text string")
     docs = awkward_docs.unionByName(short, allowMissingColumns=True)
