@@ -174,11 +174,17 @@ def _with_factor(staged: DataFrame, keys: Sequence[str], cov: list[list[Column]]
 
 
 def estimate_keys(rows: DataFrame, plan: OutlierPlan) -> DataFrame:
-    """(lang, source) keys to the key whose rows are estimated together: their own if enough, else the language's, else all."""
+    """(lang, source) keys to the key of the estimate they use: of their own rows if enough, else the language's, else all."""
     counts = rows.groupBy("lang_key", "group_key").agg(F.count("*").alias("n"))
     of_lang = F.sum("n").over(Window.partitionBy("lang_key"))
     own = F.when(F.col("n") >= plan.least_rows, F.concat(F.lit("g"), "group_key"))
-    return counts.select("group_key", F.coalesce(own, F.when(of_lang >= plan.least_rows, F.concat(F.lit("l"), "lang_key")), F.lit("all")).alias("key"))
+    return counts.select("lang_key", "group_key", F.coalesce(own, F.when(of_lang >= plan.least_rows, F.concat(F.lit("l"), "lang_key")), F.lit("all")).alias("key"))
+
+
+def pools(keys: DataFrame) -> DataFrame:
+    """(group_key, key) for every estimate that some group uses and each group whose rows it is made from."""
+    every = F.array(F.concat(F.lit("g"), "group_key"), F.concat(F.lit("l"), "lang_key"), F.lit("all"))
+    return keys.select("group_key", F.explode(every).alias("key")).join(keys.select("key").distinct(), "key", "left_semi")
 
 
 def _first(rows: DataFrame, keys: DataFrame, floor: Sequence[float]) -> DataFrame:
@@ -207,26 +213,27 @@ def robust_estimates(rows: DataFrame, plan: OutlierPlan) -> DataFrame:
     """Minimum-covariance-determinant centers and factors per ``group_key``.
 
     ``rows`` has ``lang_key``, ``group_key`` and ``f0``... Each concentration step measures all
-    rows against the last estimate and re-estimates from the nearest ``half`` of each group. Rows
-    are summed by group and by the step of their log distance, partially before the shuffle, so
+    rows against the last estimate and re-estimates from the nearest ``half`` of each pool: a
+    large group, or a language or all rows where a small group needs their estimate. Rows
+    are summed by pool and by the step of their log distance, partially before the shuffle, so
     the nearest half is found from sums alone: whole steps are taken until it is reached. What is
-    gathered is one row per group and step, whatever a group's size.
+    gathered is one row per pool and step, whatever a pool's size. A row counts in each of its pools.
     """
     d = len(plan.spread_floor)
     keys = checkpointed(estimate_keys(rows, plan))
     scale = plan.half / chi_square_cdf(chi_square_quantile(plan.half, d), d + 2)
-    estimate = checkpointed(_first(rows, keys, plan.spread_floor).join(keys, "key").drop("key"))
+    members = checkpointed(pools(keys))
+    estimate = checkpointed(_first(rows, members, plan.spread_floor).join(members, "key"))
     for _ in range(plan.steps):
         near = rows.join(broadcast_if_small(estimate, BROADCAST_GROUPS), "group_key").withColumn("step", F.floor(F.log(_squared(d) + 1e-9) * 32).cast("long"))
         values = [F.col(f"f{i}") for i in range(d)]
         sums = {"n": F.lit(1)} | {f"s{i}": values[i] for i in range(d)} | {f"p{i}{j}": values[i] * values[j] for i in range(d) for j in range(i + 1)}
-        by_step = near.groupBy("group_key", "step").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
-        pooled = by_step.join(keys, "group_key").groupBy("key", "step").agg(*(F.sum(k).alias(k) for k in sums))
+        pooled = near.groupBy("key", "step").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
         per = Window.partitionBy("key")
         nearest = pooled.withColumn("__before", F.sum("n").over(per.orderBy("step")) - F.col("n")).withColumn("__all", F.sum("n").over(per)).where(F.col("__before") < F.col("__all") * plan.half)
         kept = nearest.groupBy("key").agg(*(F.sum(k).alias(k) for k in sums))
-        estimate = checkpointed(_estimates(kept, ["key"], plan.spread_floor, scale).join(keys, "key").drop("key"))
-    return estimate
+        estimate = checkpointed(_estimates(kept, ["key"], plan.spread_floor, scale).join(members, "key"))
+    return estimate.join(keys.select("group_key", "key"), ["group_key", "key"]).drop("key")
 
 
 def judge(docs: DataFrame, plan: OutlierPlan = OutlierPlan(), carried: Sequence[str] = ()) -> DataFrame:

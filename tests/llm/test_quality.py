@@ -1,5 +1,6 @@
 """Operator 7: counts against brute force, robust estimates against numpy, labels of clean text."""
 
+import random
 import re
 from collections import Counter
 
@@ -57,3 +58,15 @@ def test_labels(spark):
     seen = judge(table(spark, d, "documents")).where(~F.col("base_failed")).join(table(spark, d, "labels"), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
     kept = dict(map(tuple, seen))
     assert kept[1] > 0.99 and kept.get(0, 0) < 0.3
+
+
+def test_small_groups_use_whole_pools(spark):
+    """A junk text alone in a source of a large language, and one alone in a rare language."""
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(3000)]
+    plain = lambda: " ".join(rng.choice(words) for _ in range(80)) + "."
+    junk = " ".join(f"{w}##$%|<>*&" for w in words[:80])
+    rows = [(i, plain(), "en", "hot") for i in range(300)] + [(1000, junk, "en", "tiny"), (1001, plain(), "en", "small"), (2000, junk, "xx", "rare"), (2001, plain(), "yy", "rare")]
+    got = {r.doc_id: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i].base_failed for i in got)
+    assert {i: got[i].kept for i in (1000, 1001, 2000, 2001)} == {1000: False, 1001: True, 2000: False, 2001: True}
