@@ -68,29 +68,30 @@ def listed(found: Column) -> Column:
 def _linked(scanned: DataFrame, plan: LinkPlan) -> DataFrame:
     """Weak candidates whose complementary parts lie within the scope, one row per ``__row``.
 
-    An interval join: the base spans of a text, widened by the scope, are dealt to the stretches
-    of text they touch, and a candidate meets only those of its own stretch. A stretch holds a
-    bounded number of spans, so hot texts are split by it. A long mixed token counts where an
+    An interval join: candidates and the base spans of a text, widened by the scope, are dealt to
+    the stretches of text they touch, and a candidate meets only the spans of its own stretches,
+    those that the gap to it lets in. A stretch holds a bounded number of spans, so hot texts are
+    split by it. A long mixed token counts where an
     access identifier is near; an address where both an identifier and a secret (assigned,
     hexadecimal or such a token) are.
     """
     both, width = scanned, plan.scope * 4
 
-    def dealt(array: str) -> DataFrame:
-        rows = both.select("__row", F.explode(array).alias("s")).select("__row", (F.col("s.start") - plan.scope).alias("low"), (F.col("s.end") + plan.scope).alias("high"))
-        return rows.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
+    def spans(array: str) -> DataFrame:
+        return both.select("__row", F.explode(array).alias("s"))
 
-    weak = both.select("__row", F.explode("__weak").alias("s")).withColumn("stretch", F.floor(F.col("s.start") / width))
+    def dealt(rows: DataFrame, around: int) -> DataFrame:
+        reach = rows.select("*", (F.col("s.start") - around).alias("low"), (F.col("s.end") + around).alias("high"))
+        return reach.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
 
     def near(rows: DataFrame, others: DataFrame) -> DataFrame:
-        a, b = rows.alias("a"), others.alias("b")
-        return a.join(b, (F.col("a.__row") == F.col("b.__row")) & (F.col("a.stretch") == F.col("b.stretch")) & (F.col("a.s.start") >= F.col("b.low")) & (F.col("a.s.start") <= F.col("b.high")), "left_semi")
+        a, b = dealt(rows, 0).alias("a"), dealt(others, plan.scope).alias("b")
+        met = a.join(b, (F.col("a.__row") == F.col("b.__row")) & (F.col("a.stretch") == F.col("b.stretch")) & (F.col("a.high") >= F.col("b.low")) & (F.col("a.low") <= F.col("b.high")), "left_semi")
+        return met.select("__row", "s").distinct()
 
-    identified = near(weak, dealt("__access"))
+    identified = near(spans("__weak"), spans("__access"))
     tokens = identified.where(F.col("s.rank") == 3)
-    token_reach = tokens.select("__row", (F.col("s.start") - plan.scope).alias("low"), (F.col("s.end") + plan.scope).alias("high"))
-    token_reach = token_reach.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
-    addresses = near(identified.where(F.col("s.rank") == 4), dealt("__secret").unionByName(token_reach))
+    addresses = near(identified.where(F.col("s.rank") == 4), spans("__secret").unionByName(tokens))
     return tokens.unionByName(addresses).groupBy("__row").agg(F.collect_list("s").alias("__more"))
 
 

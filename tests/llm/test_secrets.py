@@ -59,6 +59,20 @@ def test_linking(spark):
     assert kinds == {1: ["access", "part", "endpoint"], 2: [""], 3: ["access"], 4: ["access"], 5: ["part", "access"], 6: ["access", "endpoint", "assign"]}
 
 
+def test_long_candidates_link_on_either_side(spark):
+    """What counts is the gap between two spans, however long they are."""
+    token, url = "aB3dE" * 80, "https://store.example/" + "q/" * 600
+    rows = [
+        (1, f"{token} {KEY}"), (2, f"{KEY} {token}"), (3, f"{token}{' ' * 256}{KEY}"), (4, f"{token}{' ' * 257}{KEY}"), (5, f"{KEY}{' ' * 257}{token}"),
+        (6, f"{url} {KEY} {token}"), (7, f"{KEY} {url} token={'z9' * 8}"), (8, "aB3dE" * 900 + f" {KEY}"),
+    ]
+    kinds = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",")] for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kinds == {
+        1: ["part", "access"], 2: ["access", "part"], 3: ["part", "access"], 4: ["access"], 5: ["access"],
+        6: ["endpoint", "access", "part"], 7: ["access", "endpoint", "assign"], 8: ["part", "access"],
+    }
+
+
 def test_redaction(spark):
     text = f"é {KEY} then password=abcdefabcdefabcdef0 end"
     docs = spark.createDataFrame([(1, text), (2, "nothing")], "doc_id long, text string")
