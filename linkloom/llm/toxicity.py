@@ -115,12 +115,12 @@ def votes(text: str, lexicon: Lexicon) -> list[int]:
                 stems.add(p)
                 out[WORD_LEXICONS + p % PREFIX_LEXICONS] = 1
     at = WORD_LEXICONS + PREFIX_LEXICONS
-    size, letters = max(1, len(words)), max(1, sum(map(str.isalpha, text[:20000])))
+    size, letters = max(1, len(words)), max(1, sum(map(str.isalpha, text)))
     out[at] = 1 if distinct >= 2 else 0
     out[at + 1] = 1 if marked >= 3 else 0
     out[at + 2] = 1 if marked / size >= 0.01 and marked >= 2 else 0
     out[at + 3] = 1 if len(stems) >= 2 else 0
-    out[at + 4] = 1 if distinct and sum(map(str.isupper, text[:20000])) / letters > 0.3 else 0
+    out[at + 4] = 1 if distinct and sum(map(str.isupper, text)) / letters > 0.3 else 0
     out[at + 5] = 1 if distinct and text.count("!") >= 3 else 0
     out[at + 6] = 1 if distinct and any(w in counts for w in ("you", "your", "du", "tu", "tú", "vous", "usted")) else 0
     out[at + 7] = -1 if not distinct else 0

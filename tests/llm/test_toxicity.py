@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.llm.toxicity import fit_label_model, fit_linear, fold, score_documents
+from linkloom.llm.toxicity import Lexicon, _terms, fit_label_model, fit_linear, fold, score_documents, votes
 from linkloom.session import table
 
 
@@ -16,6 +16,12 @@ def test_fold_is_crc32(spark):
         assert r.f == zlib.crc32(str(r.id).encode()) % 5
 
 
+def test_voters_see_whole_texts():
+    lexicon = Lexicon(frozenset([_terms["vile"][0]]), frozenset())
+    quiet, loud = "vile " + "ab " * 8000, "vile " + "ab " * 8000 + "AB " * 8000
+    assert [a for a, b in zip(votes(loud, lexicon), votes(quiet, lexicon)) if a != b] == [1]
+
+
 def test_label_model_finds_accuracies_and_copies():
     rng = np.random.default_rng(0)
     y = rng.random(6000) < 0.3
