@@ -99,8 +99,9 @@ def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_i
     """One row per document, range-sorted by training position if ``ordered``.
 
     Columns: ``doc_id``, ``size`` (words), ``source_size``, ``target`` (of its source), ``taken``
-    (words the mix takes, repeats counted), ``position`` and ``repeat_position`` (training times
-    in [0, 1] at which the first and the second reading begin; null where there is none).
+    (words the mix takes, repeats counted) and ``readings``: for each reading that takes words
+    its ``time`` (training time in [0, 1] at which it begins) and ``words``. ``position`` and
+    ``repeat_position`` are the times of the first and the second, null where there is none.
 
     A source's documents, in the order of a digest of their id, form a tape that may be read
     ``most_repeats`` times; the mix takes the tape's first ``target`` words, so a source meets
@@ -139,11 +140,9 @@ def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_i
         return F.when(reading(i) > 0, training_time(share, F.col("rank"), plan))
 
     taken = sum((reading(i) for i in range(1, plan.most_repeats)), reading(0))
-    repeats = [time(i) for i in range(1, plan.most_repeats)]
-    mixed = placed.select(
-        "__row", "doc_id", "size", "source_size", "target", taken.alias("taken"),
-        time(0).alias("position"), (repeats[0] if repeats else F.lit(None).cast("double")).alias("repeat_position"),
-    )
+    every = F.array(*(F.struct(time(i).alias("time"), reading(i).alias("words")) for i in range(plan.most_repeats)))
+    mixed = placed.select("__row", "doc_id", "size", "source_size", "target", taken.alias("taken"), F.filter(every, lambda r: r["words"] > 0).alias("readings"))
+    mixed = mixed.withColumns({"position": F.get("readings", 0)["time"], "repeat_position": F.get("readings", 1)["time"]})
     if carried:
         whole = sized.select("__row", *(F.col(f"__carried_{c}").alias(c) for c in carried))
         mixed = whole.join(broadcast_if_small(written(mixed, "mix-plan"), BROADCAST_ROWS), "__row")

@@ -67,3 +67,14 @@ def test_training_time_inverts_the_integral(spark, knots):
     rows = spark.range(50).select((F.col("id") / 50).alias("u")).withColumn("t", training_time(F.col("u"), F.lit(0), plan)).collect()
     for r in rows:
         assert mass(r.t) == pytest.approx(r.u * mass(1.0), abs=1e-9)
+
+
+def test_every_reading_has_a_time(spark):
+    """With three readings a document that is taken three times over begins three times, each later."""
+    docs = spark.createDataFrame([(1, "w " * 10, "a"), (2, "w " * 10, "a"), (3, "w " * 400, "b")], "doc_id long, text string, source string")
+    rows = {r.doc_id: r for r in mix_sources(docs, MixPlan(weights=(1000, 1), most_repeats=3)).collect()}
+    for i in (1, 2):
+        assert rows[i].taken == 30 and [r.words for r in rows[i].readings] == [10, 10, 10]
+        times = [r.time for r in rows[i].readings]
+        assert times == sorted(set(times)) and times[:2] == [rows[i].position, rows[i].repeat_position]
+    assert all(r.taken == sum(x.words for x in r.readings) for r in rows.values())
