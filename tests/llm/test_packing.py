@@ -73,3 +73,14 @@ def test_given_shares(spark):
 def test_empty(spark, awkward_docs):
     assert pack(awkward_docs.limit(0), PATH).count() == 0
     assert [(r.length, r.ids_crc32) for r in pack(awkward_docs.where("doc_id = 3"), PATH).collect()] == [(1, zlib.crc32(np.array([1], "<u4").tobytes()))]
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\u3000", " \n"])
+def test_long_white_space(spark, blank):
+    """Runs far beyond what the fast encoder's split can take give the library's identifiers."""
+    text = "x" + blank * (2_000_000 // len(blank)) + "x"
+    ids = np.array([*Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, 1], "<u4")
+    pieces = pack(spark.createDataFrame([(7, text, "a")], "doc_id long, text string, source string"), PATH).collect()
+    assert sum(p.length for p in pieces) == len(ids)
+    for p in pieces:
+        assert p.doc_tokens == len(ids) and zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32
