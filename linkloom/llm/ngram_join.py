@@ -6,12 +6,12 @@ import functools
 import hashlib
 import math
 import re
-import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +21,8 @@ from linkloom.llm.groups import grouped
 from linkloom.storage import broadcast_if_small, discard, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-#: Word digests a worker remembers; the store is emptied when full.
-WORD_STORE = 100_000
 #: Numerator and denominator of the least similarity are kept as integers, so that ties at it are exact.
-SKETCH = "struct<digest: binary, bands: array<long>, signature: binary, n_words: long, words: binary>"
+SKETCH = "struct<digest: binary, bands: binary, signature: binary, n_words: long, words: binary>"
 
 
 @dataclass(frozen=True)
@@ -69,35 +67,59 @@ def _constants(n: int, hashes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return odd(n), odd(hashes), rng.integers(0, 2**63, hashes, dtype=np.uint64)
 
 
-def ngram_set(words: np.ndarray, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit digests of all runs of ``n`` words; a shorter text is one run."""
-    if not len(words):
-        return np.empty(0, np.uint64)
-    scale = _constants(n, 1)[0]
-    wide = words.astype(np.uint64) + np.uint64(1)
-    count = max(1, len(wide) - n + 1)
-    mixed = np.zeros(count, np.uint64)
-    for k in range(min(n, len(wide))):
-        mixed += wide[k : k + count] * scale[k]
-    mixed ^= mixed >> np.uint64(33)
-    mixed *= np.uint64(0xFF51AFD7ED558CCD)
-    mixed ^= mixed >> np.uint64(33)
-    return np.unique(mixed)
+class _Ids(dict):
+    """Words to whole numbers from 1, in the order in which they are met."""
 
-
-class _WordDigests(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= WORD_STORE:
-            self.clear()
-        digest = self[word] = zlib.crc32(word.encode())
-        return digest
+        number = self[word] = len(self) + 1
+        return number
+
+
+def windows(ids: np.ndarray, starts: np.ndarray, n: int, vocabulary: int) -> np.ndarray:
+    """A whole number per window of ``n`` ids, equal exactly where the windows are equal.
+
+    Ids run from 0 to ``vocabulary``. Windows are numbers in base ``vocabulary + 1``; before one
+    would pass 63 bits, its prefixes are replaced by their ranks among those that occur.
+    """
+    base = vocabulary + 1
+    code, width = ids[starts].astype(np.int64), base
+    for k in range(1, n):
+        if width > (1 << 63) // base - 1:
+            known, code = np.unique(code, return_inverse=True)
+            code, width = code.astype(np.int64), max(1, len(known))
+        code = code * base + ids[starts + k]
+        width *= base
+    return code
 
 
-_digests = _WordDigests()
+def _padded(ids: np.ndarray, n: int) -> np.ndarray:
+    """A text shorter than a window is a window of its own, closed by zeros, which no word has."""
+    return ids if len(ids) >= n else np.append(ids, np.zeros(n - len(ids), np.int64))
 
 
-def word_digests(text: str) -> np.ndarray:
-    return np.fromiter(map(_digests.__getitem__, WORDS.findall(text)), np.uint32)
+def ngram_sketch(words: Sequence[str], n: int) -> tuple[np.ndarray, bytes]:
+    """64-bit digests of a text's distinct runs of ``n`` words, and a digest of their exact set.
+
+    The set's digest is a cryptographic one (128 bits) of the sorted vocabulary and of all runs as
+    sorted numbers over it. Texts have equal sets exactly where both agree, as every word stands
+    in some run.
+    """
+    vocabulary = sorted(set(words))
+    place = {w: i + 1 for i, w in enumerate(vocabulary)}
+    ids = _padded(np.fromiter(map(place.__getitem__, words), np.int64, len(words)), n)
+    codes, at = np.unique(windows(ids, np.arange(len(ids) - n + 1), n, len(vocabulary)), return_index=True)
+    exact = hashlib.blake2b("\n".join(vocabulary).encode(), digest_size=16)
+    exact.update(b"\n\n")
+    exact.update(codes.astype("<i8").tobytes())
+    scale = _constants(n, 1)[0]
+    own = np.fromiter((0, *(xxhash.xxh3_64_intdigest(w) for w in vocabulary)), np.uint64, len(vocabulary) + 1)[ids]
+    mixed = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        mixed += own[at + k] * scale[k]
+    mixed ^= mixed >> np.uint64(33)
+    mixed *= np.uint64(0xFF51AFD7ED558CCD)
+    mixed ^= mixed >> np.uint64(33)
+    return mixed, exact.digest()
 
 
 def signature(grams: np.ndarray, n: int, hashes: int) -> np.ndarray:
@@ -117,15 +139,15 @@ def _sketched(text: Column, plan: JoinPlan) -> Column:
     def sketch(texts: pa.Array) -> pa.Array:
         out, pack = [], zstandard.ZstdCompressor(level=1)
         for t in texts:
-            words = word_digests(t.as_py() or "")
-            if not len(words):
+            words = WORDS.findall(t.as_py() or "")
+            if not words:
                 out.append(None)
                 continue
-            grams = ngram_set(words, plan.n)
+            grams, digest = ngram_sketch(words, plan.n)
             sig = signature(grams, plan.n, bands * rows)
-            keys = [int.from_bytes(hashlib.blake2b(part.tobytes(), digest_size=8, salt=bytes([i])).digest(), "little", signed=True) for i, part in enumerate(sig.reshape(bands, rows))]
-            out.append({"digest": hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), "bands": keys, "signature": (sig >> np.uint64(48)).astype(np.uint16).tobytes(), "n_words": len(words), "words": pack.compress(words.tobytes())})
-        kind = pa.struct([("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary()), ("n_words", pa.int64()), ("words", pa.binary())])
+            keys = b"".join(hashlib.blake2b(part.tobytes(), digest_size=8, salt=bytes([i])).digest() for i, part in enumerate(sig.reshape(bands, rows)))
+            out.append({"digest": digest, "bands": keys, "signature": (sig >> np.uint64(48)).astype(np.uint16).tobytes(), "n_words": len(words), "words": pack.compress(" ".join(words).encode())})
+        kind = pa.struct([("digest", pa.binary()), ("bands", pa.binary()), ("signature", pa.binary()), ("n_words", pa.int64()), ("words", pa.binary())])
         return pa.array(out, kind)
 
     return sketch(text.cast("string"))
@@ -147,67 +169,77 @@ def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
     return root
 
 
+def _first_shared(bands: np.ndarray, a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """Whether ``band`` is the first one that the pairs share."""
+    return ~(bands[a, :band] == bands[b, :band]).any(axis=1)
+
+
 def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Edges from members of a bucket's block to the least member that signatures connect them to."""
-    us, vs = [], []
+    """The rows of a group that are half of a pair to be verified there.
+
+    Such a pair's signatures agree enough, and the group's band is the first that the two share,
+    so that no pair is verified in two bands.
+    """
     for group in grouped(batches, "g"):
         n = group.num_rows
         if n < 2:
             continue
-        ids = group["rep"].to_numpy()
+        band, within = group["band"][0].as_py(), group["within"][0].as_py()
+        own = group["own"].to_numpy()
+        bands = np.frombuffer(b"".join(group["bands"].to_pylist()), np.int64).reshape(n, -1)
         sigs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(n, -1)
         enough = math.ceil(least * sigs.shape[1])
-        pairs = []
+        needed = np.zeros(n, bool)
         step = max(1, 4_000_000 // (n * sigs.shape[1]))
         for at in range(0, n, step):
-            agree = (sigs[at : at + step, None, :] == sigs[None, at:, :]).sum(axis=2, dtype=np.int32) >= enough
-            i, j = np.nonzero(agree)
-            pairs.append(np.stack([i + at, j + at], 1)[i < j])
-        root = _roots(n, np.concatenate(pairs))
-        moved = np.flatnonzero(root != np.arange(n))
-        us.extend(ids[moved].tolist())
-        vs.extend(ids[root[moved]].tolist())
-        if len(us) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-            us, vs = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-
-
-def _in_blocks(rows: DataFrame, key: str, blocks: str) -> DataFrame:
-    """Each row once for every pair of blocks that its own block is part of; ``g`` names the pair."""
-    own = F.pmod(F.xxhash64(F.col("rep"), F.lit(3)), F.col(blocks))
-    dealt = rows.withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)))
-    pair = F.xxhash64(key, F.least("__own", "__other"), F.greatest("__own", "__other"))
-    return dealt.withColumn("g", pair)
-
-
-def shared_bands(sketched: DataFrame) -> DataFrame:
-    """(band, rep, n): each representative with the bands that it shares with n - 1 others.
+            i, j = np.nonzero((sigs[at : at + step, None, :] == sigs[None, at:, :]).sum(axis=2, dtype=np.int32) >= enough)
+            i, j = i + at, j + at
+            keep = (i < j) & (within | (own[i] != own[j]))
+            i, j = i[keep], j[keep]
+            keep = _first_shared(bands, i, j, band)
+            needed[i[keep]] = needed[j[keep]] = True
+        if needed.any():
+            yield from group.drop_columns(["signature", "bands"]).filter(pa.array(needed)).combine_chunks().to_batches()
+
+
+def shared_bands(sketched: DataFrame, plan: JoinPlan) -> DataFrame:
+    """(band, hash, rep, n, blocks): each representative with the bands that it shares with n - 1 others.
 
     Copies, which share all their bands, collapse to their smallest row within each band, before
-    the shuffle as far as a task sees them.
+    the shuffle as far as a task sees them. A bucket is compared in so many blocks that each
+    holds about ``block`` texts and ``block_words`` words.
     """
-    bands = sketched.where(F.col("digest").isNotNull()).select(F.xxhash64("digest").alias("d"), "row", F.posexplode("bands").alias("i", "hash"))
-    single = bands.groupBy(F.xxhash64("i", "hash").alias("band"), "d").agg(F.min("row").alias("rep"))
-    single = written(single.select("band", "rep"), "ngram-bands")
-    shared = single.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(single.join(shared, "band"), "ngram-shared")
+    count = plan.shape[0]
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.substring("bands", i * 8 + 1, F.lit(8)))
+    bands = sketched.where(F.col("digest").isNotNull()).select(F.xxhash64("digest").alias("d"), "digest", "row", "n_words", F.posexplode(hashes).alias("band", "hash"))
+    single = bands.groupBy("band", "hash", "d", "digest").agg(F.min("row").alias("rep"), F.max("n_words").alias("n_words"))
+    single = written(single.select("band", "hash", "rep", "n_words"), "ngram-bands")
+    blocks = F.greatest(F.ceil(F.count("*") / plan.block), F.ceil(F.sum("n_words") / plan.block_words))
+    shared = single.groupBy("band", "hash").agg(F.count("*").alias("n"), blocks.cast("long").alias("blocks")).where("n > 1")
+    met = written(single.drop("n_words").join(shared, ["band", "hash"]), "ngram-shared")
     discard(single)
     return met
 
 
-def candidate_clusters(shared: DataFrame, payload: DataFrame, plan: JoinPlan) -> DataFrame:
-    """(rep, cluster) for texts that share a band with one whose signature agrees enough.
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Each row once for every pair of blocks of its bucket that its own block is part of; ``g`` names the pair."""
+    own = F.pmod(F.xxhash64(F.col("rep"), F.lit(3)), F.col("blocks"))
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pair = F.xxhash64("band", "hash", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.select(pair.alias("g"), "rep", "band", "own", (F.col("own") == F.col("other")).alias("within"), *(c for c in rows.columns if c not in ("rep", "band", "hash", "n", "blocks")))
 
-    A bucket with more than ``block`` texts is split into blocks that meet in pairs. Only edges
-    to a block's least connected member leave a task, so a bucket's rows never become all its
-    pairs.
+
+def candidates(shared: DataFrame, payload: DataFrame, plan: JoinPlan) -> DataFrame:
+    """(g, rep, band, own, within): texts and the groups in which they have a pair to be verified.
+
+    A group is a band's bucket, or a pair of blocks of one that is large. Only texts that share a
+    band ever meet, and a text goes on to those groups alone where it has a partner that it has
+    not met in an earlier band; what similar texts are linked to further on plays no part.
     """
-    rows = shared.withColumn("blocks", F.ceil(F.col("n") / plan.block)).join(payload.select("rep", "signature"), "rep")
-    dealt = _in_blocks(rows, "band", "blocks").select("g", "rep", "signature").repartition("g").sortWithinPartitions("g")
+    rows = shared.join(payload.select("rep", "signature", "bands"), "rep")
+    dealt = _in_blocks(rows).repartition("g").sortWithinPartitions("g")
     least = plan.times / plan.of - plan.slack
-    edges = dealt.mapInArrow(lambda batches: _alike(batches, least), "u long, v long")
-    return components(edges).select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
+    return dealt.mapInArrow(lambda batches: _alike(batches, least), "g long, rep long, band int, own long, within boolean")
 
 
 # -- verification ---------------------------------------------------------------------------
@@ -246,27 +278,44 @@ def overlaps(sets: Sequence[np.ndarray]) -> np.ndarray:
     return common.astype(np.int64)
 
 
+def exact_sets(texts: Sequence[Sequence[str]], n: int) -> list[np.ndarray]:
+    """Each text's distinct runs of ``n`` words as numbers that stand for the runs exactly, in all texts alike."""
+    known = _Ids()
+    ids = [_padded(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), n) for words in texts]
+    counts = np.array([len(i) - n + 1 for i in ids])
+    begin = np.cumsum([0, *(len(i) for i in ids)])[:-1]
+    starts = np.concatenate([np.arange(b, b + c) for b, c in zip(begin, counts, strict=True)])
+    codes = windows(np.concatenate(ids), starts, n, len(known))
+    return [np.unique(part) for part in np.split(codes, np.cumsum(counts)[:-1])]
+
+
 def _verified(batches: Iterator[pa.RecordBatch], plan: JoinPlan) -> Iterator[pa.RecordBatch]:
-    """Per member of a block pair: the copies it links to there, and an edge to its least linked member.
+    """Per member of a group: the copies it links to there, and an edge to its least linked member.
 
-    ``within`` marks a block's pair with itself. In a pair of two blocks only links between them
-    count, also where one of them is empty.
+    Sets of whole words are compared. In a pair of two blocks only links between them count, also
+    where one of them is empty, and in each band only links between texts that share none before.
     """
     unpack = zstandard.ZstdDecompressor()
     for group in grouped(batches, "g"):
         n = group.num_rows
-        within = group["within"][0].as_py()
+        if n < 2:
+            continue
+        band, within = group["band"][0].as_py(), group["within"][0].as_py()
         ids, own, copies = (group[c].to_numpy() for c in ("rep", "own", "copies"))
-        sets = [ngram_set(np.frombuffer(unpack.decompress(w), np.uint32), plan.n) for w in group["words"].to_pylist()]
+        bands = np.frombuffer(b"".join(group["bands"].to_pylist()), np.int64).reshape(n, -1)
+        sets = exact_sets([unpack.decompress(w).decode().split(" ") for w in group["words"].to_pylist()], plan.n)
         size = np.array([len(s) for s in sets])
         shared = overlaps(sets)
         # shared / (a + b - shared) >= times / of
-        linked = shared * (plan.of + plan.times) >= plan.times * (size[:, None] + size[None, :])
-        np.fill_diagonal(linked, False)
+        linked = np.triu(shared * (plan.of + plan.times) >= plan.times * (size[:, None] + size[None, :]), 1)
         if not within:
             linked &= own[:, None] != own[None, :]
-        root = _roots(n, np.argwhere(np.triu(linked)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(linked @ copies), pa.array(ids[root])], ["u", "links", "v"])
+        a, b = np.nonzero(linked)
+        first = _first_shared(bands, a, b, band)
+        a, b = a[first], b[first]
+        links = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
+        root = _roots(n, np.stack([a, b], 1))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64)), pa.array(ids[root])], ["u", "links", "v"])
 
 
 #: Rows of up to so many ids are broadcast (8 bytes each); beyond, those joins are shuffled.
@@ -280,20 +329,16 @@ def _sketch_table(docs: DataFrame, plan: JoinPlan, carried: Sequence[str] = ())
 
 def _classes(sketched: DataFrame, plan: JoinPlan) -> DataFrame:
     """(row, doc_id, class_id, n_links, first) for every row of the sketch table."""
-    shared = shared_bands(sketched)
+    shared = shared_bands(sketched, plan)
     involved = broadcast_if_small(written(shared.select("rep").distinct(), "ngram-involved"), BROADCAST_IDS)
-    payload = written(sketched.select(F.col("row").alias("rep"), "signature", "n_words", "words").join(involved, "rep"), "ngram-payload")
     known = sketched.where(F.col("digest").isNotNull()).select("doc_id", "row", "digest")
     held = written(known.groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")), "ngram-copies")
-    clusters = written(candidate_clusters(shared, payload, plan), "ngram-clusters")
-
-    sized = written(clusters.join(payload.drop("signature"), "rep").join(held.select("rep", "copies"), "rep"), "ngram-sized")
-    discard(shared, payload)
-    blocks = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / plan.block), F.ceil(F.sum("n_words") / plan.block_words)).alias("blocks"))
-    dealt = _in_blocks(sized.join(blocks, "cluster"), "cluster", "blocks")
-    dealt = dealt.select("g", "rep", F.col("__own").alias("own"), (F.col("__own") == F.col("__other")).alias("within"), "copies", "words").repartition("g").sortWithinPartitions("g")
+    payload = written(sketched.select(F.col("row").alias("rep"), "signature", "bands", "words").join(involved, "rep").join(held.select("rep", "copies"), "rep"), "ngram-payload")
+    met = written(candidates(shared, payload, plan), "ngram-candidates")
+    discard(shared)
+    dealt = met.join(payload.drop("signature"), "rep").repartition("g").sortWithinPartitions("g")
     checked = written(dealt.mapInArrow(lambda batches: _verified(batches, plan), "u long, links long, v long"), "ngram-links")
-    discard(sized)
+    discard(payload, met)
     links = checked.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     classes = components(checked.where("u <> v").select("u", "v")).select(F.col("node").alias("rep"), "label")
 
@@ -319,8 +364,9 @@ def jaccard_classes(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
     ignored.
 
     Copies (equal sets) are first collapsed to one representative, so hot groups of copies weigh
-    nothing afterwards; band buckets and clusters are compared in blocks; pairs are counted where
-    they are compared and never become rows. N-gram sets move only for texts that share a band.
+    nothing afterwards; band buckets are compared in blocks; pairs are verified on their whole
+    words in the first band that they share, counted there, and never become rows. Texts move
+    only to buckets in which they have a partner to be verified.
     """
     return _classes(_sketch_table(docs, plan), plan).drop("row")
 

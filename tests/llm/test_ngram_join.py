@@ -2,11 +2,13 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from linkloom.llm.ngram_join import JoinPlan, jaccard_classes, overlaps
+from linkloom.llm.ngram_join import JoinPlan, _sketch_table, candidates, jaccard_classes, overlaps, shared_bands, windows
 from linkloom.session import table
 
 
@@ -108,3 +110,34 @@ def test_overlaps():
 def test_bands_meet_the_recall():
     bands, rows = JoinPlan().shape
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 128
+
+
+def test_words_of_one_checksum(spark):
+    """Words that a 32-bit checksum confuses make different n-grams."""
+    docs = spark.createDataFrame([(1, "the old red barn plumless"), (2, "the old red barn buckeroo"), (3, "the old red barn plumless")], "doc_id long, text string")
+    assert run(docs)[0] == [(1, 1, 1), (2, 2, 0), (3, 1, 1)]
+
+
+@pytest.mark.parametrize("vocabulary", [3, 300, 70_000])
+def test_windows_are_exact(vocabulary):
+    rng = np.random.default_rng(vocabulary)
+    ids = rng.integers(0, vocabulary + 1, 5000)
+    ids[2500:3500] = ids[:1000]
+    starts = np.arange(len(ids) - 4)
+    codes = windows(ids, starts, 5, vocabulary)
+    rows = [tuple(ids[i : i + 5].tolist()) for i in starts]
+    assert len(set(zip(codes.tolist(), rows))) == len(set(rows)) == len(set(codes.tolist()))
+
+
+def test_chain(spark):
+    """A chain in which only neighbours are alike is verified by neighbours, however long it is."""
+    rng = random.Random(8)
+    tape = [f"w{rng.randrange(10**6)}" for _ in range(5000)]
+    docs = spark.createDataFrame([(i, " ".join(tape[i * 8 : i * 8 + 80])) for i in range(600)], "doc_id long, text string")
+    plan = JoinPlan()
+    sketched = _sketch_table(docs, plan)
+    payload = sketched.select(F.col("row").alias("rep"), "signature", "bands")
+    met = candidates(shared_bands(sketched, plan), payload, plan)
+    per_group, rows = Counter(r.g for r in met.collect()), met.count()
+    assert rows <= 600 * 4 and max(per_group.values()) <= 8
+    assert run(docs)[0] == by_hand(docs.collect())
