@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a folder of our own set, which is
-    then what ``checkpoint()`` uses as well.
+    Only where a local session names none (tests, a laptop) is a folder of our own set, which is
+    then what ``checkpoint()`` uses as well; on a cluster executors could not see it.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     where = os.path.join(tempfile.gettempdir(), "linkloom-checkpoints")
     spark.sparkContext.setCheckpointDir(where)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -92,13 +94,16 @@ def scratch() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _open_scopes.remove(paths)
+        _open_scopes[:] = [other for other in _open_scopes if other is not paths]
 
 
 def remove(spark: SparkSession, paths: Iterable[str]) -> None:
-    """Deletes stored tables, wherever the shared folder is."""
+    """Deletes stored tables, wherever the shared folder is, and the catalog's entries of bucketed ones."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
+        name = path.rpartition("/")[2]
+        if name.startswith("linkloom_"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
 
