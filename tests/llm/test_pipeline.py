@@ -1,5 +1,6 @@
 """The pipeline's stages against the operators' decisions taken by hand."""
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -12,14 +13,14 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from linkloom.llm import ngram_join, quality, secrets
 from linkloom.session import table
-from linkloom.storage import stored_order, written
+from linkloom.storage import scratch, stored_order, written
 
 
 @pytest.fixture(scope="module")
 def docs(spark, awkward_docs):
     own = table(spark, "/root/testdata/sf0.01", "documents").limit(400).withColumn("doc_id", F.col("doc_id") + 10000)
     docs = awkward_docs.unionByName(own, allowMissingColumns=True)
-    for clash in ("found", "kept", "row", "first", "taken", "n", "ids", "digest"):
+    for clash in ("found", "kept", "row", "first", "taken", "n", "ids", "digest", "time", "readings", "__found", "__time", "__row", "__document", "__text", "__carried_x"):
         docs = docs.withColumn(clash, F.lit(clash))
     return written(docs, "test")
 
@@ -77,6 +78,15 @@ def test_names_and_empty(spark, docs):
         assert stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_runs_share_nothing(spark, sf):
+    """Two results of the pipeline are good at once, and stage outputs are gone with the run."""
+    with scratch() as stored:
+        one, two = corpus_pipeline.run(spark, sf), corpus_pipeline.run(spark, sf)
+    assert rows(two) == rows(one)
+    left = {p.rpartition("/")[2] for p in stored if os.path.exists(p.removeprefix("file:"))}
+    assert left and all(name.startswith("linkloom-pack-") for name in left)
+
+
 def test_packing_follows_the_mix(spark):
     """Shares change along the sequences as the schedules say, and a second reading is a whole reading later."""
     rng = random.Random(7)
