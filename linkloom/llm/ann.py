@@ -1,4 +1,4 @@
-"""Operator 2: nearest neighbours by vantage-point trees per shard."""
+"""Operator 2: nearest neighbours by vantage-point trees per shard, behind a top tree that routes to shards."""
 
 from __future__ import annotations
 
@@ -10,15 +10,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.storage import written
+from linkloom.storage import discard, written
 
-RESULT = "query_key long, query_id long, vec_id long, score double"
+FOUND = "query_key long, query_id long, vec_id long, score double"
 
 
 @dataclass(frozen=True)
 class TreePlan:
-    """``factor`` relaxes pruning: a subtree is left out if its least possible distance exceeds
-    ``factor`` times the distance of the k-th found so far. One is exact; less is faster.
+    """``factor`` relaxes pruning: a subtree or a shard is left out if its least possible distance
+    exceeds ``factor`` times the distance of the k-th found so far. One is exact; less is faster.
+
+    ``sample`` rows, and no more than ``sample_values`` components, are what the top tree is made
+    of; every row is routed by it. ``shard_rows`` is what a shard holds about, ``leaf_rows`` what
+    a leaf of a shard's tree does, and ``query_block`` queries are searched at a time.
     """
 
     k: int = 5
@@ -26,10 +30,16 @@ class TreePlan:
     shard_rows: int = 2048
     leaf_rows: int = 96
     query_block: int = 256
+    sample: int = 16_384
+    sample_values: int = 8_000_000
 
 
-#: Room for rounding where a bound is compared, and neighbours kept beyond k for ties.
-SLACK, SPARE = 1e-9, 4
+#: Room for rounding where squared distances, and distances, are compared.
+SLACK2, SLACK = 1e-12, 1e-6
+#: Neighbours kept beyond k while a tree is searched; a query with more ties is measured against its whole shard.
+SPARE = 4
+#: The least rows of the sample behind a leaf of the top tree.
+LEAF_SAMPLE = 16
 
 
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -37,6 +47,25 @@ def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumsum(a * b, axis=1)[:, -1]
 
 
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances between unit vectors, which order as cosines do."""
+    return np.maximum(0.0, 2.0 - 2.0 * (a @ b.T))
+
+
+def units(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.sqrt(dot(vectors, vectors))[:, None]
+
+
+def _halves(points: np.ndarray, rows: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """A vantage among ``rows``, far from the middle so that its shells are thin, and the others: inner half, outer half, distances."""
+    vantage = rows[int(squares(points[rows[:1]], points[rows])[0].argmax())]
+    rest = rows[rows != vantage]
+    far = np.sqrt(squares(points[[vantage]], points[rest])[0])
+    order = np.argsort(far, kind="stable")
+    half = len(rest) // 2
+    return vantage, rest[order[:half]], rest[order[half:]], far[order]
+
+
 class VantageTree:
     """A tree over unit vectors under Euclidean distance, which orders as the cosine does.
 
@@ -50,15 +79,13 @@ class VantageTree:
         self.norms = np.sqrt(dot(self.original, self.original))
         self.points = self.original / self.norms[:, None]
         order = np.lexsort((ids, place.ravel()))
-        sorted_place = place.ravel()[order]
-        begin = np.searchsorted(sorted_place, np.arange(len(self.original) + 1))
-        self.ids = [ids[order[a : min(b, a + plan.k + 1)]] for a, b in zip(begin, begin[1:], strict=False)]
+        placed = place.ravel()[order]
+        nth = np.arange(len(placed)) - np.searchsorted(placed, placed)
+        few = nth <= plan.k
+        self.ids, self.begin = ids[order][few], np.searchsorted(placed[few], np.arange(len(self.original) + 1))
         self.nodes: list[tuple] = []
         self.root = self._build(np.arange(len(self.points)))
 
-    def _distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
-
     def _build(self, rows: np.ndarray) -> int:
         """Nodes are (vantage, inside, outside, bounds of both) or (leaf rows,); built without recursion."""
         made = len(self.nodes)
@@ -66,32 +93,28 @@ class VantageTree:
         todo = [(made, rows)]
         while todo:
             at, rows = todo.pop()
-            if len(rows) <= self.plan.leaf_rows:
+            if len(rows) <= max(2, self.plan.leaf_rows):
                 self.nodes[at] = (rows,)
                 continue
-            seed = self._distances(self.points[rows[:1]], self.points[rows])[0]
-            vantage = rows[int(seed.argmax())]  # far from the middle, so that its shells are thin
-            rest = rows[rows != vantage]
-            far = self._distances(self.points[[vantage]], self.points[rest])[0]
-            order = np.argsort(far, kind="stable")
-            half = len(rest) // 2
-            parts, bounds = (rest[order[:half]], rest[order[half:]]), []
-            for part in (far[order[:half]], far[order[half:]]):
-                bounds += [part.min(), part.max()]
+            vantage, inner, outer, far = _halves(self.points, rows)
             children = len(self.nodes), len(self.nodes) + 1
             self.nodes += [(), ()]
-            self.nodes[at] = (vantage, *children, *bounds)
-            todo += zip(children, parts, strict=True)
+            self.nodes[at] = (vantage, *children, far[0], far[len(inner) - 1], far[len(inner)], far[-1])
+            todo += zip(children, (inner, outer), strict=True)
         return made
 
-    def nearest(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and points (-1: none) of the k + 1 + SPARE nearest to each unit vector, searched together."""
-        n, keep = len(queries), self.plan.k + 1 + SPARE
-        best = np.full((n, keep), np.inf)
+    def nearest(self, queries: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, point) that hold all of each unit vector's k + 1 nearest points within ``reach``, ties among them.
+
+        ``reach`` is a distance beyond which a query needs nothing.
+        """
+        n, k, keep = len(queries), self.plan.k, self.plan.k + 1 + SPARE
+        best = np.full((n, keep), np.inf)  # squared distances
         held = np.full((n, keep), -1)
+        most = reach * reach
 
         def offer(active: np.ndarray, points: np.ndarray, far: np.ndarray) -> None:
-            near = (far <= best[active, -1:] + SLACK).any(axis=1)
+            near = (far <= best[active, -1:]).any(axis=1)
             if not near.any():
                 return
             rows = active[near]
@@ -103,19 +126,19 @@ class VantageTree:
         stack = [(self.root, np.arange(n), np.zeros(n))]
         while stack:
             at, active, bound = stack.pop()
-            left = bound <= self.plan.factor * best[active, self.plan.k] + SLACK
+            left = bound <= self.plan.factor * np.sqrt(np.minimum(best[active, k], most[active])) + SLACK
             active = active[left]
             if not len(active):
                 continue
             node = self.nodes[at]
             if len(node) == 1:
                 if len(node[0]):
-                    offer(active, node[0], self._distances(queries[active], self.points[node[0]]))
+                    offer(active, node[0], squares(queries[active], self.points[node[0]]))
                 continue
             vantage, inner, outer, low_in, high_in, low_out, high_out = node
-            far = self._distances(queries[active], self.points[[vantage]])
-            offer(active, np.array([vantage]), far)
-            far = far[:, 0]
+            far2 = squares(queries[active], self.points[[vantage]])
+            offer(active, np.array([vantage]), far2)
+            far = np.sqrt(far2[:, 0])
             to_inner = np.maximum(bound[left], np.maximum(low_in - far, far - high_in))
             to_outer = np.maximum(bound[left], np.maximum(low_out - far, far - high_out))
             inner_first = to_inner <= to_outer
@@ -124,44 +147,194 @@ class VantageTree:
                     second, near, later = (outer, to_inner, to_outer) if first == inner else (inner, to_outer, to_inner)
                     stack.append((second, active[some], later[some]))
                     stack.append((first, active[some], near[some]))
-        return best, held
+        least = np.minimum(best[:, k], most) + SLACK2
+        q, slot = np.nonzero((held >= 0) & (best <= least[:, None]))
+        p = held[q, slot]
+        # More ties than were kept: all points of the shard that are as near.
+        tied = np.flatnonzero((held[:, -1] >= 0) & (best[:, -1] <= least))
+        if len(tied):
+            one = ~np.isin(q, tied)
+            t, points = np.nonzero(squares(queries[tied], self.points) <= least[tied, None])
+            q, p = np.concatenate([q[one], tied[t]]), np.concatenate([p[one], points])
+        return q, p
+
+    def answers(self, keys: np.ndarray, ids: np.ndarray, vectors: np.ndarray, reach: np.ndarray) -> pa.RecordBatch:
+        """Each query's k best ids here by the measure itself, in double precision on the vectors as given."""
+        norms = np.sqrt(dot(vectors, vectors))
+        q, p = self.nearest(vectors / norms[:, None], reach)
+        scores = dot(self.original[p], vectors[q]) / (norms[q] * self.norms[p])
+        many = self.begin[p + 1] - self.begin[p]
+        row = np.repeat(np.arange(len(p)), many)
+        found = self.ids[self.begin[p][row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)]
+        q, scores = q[row], scores[row]
+        other = found != ids[q]
+        q, scores, found = q[other], scores[other], found[other]
+        order = np.lexsort((found, -scores, q))
+        q, scores, found = q[order], scores[order], found[order]
+        top = np.arange(len(q)) - np.searchsorted(q, q) < self.plan.k
+        q = q[top]
+        return pa.RecordBatch.from_arrays([pa.array(keys[q]), pa.array(ids[q]), pa.array(found[top]), pa.array(scores[top])], ["query_key", "query_id", "vec_id", "score"])
+
+
+def matrix(column: pa.Array, rows: np.ndarray, size: int) -> np.ndarray:
+    """Vectors of one length as a matrix, from the column's flat values."""
+    return column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, size)
+
+
+class _Shard:
+    """The vectors of one shard, its tree once queries come, and the queries that wait."""
+
+    def __init__(self, size: int, plan: TreePlan):
+        self.size, self.plan, self.tree = size, plan, None
+        self.ids: list[np.ndarray] = []
+        self.vectors: list[np.ndarray] = []
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+
+    def hold(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.vectors.append(vectors)
+
+    def ask(self, *queries: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.waiting.append(queries)
+        if sum(len(w[0]) for w in self.waiting) >= self.plan.query_block:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.waiting and self.ids:
+            if self.tree is None:
+                self.tree = VantageTree(np.concatenate(self.ids), np.concatenate(self.vectors), self.plan)
+            queries = [np.concatenate(parts) for parts in zip(*self.waiting, strict=True)]
+            step = self.plan.query_block
+            for at in range(0, len(queries[0]), step):
+                yield self.tree.answers(*(part[at : at + step] for part in queries))
+        self.waiting = []
 
 
 def _search(batches: Iterator[pa.RecordBatch], plan: TreePlan) -> Iterator[pa.RecordBatch]:
-    """Rows of one shard after another: its vectors first (``queries`` null), then blocks of queries."""
-    shard, ids, vectors, trees = None, [], [], {}
+    """Rows of one shard after another: its vectors first (``reach`` null), then the queries that were sent to it."""
+    number, shard = None, None
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["shard"] != shard:
-                shard, ids, vectors, trees = row["shard"], [], [], {}
-            if row["queries"] is None:
-                ids.append(row["vec_id"])
-                vectors.append(np.array(row["vector"], np.float64))
+        if not batch.num_rows:
+            continue
+        of, asks = batch["shard"].to_numpy(), batch["reach"].is_valid().to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(of)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if of[a] != number:
+                if shard:
+                    yield from shard.flush()
+                number, shard = of[a], _Shard(len(batch["vector"][a]), plan)
+            column = lambda name: batch[name].slice(a, b - a).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            ids, vectors = column("vec_id"), matrix(batch["vector"], np.arange(a, b), shard.size)
+            if asks[a]:
+                yield from shard.ask(column("query_key"), ids, vectors, column("reach"))
+            else:
+                shard.hold(ids, vectors)
+    if shard:
+        yield from shard.flush()
+
+
+# -- routing --------------------------------------------------------------------------------
+
+
+class Router:
+    """A vantage-point tree whose leaves are shards, made of a sample; every vector has a place in it.
+
+    A leaf's marks are the vantages above it and its own centre. What distances to its marks its
+    vectors have (``low`` to ``high``) bounds, by the triangle inequality, how near any can be.
+    """
+
+    def __init__(self, points: np.ndarray, leaves: int):
+        points = np.unique(points, axis=0)
+        size = max(LEAF_SAMPLE, -(-len(points) // max(1, leaves)))
+        self.nodes: list[tuple] = [()]
+        marks, self.centers, above = [], [], []
+        todo = [(0, np.arange(len(points)), [])]
+        while todo:
+            at, rows, path = todo.pop()
+            if len(rows) <= max(2, size):
+                self.nodes[at] = (len(self.centers),)
+                self.centers.append(points[rows].mean(axis=0))
+                above.append(path)
+                continue
+            vantage, inner, outer, far = _halves(points, rows)
+            edge = (far[len(inner) - 1] + far[len(inner)]) / 2
+            children = len(self.nodes), len(self.nodes) + 1
+            self.nodes += [(), ()]
+            self.nodes[at] = (points[vantage], edge, *children)
+            marks.append(points[vantage])
+            for child, part in zip(children, (inner, outer), strict=True):
+                todo.append((child, part, [*path, len(marks) - 1]))
+        self.depth = max(map(len, above)) + 1
+        self.landmarks = np.array(marks + self.centers)
+        # Short paths are filled up with the leaf's own centre.
+        self.marks = np.array([path + [len(marks) + i] * (self.depth - len(path)) for i, path in enumerate(above)])
+
+    def far(self, vectors: np.ndarray) -> np.ndarray:
+        """Distances to all landmarks, centres being inside the unit ball."""
+        lengths = (self.landmarks**2).sum(axis=1)
+        return np.sqrt(np.maximum(0.0, 1.0 + lengths - 2.0 * (vectors @ self.landmarks.T)))
+
+    def placed(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each unit vector's leaf and its distances to that leaf's marks."""
+        leaf = np.zeros(len(vectors), np.int64)
+        todo = [(0, np.arange(len(vectors)))]
+        while todo:
+            at, rows = todo.pop()
+            if not len(rows):
+                continue
+            node = self.nodes[at]
+            if len(node) == 1:
+                leaf[rows] = node[0]
                 continue
-            asked: dict[int, list] = {}
-            for q in row["queries"]:
-                asked.setdefault(len(q["vector"]), []).append(q)
-            for size, some in asked.items():
-                if size not in trees:
-                    own = [i for i, v in enumerate(vectors) if len(v) == size]
-                    trees[size] = VantageTree(np.array([ids[i] for i in own], np.int64), np.array([vectors[i] for i in own]), plan) if own else None
-                if trees[size] is not None:
-                    yield _answers(trees[size], some, plan)
-
-
-def _answers(tree: VantageTree, some: list[dict], plan: TreePlan) -> pa.RecordBatch:
-    asked = np.array([q["vector"] for q in some], np.float64)
-    norms = np.sqrt(dot(asked, asked))
-    _, held = tree.nearest(asked / norms[:, None])
-    out: list[tuple] = []
-    for q, vector, norm, points in zip(some, asked, norms, held, strict=True):
-        points = points[points >= 0]
-        # The measure itself, in double precision, on the vectors as they were given.
-        scores = dot(tree.original[points], vector[None, :]) / (norm * tree.norms[points])
-        found = [(-s, i) for s, p in zip(scores.tolist(), points, strict=True) for i in tree.ids[p].tolist() if i != q["vec_id"]]
-        out += [(q["query_key"], q["vec_id"], i, -s) for s, i in sorted(found)[: plan.k]]
-    columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_key", "query_id", "vec_id", "score"])
+            vantage, edge, inner, outer = node
+            near = np.sqrt(squares(vectors[rows], vantage[None, :])[:, 0]) <= edge
+            todo += [(inner, rows[near]), (outer, rows[~near])]
+        return leaf, np.take_along_axis(self.far(vectors), self.marks[leaf], 1)
+
+    def bounds(self, vectors: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least distance that a vector of each leaf may have from each of ``vectors``."""
+        far = self.far(vectors)
+        least = np.zeros((len(vectors), len(self.marks)))
+        for j in range(self.depth):
+            own = far[:, self.marks[:, j]]
+            np.maximum(least, np.maximum(own - high[:, j], low[:, j] - own), out=least)
+        return least
+
+
+def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row numbers and unit vectors of a batch, by vector length."""
+    sizes = batch["vector"].value_lengths().to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        yield size, rows, units(matrix(batch["vector"], rows, size))
+
+
+def _place(batches: Iterator[pa.RecordBatch], routers: dict[int, Router]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        leaf, far = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
+        for size, rows, vectors in _by_size(batch):
+            if size in routers:
+                leaf[rows], own = routers[size].placed(vectors)
+                for r, f in zip(rows.tolist(), own.tolist(), strict=True):
+                    far[r] = f
+        yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["vector"], batch["asks"], pa.array(leaf), pa.array(far, pa.list_(pa.float64()))], ["vec_id", "vector", "asks", "leaf", "far"])
+
+
+def _route(batches: Iterator[pa.RecordBatch], routers: dict[int, Router], spans: dict[int, tuple[np.ndarray, np.ndarray]], factor: float, block: int) -> Iterator[pa.RecordBatch]:
+    """Queries with every leaf but their own that may hold something within their reach."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, block):
+            batch = whole.slice(at, block)
+            for size, rows, vectors in _by_size(batch):
+                if size not in routers:
+                    continue
+                reach = batch["reach"].to_numpy(zero_copy_only=False)[rows]
+                open_ = routers[size].bounds(vectors, *spans[size]) <= factor * reach[:, None] + SLACK
+                open_[np.arange(len(rows)), batch["leaf"].to_numpy()[rows]] = False
+                q, leaf = np.nonzero(open_)
+                if len(q):
+                    some = batch.take(pa.array(rows[q]))
+                    yield pa.RecordBatch.from_arrays([some["query_key"], some["vec_id"], some["vector"], some["reach"], pa.array(leaf.astype(np.int64))], ["query_key", "vec_id", "vector", "reach", "leaf"])
 
 
 def usable(vector: Column) -> Column:
@@ -170,29 +343,76 @@ def usable(vector: Column) -> Column:
     return F.coalesce((square > 0) & (square < float("inf")), F.lit(False))
 
 
+def _routers(kept: DataFrame, plan: TreePlan) -> dict[int, Router]:
+    """A top tree per vector length, from the bounded sample (smallest digests first)."""
+    sizes = kept.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(64).collect()
+    out = {}
+    for s in sizes:
+        leaves = -(-s.n // plan.shard_rows)
+        if leaves > 1:
+            most = max(LEAF_SAMPLE, min(plan.sample, plan.sample_values // s.size))
+            sampled = kept.where(F.size("vector") == s.size).select("vector", F.xxhash64("vec_id", "vector").alias("spread")).orderBy("spread").limit(most).select("vector")
+            vectors = sampled.toArrow()["vector"].combine_chunks()
+            out[s.size] = Router(units(matrix(vectors, np.arange(len(vectors)), s.size)), leaves)
+    return out
+
+
 def nearest(vectors: DataFrame, is_query: Column, plan: TreePlan = TreePlan(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` (cosine): each query's ``k`` nearest other rows.
 
-    Vectors are dealt to shards by their id's hash, about ``shard_rows`` to each, and each shard
-    builds a tree; the stated queries meet every shard in blocks of ``query_block``, and each
-    query's best per shard are ranked at last. Nothing is broadcast and a task holds one shard's
-    tree and one block.
+    A vantage-point tree over a bounded sample routes every row to a leaf; a leaf is one shard,
+    or several if it holds more than ``shard_rows``, copies included, and each shard builds its
+    tree. A query is searched in its own leaf first; its k-th distance there is its reach, and it
+    goes on to those leaves alone that the triangle inequality lets come within ``factor`` times
+    that. Each query's best per shard are ranked at last. A task holds one shard's tree and a
+    block of queries; the top tree and the leaves' bounds are of the sample's size.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor
-    do rows without an id. Vectors of another length than a query's are no candidates for it.
-    Rows of one id are never each other's candidates; exact repeats of a row count once. Ties go
-    to the smaller id. An empty table gives no rows; other columns are ignored.
+    do rows without an id. Vectors of another length than a query's are no candidates for it
+    (beyond the 64 commonest lengths, those of one length are one leaf). Rows of one id are never
+    each other's candidates; exact repeats of a row count once. Ties, however many, go to the
+    smaller id. An empty table gives no rows; other columns are ignored.
     """
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     kept = written(given.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).distinct(), "vectors")
-    total, asking = kept.agg(F.count("*"), F.count_if("asks")).first()
-    shards, blocks = max(1, -(-total // plan.shard_rows)), max(1, -(-asking // plan.query_block))
-    spread = F.xxhash64("vec_id", "vector")
-    rows = kept.select(F.pmod(spread, F.lit(shards)).cast("int").alias("shard"), "vec_id", "vector")
-    asked = kept.where("asks").groupBy(F.pmod(F.xxhash64("vec_id", "vector", F.lit(1)), F.lit(blocks)).alias("block"))
-    asked = asked.agg(F.collect_list(F.struct(spread.alias("query_key"), "vec_id", "vector")).alias("queries"))
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "queries")
-    both = rows.unionByName(asked, allowMissingColumns=True).repartitionById(shards, "shard")
-    found = both.sortWithinPartitions("shard", F.col("queries").isNotNull()).mapInArrow(lambda batches: _search(batches, plan), RESULT)
+    routers = _routers(kept, plan)
+    placed = written(kept.mapInArrow(lambda batches: _place(batches, routers), "vec_id long, vector array<double>, asks boolean, leaf long, far array<double>"), "vectors-placed")
+    discard(kept)
+    size = F.size("vector").alias("size")
+    deepest = max((r.depth for r in routers.values()), default=0)
+    marks = [f(F.get("far", F.lit(j))).alias(f"{name}{j}") for j in range(deepest) for name, f in (("low", F.min), ("high", F.max))]
+    leaves = placed.groupBy(size, "leaf").agg(F.count("*").alias("n"), *marks).orderBy("size", "leaf").collect()
+    spark, first, dealt, spans = vectors.sparkSession, 0, [], {}
+    for s, r in routers.items():
+        spans[s] = np.full((len(r.marks), r.depth), np.inf), np.full((len(r.marks), r.depth), -np.inf)  # no vector, never near
+    for row in leaves:
+        parts = -(-row.n // plan.shard_rows)
+        dealt.append((row["size"], row.leaf, first, parts))
+        first += parts
+        if row["size"] in routers:
+            for j in range(routers[row["size"]].depth):
+                spans[row["size"]][0][row.leaf, j], spans[row["size"]][1][row.leaf, j] = row[f"low{j}"], row[f"high{j}"]
+    numbers = F.broadcast(spark.createDataFrame(dealt, "size int, leaf long, first long, parts long").coalesce(1))
+
+    rows = placed.withColumn("size", size).join(numbers, ["size", "leaf"]).select((F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("shard"), "vec_id", "vector")
+
+    def searched(asked: DataFrame) -> DataFrame:
+        """(query_key, vec_id, vector, reach, leaf) to what each shard of those leaves holds nearest."""
+        sent = asked.withColumn("size", size).join(numbers, ["size", "leaf"])
+        sent = sent.withColumn("part", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1))).select(F.col("part").cast("int").alias("shard"), "vec_id", "vector", "query_key", "reach")
+        # Shards that nothing was sent to are not moved.
+        used = rows.join(sent.select("shard").distinct(), "shard", "left_semi")
+        both = used.unionByName(sent, allowMissingColumns=True).repartitionById(max(1, first), "shard")
+        return both.sortWithinPartitions("shard", F.col("reach").isNotNull()).mapInArrow(lambda batches: _search(batches, plan), FOUND)
+
     best = Window.partitionBy("query_key", "query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= plan.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= plan.k)
+    asked = placed.where("asks").select(F.xxhash64("vec_id", "vector").alias("query_key"), "vec_id", "vector", "leaf")
+    home = written(ranked(searched(asked.withColumn("reach", F.lit(float("inf"))))), "vectors-home")
+    found = home.drop("rank")
+    if routers:
+        reach = home.where(F.col("rank") == plan.k).select("query_key", F.col("query_id").alias("vec_id"), F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.col("score"))).alias("reach"))
+        onward = asked.join(reach, ["query_key", "vec_id"], "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+        onward = written(onward.mapInArrow(lambda batches: _route(batches, routers, spans, plan.factor, plan.query_block), "query_key long, vec_id long, vector array<double>, reach double, leaf long"), "vectors-onward")
+        found = found.unionByName(searched(onward))
+    return ranked(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -53,3 +53,27 @@ def test_relaxed_recall(spark):
     loose = run(df, 20, TreePlan(leaf_rows=16, factor=0.7))
     ids = lambda found: {(q, i) for q, _, i, _ in found}
     assert len(ids(loose) & ids(exact)) >= 0.9 * len(exact)
+
+
+def test_ties_beyond_any_store(spark):
+    """Many vectors of one direction, and many at one angle: ties go to the smallest ids, at any sharding."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(2 ** (i % 20)), 0.0, 0.0]) for i in rng.permutation(40).tolist()]
+    rows += [(100 + i, [0.0, [1.0, -1.0][i % 2], float(i % 3 - 1) * 0.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = by_hand(rows, lambda q: q % 10 == 0)
+    assert {(r, i) for q, r, i, _ in want if q == 0} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)}
+    for plan in (TreePlan(), TreePlan(shard_rows=16, leaf_rows=4), TreePlan(shard_rows=7, leaf_rows=2, query_block=3)):
+        assert run(df, 10, plan) == want
+
+
+@pytest.mark.parametrize("spread", [0.1, 1.0])
+def test_routed_search_is_exact(spark, spread):
+    """Queries meet other leaves where the triangle inequality lets them, and on clustered vectors few of them."""
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(30, 12))
+    data = centers[rng.integers(0, 30, 2500)] + spread * rng.normal(size=(2500, 12))
+    data[::3] = data[0]  # a third of all rows in one leaf
+    rows = [(i, v.tolist()) for i, v in enumerate(data)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert run(df, 40, TreePlan(shard_rows=64, leaf_rows=16, sample=800)) == by_hand(rows, lambda q: q % 40 == 0)
