@@ -1,4 +1,4 @@
-"""Operator 2: nearest neighbours by vantage-point trees per shard, behind a top tree that routes to shards."""
+"""Operator 2: nearest neighbours by vantage-point trees per shard, behind a router of vantages."""
 
 from __future__ import annotations
 
@@ -20,9 +20,10 @@ class TreePlan:
     """``factor`` relaxes pruning: a subtree or a shard is left out if its least possible distance
     exceeds ``factor`` times the distance of the k-th found so far. One is exact; less is faster.
 
-    ``sample`` rows, and no more than ``sample_values`` components, are what the top tree is made
-    of; every row is routed by it. ``shard_rows`` is what a shard holds about, ``leaf_rows`` what
-    a leaf of a shard's tree does, and ``query_block`` queries are searched at a time.
+    ``sample`` rows, and no more than ``sample_values`` components, are what the router's vantages
+    are chosen from; every row is routed by it. ``shard_rows`` is what a shard holds about,
+    ``leaf_rows`` what a leaf of a shard's tree and a cell of the router do, and ``query_block``
+    queries are searched at a time.
     """
 
     k: int = 5
@@ -38,8 +39,8 @@ class TreePlan:
 SLACK2, SLACK = 1e-12, 1e-6
 #: Neighbours kept beyond k while a tree is searched; a query with more ties is measured against its whole shard.
 SPARE = 4
-#: The least rows of the sample behind a leaf of the top tree.
-LEAF_SAMPLE = 16
+#: The least rows of the sample to a cell of the router.
+CELL_SAMPLE = 16
 
 
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -236,69 +237,54 @@ def _search(batches: Iterator[pa.RecordBatch], plan: TreePlan) -> Iterator[pa.Re
 # -- routing --------------------------------------------------------------------------------
 
 
+def _spread_out(points: np.ndarray, count: int) -> np.ndarray:
+    """Up to ``count`` of the points, each the farthest from those before it."""
+    chosen, far = [0], squares(points[:1], points)[0]
+    while len(chosen) < min(count, len(points)) and far.max() > SLACK2:
+        chosen.append(int(far.argmax()))
+        np.minimum(far, squares(points[chosen[-1:]], points)[0], out=far)
+    return points[chosen]
+
+
+def _tree_order(points: np.ndarray, leaf: int = 4) -> np.ndarray:
+    """The points' numbers in the order of a vantage-point tree's leaves, so that neighbours stand together."""
+    out, todo = [], [np.arange(len(points))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= leaf:
+            out.append(rows)
+            continue
+        vantage, inner, outer, _ = _halves(points, rows)
+        todo += [np.append(outer, vantage), inner]
+    return np.concatenate(out)
+
+
 class Router:
-    """A vantage-point tree whose leaves are shards, made of a sample; every vector has a place in it.
+    """Vantages that are spread over a sample; each vector is in the cell of the nearest one.
 
-    A leaf's marks are the vantages above it and its own centre. What distances to its marks its
-    vectors have (``low`` to ``high``) bounds, by the triangle inequality, how near any can be.
+    ``low`` and ``high`` are what distances a cell's vectors have from its vantage; they bound, by
+    the triangle inequality, how near to a query any of them can be.
     """
 
-    def __init__(self, points: np.ndarray, leaves: int):
+    def __init__(self, points: np.ndarray, cells: int):
         points = np.unique(points, axis=0)
-        size = max(LEAF_SAMPLE, -(-len(points) // max(1, leaves)))
-        self.nodes: list[tuple] = [()]
-        marks, self.centers, above = [], [], []
-        todo = [(0, np.arange(len(points)), [])]
-        while todo:
-            at, rows, path = todo.pop()
-            if len(rows) <= max(2, size):
-                self.nodes[at] = (len(self.centers),)
-                self.centers.append(points[rows].mean(axis=0))
-                above.append(path)
-                continue
-            vantage, inner, outer, far = _halves(points, rows)
-            edge = (far[len(inner) - 1] + far[len(inner)]) / 2
-            children = len(self.nodes), len(self.nodes) + 1
-            self.nodes += [(), ()]
-            self.nodes[at] = (points[vantage], edge, *children)
-            marks.append(points[vantage])
-            for child, part in zip(children, (inner, outer), strict=True):
-                todo.append((child, part, [*path, len(marks) - 1]))
-        self.depth = max(map(len, above)) + 1
-        self.landmarks = np.array(marks + self.centers)
-        # Short paths are filled up with the leaf's own centre.
-        self.marks = np.array([path + [len(marks) + i] * (self.depth - len(path)) for i, path in enumerate(above)])
-
-    def far(self, vectors: np.ndarray) -> np.ndarray:
-        """Distances to all landmarks, centres being inside the unit ball."""
-        lengths = (self.landmarks**2).sum(axis=1)
-        return np.sqrt(np.maximum(0.0, 1.0 + lengths - 2.0 * (vectors @ self.landmarks.T)))
+        vantages = _spread_out(points, max(1, min(cells, len(points) // CELL_SAMPLE)))
+        self.vantages = vantages[_tree_order(vantages)]
 
     def placed(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each unit vector's leaf and its distances to that leaf's marks."""
-        leaf = np.zeros(len(vectors), np.int64)
-        todo = [(0, np.arange(len(vectors)))]
-        while todo:
-            at, rows = todo.pop()
-            if not len(rows):
-                continue
-            node = self.nodes[at]
-            if len(node) == 1:
-                leaf[rows] = node[0]
-                continue
-            vantage, edge, inner, outer = node
-            near = np.sqrt(squares(vectors[rows], vantage[None, :])[:, 0]) <= edge
-            todo += [(inner, rows[near]), (outer, rows[~near])]
-        return leaf, np.take_along_axis(self.far(vectors), self.marks[leaf], 1)
+        """Each unit vector's cell and its distance from the cell's vantage."""
+        far = squares(vectors, self.vantages)
+        cell = far.argmin(axis=1)
+        return cell, np.sqrt(far[np.arange(len(vectors)), cell])
 
     def bounds(self, vectors: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The least distance that a vector of each leaf may have from each of ``vectors``."""
-        far = self.far(vectors)
-        least = np.zeros((len(vectors), len(self.marks)))
-        for j in range(self.depth):
-            own = far[:, self.marks[:, j]]
-            np.maximum(least, np.maximum(own - high[:, j], low[:, j] - own), out=least)
-        return least
+        """The least distance that a vector of each cell may have from each of ``vectors``.
+
+        A vector is no farther from its own vantage than from the query's, so half of what the
+        query lies nearer to its own is a bound as well.
+        """
+        far = np.sqrt(squares(vectors, self.vantages))
+        return np.maximum(np.maximum(far - high, low - far), (far - far.min(axis=1, keepdims=True)) / 2)
 
 
 def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -311,17 +297,15 @@ def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarra
 
 def _place(batches: Iterator[pa.RecordBatch], routers: dict[int, Router]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        leaf, far = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
+        cell, far = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
         for size, rows, vectors in _by_size(batch):
             if size in routers:
-                leaf[rows], own = routers[size].placed(vectors)
-                for r, f in zip(rows.tolist(), own.tolist(), strict=True):
-                    far[r] = f
-        yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["vector"], batch["asks"], pa.array(leaf), pa.array(far, pa.list_(pa.float64()))], ["vec_id", "vector", "asks", "leaf", "far"])
+                cell[rows], far[rows] = routers[size].placed(vectors)
+        yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["vector"], batch["asks"], pa.array(cell), pa.array(far)], ["vec_id", "vector", "asks", "cell", "far"])
 
 
-def _route(batches: Iterator[pa.RecordBatch], routers: dict[int, Router], spans: dict[int, tuple[np.ndarray, np.ndarray]], factor: float, block: int) -> Iterator[pa.RecordBatch]:
-    """Queries with every leaf but their own that may hold something within their reach."""
+def _route(batches: Iterator[pa.RecordBatch], routers: dict[int, Router], spans: dict[int, tuple[np.ndarray, ...]], factor: float, block: int) -> Iterator[pa.RecordBatch]:
+    """Queries with every group but their own that has a cell that may hold something within their reach."""
     for whole in batches:
         for at in range(0, whole.num_rows, block):
             batch = whole.slice(at, block)
@@ -329,12 +313,14 @@ def _route(batches: Iterator[pa.RecordBatch], routers: dict[int, Router], spans:
                 if size not in routers:
                     continue
                 reach = batch["reach"].to_numpy(zero_copy_only=False)[rows]
-                open_ = routers[size].bounds(vectors, *spans[size]) <= factor * reach[:, None] + SLACK
-                open_[np.arange(len(rows)), batch["leaf"].to_numpy()[rows]] = False
-                q, leaf = np.nonzero(open_)
+                low, high, begin = spans[size]
+                near = routers[size].bounds(vectors, low, high) <= factor * reach[:, None] + SLACK
+                near = np.logical_or.reduceat(near, begin, axis=1)
+                near[np.arange(len(rows)), batch["group"].to_numpy()[rows]] = False
+                q, group = np.nonzero(near)
                 if len(q):
                     some = batch.take(pa.array(rows[q]))
-                    yield pa.RecordBatch.from_arrays([some["query_key"], some["vec_id"], some["vector"], some["reach"], pa.array(leaf.astype(np.int64))], ["query_key", "vec_id", "vector", "reach", "leaf"])
+                    yield pa.RecordBatch.from_arrays([some["query_key"], some["vec_id"], some["vector"], some["reach"], pa.array(group.astype(np.int64))], ["query_key", "vec_id", "vector", "reach", "group"])
 
 
 def usable(vector: Column) -> Column:
@@ -344,61 +330,77 @@ def usable(vector: Column) -> Column:
 
 
 def _routers(kept: DataFrame, plan: TreePlan) -> dict[int, Router]:
-    """A top tree per vector length, from the bounded sample (smallest digests first)."""
+    """A router per vector length, from the bounded sample (smallest digests first)."""
     sizes = kept.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(64).collect()
     out = {}
     for s in sizes:
-        leaves = -(-s.n // plan.shard_rows)
-        if leaves > 1:
-            most = max(LEAF_SAMPLE, min(plan.sample, plan.sample_values // s.size))
+        if s.n > plan.shard_rows:
+            most = max(CELL_SAMPLE, min(plan.sample, plan.sample_values // s.size))
             sampled = kept.where(F.size("vector") == s.size).select("vector", F.xxhash64("vec_id", "vector").alias("spread")).orderBy("spread").limit(most).select("vector")
             vectors = sampled.toArrow()["vector"].combine_chunks()
-            out[s.size] = Router(units(matrix(vectors, np.arange(len(vectors)), s.size)), leaves)
+            out[s.size] = Router(units(matrix(vectors, np.arange(len(vectors)), s.size)), -(-s.n // plan.leaf_rows))
     return out
 
 
+def _grouped(counts: np.ndarray, most: int) -> np.ndarray:
+    """The group of each cell: neighbours together, up to ``most`` rows; a larger cell is one alone."""
+    groups, at, held = np.zeros(len(counts), np.int64), 0, 0
+    for i, n in enumerate(counts.tolist()):
+        if i and held + n > most:
+            at, held = at + 1, 0
+        groups[i] = at
+        held += n
+    return groups
+
+
 def nearest(vectors: DataFrame, is_query: Column, plan: TreePlan = TreePlan(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` (cosine): each query's ``k`` nearest other rows.
 
-    A vantage-point tree over a bounded sample routes every row to a leaf; a leaf is one shard,
-    or several if it holds more than ``shard_rows``, copies included, and each shard builds its
-    tree. A query is searched in its own leaf first; its k-th distance there is its reach, and it
-    goes on to those leaves alone that the triangle inequality lets come within ``factor`` times
-    that. Each query's best per shard are ranked at last. A task holds one shard's tree and a
-    block of queries; the top tree and the leaves' bounds are of the sample's size.
+    Vantages from a bounded sample route every row to a cell; neighbouring cells make up a shard,
+    a cell of more than ``shard_rows``, copies included, several, and each shard builds its
+    vantage-point tree. A query is searched in its own shard first; its k-th distance there is
+    its reach, and it goes on to those shards alone that have a cell which the triangle
+    inequality lets come within ``factor`` times that. Each query's best per shard are ranked at
+    last. A task holds one shard's tree and a block of queries; the vantages and the cells'
+    bounds are of the sample's size.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor
     do rows without an id. Vectors of another length than a query's are no candidates for it
-    (beyond the 64 commonest lengths, those of one length are one leaf). Rows of one id are never
+    (beyond the 64 commonest lengths, those of one length are one cell). Rows of one id are never
     each other's candidates; exact repeats of a row count once. Ties, however many, go to the
     smaller id. An empty table gives no rows; other columns are ignored.
     """
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     kept = written(given.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).distinct(), "vectors")
     routers = _routers(kept, plan)
-    placed = written(kept.mapInArrow(lambda batches: _place(batches, routers), "vec_id long, vector array<double>, asks boolean, leaf long, far array<double>"), "vectors-placed")
+    placed = written(kept.mapInArrow(lambda batches: _place(batches, routers), "vec_id long, vector array<double>, asks boolean, cell long, far double"), "vectors-placed")
     discard(kept)
     size = F.size("vector").alias("size")
-    deepest = max((r.depth for r in routers.values()), default=0)
-    marks = [f(F.get("far", F.lit(j))).alias(f"{name}{j}") for j in range(deepest) for name, f in (("low", F.min), ("high", F.max))]
-    leaves = placed.groupBy(size, "leaf").agg(F.count("*").alias("n"), *marks).orderBy("size", "leaf").collect()
-    spark, first, dealt, spans = vectors.sparkSession, 0, [], {}
-    for s, r in routers.items():
-        spans[s] = np.full((len(r.marks), r.depth), np.inf), np.full((len(r.marks), r.depth), -np.inf)  # no vector, never near
-    for row in leaves:
-        parts = -(-row.n // plan.shard_rows)
-        dealt.append((row["size"], row.leaf, first, parts))
-        first += parts
-        if row["size"] in routers:
-            for j in range(routers[row["size"]].depth):
-                spans[row["size"]][0][row.leaf, j], spans[row["size"]][1][row.leaf, j] = row[f"low{j}"], row[f"high{j}"]
-    numbers = F.broadcast(spark.createDataFrame(dealt, "size int, leaf long, first long, parts long").coalesce(1))
-
-    rows = placed.withColumn("size", size).join(numbers, ["size", "leaf"]).select((F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("shard"), "vec_id", "vector")
+    by_size: dict[int, list] = {}
+    for row in placed.groupBy(size, "cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect():
+        by_size.setdefault(row["size"], []).append(row)
+    first, of_cell, of_group, spans = 0, [], [], {}
+    for s, own in by_size.items():
+        counts = np.zeros(len(routers[s].vantages) if s in routers else 1, np.int64)
+        low, high = np.full(len(counts), np.inf), np.full(len(counts), -np.inf)  # no vector, never near
+        for r in own:
+            counts[r.cell], low[r.cell], high[r.cell] = r.n, r.low, r.high
+        group = _grouped(counts, plan.shard_rows)
+        of_cell += [(s, cell, g) for cell, g in enumerate(group.tolist())]
+        for g, held in enumerate(np.bincount(group, counts).astype(np.int64).tolist()):
+            parts = max(1, -(-held // plan.shard_rows))
+            of_group.append((s, g, first, parts))
+            first += parts
+        spans[s] = low, high, np.searchsorted(group, np.arange(group[-1] + 1))
+    small = lambda rows, columns: F.broadcast(vectors.sparkSession.createDataFrame(rows, columns).coalesce(1))
+    groups, numbers = small(of_cell, "size int, cell long, group long"), small(of_group, "size int, group long, first long, parts long")
+
+    grouped = placed.drop("far").withColumn("size", size).join(groups, ["size", "cell"])
+    rows = grouped.join(numbers, ["size", "group"]).select((F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("shard"), "vec_id", "vector")
 
     def searched(asked: DataFrame) -> DataFrame:
-        """(query_key, vec_id, vector, reach, leaf) to what each shard of those leaves holds nearest."""
-        sent = asked.withColumn("size", size).join(numbers, ["size", "leaf"])
+        """(query_key, vec_id, vector, reach, group) to what each shard of those groups holds nearest."""
+        sent = asked.withColumn("size", size).join(numbers, ["size", "group"])
         sent = sent.withColumn("part", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1))).select(F.col("part").cast("int").alias("shard"), "vec_id", "vector", "query_key", "reach")
         # Shards that nothing was sent to are not moved.
         used = rows.join(sent.select("shard").distinct(), "shard", "left_semi")
@@ -407,12 +409,12 @@ def nearest(vectors: DataFrame, is_query: Column, plan: TreePlan = TreePlan(), i
 
     best = Window.partitionBy("query_key", "query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= plan.k)
-    asked = placed.where("asks").select(F.xxhash64("vec_id", "vector").alias("query_key"), "vec_id", "vector", "leaf")
+    asked = grouped.where("asks").select(F.xxhash64("vec_id", "vector").alias("query_key"), "vec_id", "vector", "group")
     home = written(ranked(searched(asked.withColumn("reach", F.lit(float("inf"))))), "vectors-home")
     found = home.drop("rank")
     if routers:
         reach = home.where(F.col("rank") == plan.k).select("query_key", F.col("query_id").alias("vec_id"), F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.col("score"))).alias("reach"))
         onward = asked.join(reach, ["query_key", "vec_id"], "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
-        onward = written(onward.mapInArrow(lambda batches: _route(batches, routers, spans, plan.factor, plan.query_block), "query_key long, vec_id long, vector array<double>, reach double, leaf long"), "vectors-onward")
+        onward = written(onward.mapInArrow(lambda batches: _route(batches, routers, spans, plan.factor, plan.query_block), "query_key long, vec_id long, vector array<double>, reach double, group long"), "vectors-onward")
         found = found.unionByName(searched(onward))
     return ranked(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
