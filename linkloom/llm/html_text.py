@@ -34,6 +34,8 @@ UNLIKELY = re.compile(
     r"subscribe|newsletter|signup|login|search|widget|tags|legal|copyright|skip|complementary|contentinfo|navigation)(?=$|[\s_-])",
     re.I,
 )
+#: Of those, words that inside an article mark only what consists of links.
+DOUBTFUL = re.compile(r"(?:alert|side|widget|tags|legal|copyright|skip|search|replies|responses|header)", re.I)
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|text|body)(?=$|[\s_-])", re.I)
 
 #: Of those, words that mark what isn't the article whatever stands beside them in a name.
@@ -42,25 +44,29 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=\s|=|/|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
 
-#: Ancestors that a paragraph's points reach.
-LEVELS = 6
+#: What the points of a paragraph are divided by on their way up through its ancestors.
+DISCOUNTS = (1, 2, 6, 9, 12, 15)
 SIBLING_SHARE, MENU_LINKS = 0.2, 0.6
+MENUS = frozenset("ul ol div table section dl".split())
+ARTICLES = frozenset(("article", "main"))
 
 
-def unlikely(names: str) -> bool:
-    """Whether class, id and role mark an element as no part of the article.
+def unlikely(names: str) -> bool | None:
+    """Whether class, id and role mark an element as no part of the article; None if only doubtful words do.
 
     A name counts by its last word ("article-footer" is a footer, "sidebar-content" may be content)
     or by a word that never is article; a plainly likely name beside it outweighs it.
     """
-    marked = False
+    marked, doubtful = False, False
     for name in names.split():
         if UNLIKELY.search(name):
             last = re.split(r"[_-]", name)[-1]
-            marked |= bool(NEVER.search(name)) or not LIKELY.search(last)
+            if NEVER.search(name) or not LIKELY.search(last):
+                doubt = bool(DOUBTFUL.fullmatch(last)) and not NEVER.search(name)
+                marked, doubtful = marked or not doubt, doubtful or doubt
         elif LIKELY.search(name):
             return False
-    return marked
+    return True if marked else None if doubtful else False
 
 
 class Page:
@@ -68,6 +74,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.dropped, self.bonus, self.inside = ["#root"], [-1], [False], [0.0], [False]
+        self.names, self.doubtful = [""], [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters inside links
         self._read(source)
 
@@ -75,15 +82,18 @@ class Page:
         parent = stack[-1]
         names = " ".join(a or b or c for _, a, b, c in NAMED.findall(attrs)) if attrs else ""
         bad = tag in DROPPED or (tag == "header" and not self.inside[parent]) or bool(attrs and HIDDEN.search(attrs))
-        if names and tag not in ("html", "body", "article", "main") and unlikely(names):
+        mark = unlikely(names) if names and tag not in ("html", "body", "article", "main") else False
+        if mark or (mark is None and not self.inside[parent]):
             bad = True
         elif names and tag == "article" and re.search(r"(?:^|[\s_-])comments?(?=$|[\s_-])", names, re.I):
             bad = True
         self.tags.append(tag)
         self.parents.append(parent)
-        self.inside.append(self.inside[parent] or tag in ("article", "main"))
+        self.names.append(names)
+        self.doubtful.append(mark is None)
+        self.inside.append(self.inside[parent] or tag in ARTICLES)
         self.dropped.append(self.dropped[parent] or bad)
-        self.bonus.append(25.0 if tag in ("article", "main") else 5.0 if names and LIKELY.search(names) else 0.0)
+        self.bonus.append(25.0 if tag in ARTICLES else 5.0 if names and LIKELY.search(names) else 0.0)
         stack.append(len(self.tags) - 1)
 
     def _read(self, source: str) -> None:
@@ -164,39 +174,60 @@ class Page:
         flush()
 
     def main_text(self) -> str:
-        """Blocks of the best container and of siblings that score like it, joined by one space."""
+        """Blocks of the best container and of siblings that belong to it, joined by one space.
+
+        A paragraph's points go to the first element above that holds more than it: wrappers
+        around a single block, unless named like an article, are part of the block. If the best
+        container lies in an article, that is taken whole.
+        """
         n = len(self.tags)
-        score, chars, links = [0.0] * n, [0] * n, [0] * n
+        score, chars, links, held, prose = [0.0] * n, [0] * n, [0] * n, [0] * n, [False] * n
         candidate = [False] * n
         for node, text, linked in self.blocks:
             chars[node] += len(text)
             links[node] += linked
-            points = (1 + text.count(",") + text.count("،") + text.count("、") + min(len(text) / 100, 3.0)) * (1 - linked / len(text))
-            if self.tags[node] in HEADING:
-                points = 0.5
+            held[node] += 1
+            prose[node] |= self.tags[node] in PARAGRAPH
+        for i in range(n - 1, 0, -1):
+            up = self.parents[i]
+            chars[up] += chars[i]
+            links[up] += links[i]
+            held[up] += held[i]
+            prose[up] |= prose[i]
+        for node, text, linked in self.blocks:
+            points = 0.5 if self.tags[node] in HEADING else (1 + sum(map(text.count, ",،、")) + min(len(text) / 100, 3.0)) * (1 - linked / len(text))
             up = self.parents[node] if self.tags[node] in PARAGRAPH else node
-            for level in range(LEVELS):
+            while up > 0 and held[up] == 1 and not self.bonus[up]:
+                up = self.parents[up]
+            for discount in DISCOUNTS:
                 if up < 0:
                     break
-                score[up] += points / (1, 2, 6, 9, 12, 15)[level]
+                score[up] += points / discount
                 candidate[up] = True
                 up = self.parents[up]
-        for i in range(n - 1, 0, -1):
-            chars[self.parents[i]] += chars[i]
-            links[self.parents[i]] += links[i]
-        final = [(score[i] + self.bonus[i]) * (1 - links[i] / max(1, chars[i])) if candidate[i] else 0.0 for i in range(n)]
+        density = [links[i] / max(1, chars[i]) for i in range(n)]
+        final = [(score[i] + self.bonus[i]) * (1 - density[i]) if candidate[i] else 0.0 for i in range(n)]
         best = max(range(n), key=lambda i: (final[i], -i), default=0)
         if not final[best]:
             return " ".join(t for _, t, _ in self.blocks)
+        at = best
+        while at > 0 and self.tags[at] not in ARTICLES:
+            at = self.parents[at]
+        best = at if at > 0 else best
         kept = [False] * n
         kept[best] = True
         least = final[best] * SIBLING_SHARE
-        if best:
-            for i in range(1, n):
-                if self.parents[i] == self.parents[best] and i != best:
-                    dense = links[i] / max(1, chars[i])
-                    kept[i] = final[i] >= least or (self.tags[i] == "p" and dense < 0.25 and (chars[i] > 80 or not dense and chars[i] > 0))
-        menu = [self.tags[i] in ("ul", "ol", "div", "table", "section", "dl") and i != best and links[i] > MENU_LINKS * max(1, chars[i]) for i in range(n)]
+        siblings = [i for i in range(1, n) if best and self.parents[i] == self.parents[best]]
+        for i in siblings:
+            alike = (self.tags[i], self.names[i]) == (self.tags[best], self.names[best]) and prose[i] and density[i] < 0.25
+            short = self.tags[i] == "p" and density[i] < 0.25 and (chars[i] > 80 or not density[i] and chars[i] > 0)
+            kept[i] = kept[i] or final[i] >= least or alike or short
+        for i in reversed([i for i in siblings if i < best]):  # headings right above what is kept
+            if self.tags[i] in HEADING:
+                kept[i] = True
+            if chars[i] and not kept[i]:
+                break
+        menu = [self.tags[i] in MENUS and i != best and density[i] > MENU_LINKS and (self.doubtful[i] or not self.inside[i]) for i in range(n)]
         for i in range(1, n):
             kept[i] = (kept[i] or kept[self.parents[i]]) and not menu[i] and not self.dropped[i]
         return " ".join(t for node, t, _ in self.blocks if kept[node])
@@ -218,9 +249,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: ``page_id``, ``url``, ``text`` (empty if none) and ``n_chars``.
 
     Paragraphs pass points for length and commas to their ancestors, a half to the second and
-    less beyond, discounted by link density; the best container and siblings that score a fifth
-    of it are kept, without menus inside them. Elements that are never article (navigation,
-    footers, forms, scripts, or named as adverts, comments and the like) take no part.
+    less beyond, discounted by link density; the best container (the article around it, if there
+    is one) is kept, with the headings above it and siblings that score a fifth of it or are of
+    its kind, without menus inside them. Elements that are never article (navigation, footers,
+    forms, scripts, or named as adverts, comments and the like) take no part.
 
     Null or empty html gives empty text; repeated rows give a row each; an empty table gives no
     rows; other columns are ignored. One pass, no shuffle; whole pages are read however long.
