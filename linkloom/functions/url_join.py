@@ -122,6 +122,12 @@ def original_images(url: Column) -> Column:
     return F.when(url.contains("/_next/image"), run(url)).otherwise(url)
 
 
+def redirect_target(url: Column, status: Column, location: Column) -> Column:
+    """Where a 3xx response leads, resolved against its URL; null if nowhere. Only such rows are resolved."""
+    leads = status.between(300, 399) & location.rlike(r"^[\x20-\x7E\t]*$")
+    return F.get(joined(F.when(leads, url), F.when(leads, F.array(location))), F.lit(0))
+
+
 def joined(base: Column, references: Column) -> Column:
     """An array of references resolved against one base each row; null where one isn't a URL."""
 

@@ -53,26 +53,40 @@ def source_filename(source: Column) -> Column:
     return F.when(source.isNotNull(), F.substring_index(F.substring_index(path, "/", -1), ".", 1))
 
 
+def form_decoded(text: Column) -> Column:
+    """A name or value of a form-encoded query: plus signs are spaces, percent signs before no digits stand for themselves."""
+    return F.url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def drop_tracking(query: Column, config: CrawlConfig = DEFAULT) -> Column:
-    """Query pairs whose name isn't a tracking parameter; empty pairs vanish as in form encoding."""
+    """Pairs of a query, decoded and encoded anew as forms are, without those of a tracking parameter; empty ones vanish."""
     names = [F.lit(p) for p in config.tracking_params]
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(*names))
-    return F.array_join(F.transform(kept, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("=")))), "&")
+    part = lambda p, i: form_decoded(F.regexp_extract(p, "^([^=]*)=?(.*)$", i))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(part(p, 1).alias("name"), part(p, 2).alias("value")))
+    kept = F.filter(pairs, lambda p: ~p["name"].isin(*names))
+    return F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(p["value"]))), "&")
+
+
+def query_encoded(text: Column) -> Column:
+    """Text as a URL's query holds it: only what a query can't hold is percent-encoded."""
+    # Fixed value: the characters that stand for themselves there.
+    fits = r"[!$-&(-;=?-~]"
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(fits), c).when(c == " ", F.lit("%20")).otherwise(F.url_encode(c))), "")
 
 
 def clean_page_url(url: Column, config: CrawlConfig = DEFAULT) -> Column:
     """Tracking parameters, video links, fragment and explicit 80/443 ports cleaned up."""
     scheme, host, port, path = scheme_of(url), url_part(url, 2), url_part(url, 3), path_of(url)
     query = drop_tracking(url_part(url, 5), config)
-    video = F.regexp_extract(query, r"(?:^|&)v=([^&]*)", 1)
+    video = query_encoded(form_decoded(F.regexp_extract(query, r"(?:^|&)v=([^&]*)", 1)))
     has_video = query.rlike(r"(?:^|&)v=")
     watch = (host == "www.youtube.com") & (path == "/watch") & has_video
     query = F.when(watch, F.concat(F.lit("v="), video)).otherwise(query)
-    short = (host == "youtu.be") & (F.regexp_extract(path, r"^/([^/]+)", 1) != "")
+    short = host == "youtu.be"
     kept_port = F.when((port == "") | port.isin("80", "443"), F.lit("")).otherwise(F.concat(F.lit(":"), port))
     tail = F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))
     usual = F.concat(scheme, F.lit("://"), host, kept_port, path, tail)
-    brief = F.concat(F.lit("https://www.youtube.com/watch?v="), F.url_encode(F.regexp_extract(path, r"^/([^/]+)", 1)))
+    brief = F.concat(F.lit("https://www.youtube.com/watch?v="), F.url_encode(F.regexp_extract(path, r"^/([^/]*)", 1)))
     return F.when(scheme.isin("http", "https"), F.when(short, brief).otherwise(usual)).otherwise(F.regexp_replace(url, "#.*$", ""))
 
 
@@ -88,10 +102,5 @@ def proxied_image_url(url: Column) -> Column:
     )
 
 
-def redirect_target(status: Column, location: Column) -> Column:
-    """S6 for absolute locations: a 3xx response's target, else null."""
-    return F.when(status.between(300, 399) & location.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), location)
-
-
 def is_web(url: Column) -> Column:
     return F.coalesce(url.rlike(r"^https?:"), F.lit(False))

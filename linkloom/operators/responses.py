@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from linkloom.config import DEFAULT, CrawlConfig
 from linkloom.functions.hosts import host_is_plain
-from linkloom.functions.urls import host_of, page_id, redirect_target
+from linkloom.functions.url_join import redirect_target
+from linkloom.functions.urls import host_of, page_id
 
 
-def page_kind(url: Column, status: Column, headers: Column, body: Column, config: CrawlConfig = DEFAULT) -> Column:
-    """Q1, Q2, Q3, Q5, Q8, P25: in the order in which they are looked at."""
-    target = redirect_target(status, headers["location"])
+def page_kind(url: Column, status: Column, headers: Column, body: Column, target: Column, config: CrawlConfig = DEFAULT) -> Column:
+    """Q1, Q2, Q3, Q5, Q8, P25: in the order in which they are looked at; ``target`` is that of ``redirect_target``."""
     kind = F.coalesce(headers["content-type"], F.lit("text/html"))
     html = kind.startswith("text/html") | kind.startswith("application/xhtml")
     return (
@@ -28,10 +28,11 @@ def page_rows(responses: DataFrame, config: CrawlConfig = DEFAULT) -> DataFrame:
     All kinds but ``bad_host`` and ``not_html`` are successes with ``failed`` 0 (error pages are
     empty pages); those two count as failures.
     """
-    kind = page_kind(F.col("url"), F.col("status"), F.col("headers"), F.col("body"), config)
-    rows = responses.withColumn("kind", kind)
+    target = redirect_target(F.col("url"), F.col("status"), F.col("headers")["location"])
+    rows = responses.withColumn("__target", target)
+    rows = rows.withColumn("kind", page_kind(F.col("url"), F.col("status"), F.col("headers"), F.col("body"), F.col("__target"), config))
     return rows.select(
-        "url", page_id(F.col("url")).alias("page_id"), "kind", F.when(F.col("kind") == "redirect", F.col("headers")["location"]).alias("redirects_to"),
+        "url", page_id(F.col("url")).alias("page_id"), "kind", F.when(F.col("kind") == "redirect", F.col("__target")).alias("redirects_to"),
         F.when(F.col("kind") == "ok", _lossy(F.col("body"))).alias("html"),
         F.col("fetched_at").alias("last_visited"), F.col("kind").isin("bad_host", "not_html").alias("is_failure"),
     )

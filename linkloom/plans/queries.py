@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linkloom.config import DEFAULT, DEFAULT_DELAY_S, RATE_RULES
 from linkloom.functions import hosts, images, urls
+from linkloom.functions.url_join import redirect_target
 from linkloom.operators import edges as E
 from linkloom.operators import frontier, html_links, image_candidates, maintenance, rank, responses, snapshot, state
 from linkloom.plans.fixtures import duck_view, spark_view
@@ -104,8 +105,11 @@ def q_page_id_parse(spark, sf):
 
 
 def sql_clean(url: str) -> str:
-    """Clean-up of URLs whose query holds ``name=value`` pairs."""
-    query = f"array_to_string(list_filter(string_split({sql_part(url, 5)}, '&'), lambda p: p <> '' AND string_split(p, '=')[1] NOT IN ('ref', 'si')), '&')"
+    """Clean-up of URLs: pairs of the query decoded, filtered by name and form-encoded again."""
+    decoded = lambda x: f"url_decode(replace({x}, '+', ' '))"
+    encoded = lambda x: f"replace(replace(replace(url_encode({x}), '~', '%7E'), '%2A', '*'), '%20', '+')"
+    name, value = decoded("regexp_extract(p, '^[^=]*')"), decoded("regexp_extract(p, '^[^=]*=(.*)$', 1)")
+    query = f"array_to_string(list_transform(list_filter(string_split({sql_part(url, 5)}, '&'), lambda p: p <> '' AND {name} NOT IN ('ref', 'si')), lambda p: {encoded(name)} || '=' || {encoded(value)}), '&')"
     port = f"CASE WHEN {sql_part(url, 3)} IN ('', '80', '443') THEN '' ELSE ':' || {sql_part(url, 3)} END"
     host, path = sql_part(url, 2), sql_part(url, 4)
     asked = f"CASE WHEN {host} = 'www.youtube.com' AND {path} = '/watch' AND regexp_matches({query}, '(?:^|&)v=') THEN 'v=' || regexp_extract({query}, '(?:^|&)v=([^&]*)', 1) ELSE {query} END"
@@ -128,6 +132,18 @@ def q_clean_url_youtube(spark, sf):
     return spark.sql(_VARIED, pages=table(spark, sf, "pages")).select("page_id", urls.clean_page_url(F.col("url")).alias("cleaned"))
 
 
+#: Queries that are written otherwise than forms are, and what the clean-up makes of them.
+_ENCODED = """SELECT page_id, concat('http://h.example/p?', CASE page_id % 9 WHEN 0 THEN 'q=a%20b' WHEN 1 THEN '%72ef=1' WHEN 2 THEN 'q=a+b&x' WHEN 3 THEN '&&a==b&' WHEN 4 THEN 'a=~*-._'
+  WHEN 5 THEN 's%69=1&k=%2F%3f' WHEN 6 THEN 'q=%C3%A9t%c3%A9' WHEN 7 THEN 'q=100%&ref' ELSE 'refs=1' END, CASE WHEN page_id % 2 = 0 THEN '#f' ELSE '' END) AS url,
+  concat('http://h.example/p', CASE page_id % 9 WHEN 0 THEN '?q=a+b' WHEN 1 THEN '' WHEN 2 THEN '?q=a+b&x=' WHEN 3 THEN '?a=%3Db' WHEN 4 THEN '?a=%7E*-._'
+  WHEN 5 THEN '?k=%2F%3F' WHEN 6 THEN '?q=%C3%A9t%C3%A9' WHEN 7 THEN '?q=100%25' ELSE '?refs=1' END) AS cleaned FROM {pages}"""
+
+
+@query("clean_url_encoded", f"SELECT page_id, cleaned FROM ({_ENCODED.replace('{pages}', 'pages')})")
+def q_clean_url_encoded(spark, sf):
+    return spark.sql(_ENCODED, pages=table(spark, sf, "pages")).select("page_id", urls.clean_page_url(F.col("url")).alias("cleaned"))
+
+
 @query("source_filename", f"SELECT page_id, {sql_filename('url')} AS filename FROM pages")
 def q_source_filename(spark, sf):
     return page_urls(spark, sf).select("page_id", urls.source_filename(F.col("url")).alias("filename"))
@@ -191,22 +207,32 @@ def q_blob_dedupe(spark, sf):
     return state.new_blobs(all_images, stored).select("hash", "file_ext")
 
 
-_STATUS = "SELECT event_id, CAST(CASE event_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 301 WHEN 2 THEN 404 WHEN 3 THEN 302 WHEN 4 THEN 200 ELSE 204 END AS INT) AS status, CASE WHEN event_id % 6 = 1 THEN concat('https://t.example/', CAST(user_id AS STRING)) WHEN event_id % 6 = 3 THEN '/relative' END AS location, CASE event_id % 5 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/xhtml+xml' WHEN 2 THEN 'image/png' END AS kind, concat('http://u', CAST(user_id AS STRING), CASE WHEN event_id % 11 = 0 THEN '_x' ELSE '' END, '.example/') AS url, props FROM {events}"
+#: Responses with absolute and relative locations; ``leads`` is where each location leads from its URL.
+_STATUS = """SELECT *, concat(CASE event_id % 30 WHEN 3 THEN origin WHEN 9 THEN concat(origin, '/a') WHEN 15 THEN 'http:' WHEN 21 THEN concat(origin, '/a/b') WHEN 27 THEN concat(origin, '/a/b?x=1') ELSE '' END,
+  CASE event_id % 30 WHEN 3 THEN '/relative' WHEN 9 THEN '/sub/page?q=1' WHEN 15 THEN '//o.example/z' WHEN 21 THEN '?p=2' WHEN 27 THEN '' ELSE location END) AS leads FROM (
+  SELECT event_id, CAST(CASE event_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 301 WHEN 2 THEN 404 WHEN 3 THEN 302 WHEN 4 THEN 200 ELSE 204 END AS INT) AS status,
+  CASE WHEN event_id % 6 = 1 THEN concat('https://t.example/', CAST(user_id AS STRING)) WHEN event_id % 30 = 3 THEN '/relative' WHEN event_id % 30 = 9 THEN 'sub/page?q=1'
+    WHEN event_id % 30 = 15 THEN '//o.example/y/../z' WHEN event_id % 30 = 21 THEN '?p=2' WHEN event_id % 30 = 27 THEN '' WHEN event_id % 6 = 4 THEN '/not-followed' END AS location,
+  CASE event_id % 5 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/xhtml+xml' WHEN 2 THEN 'image/png' END AS kind,
+  concat('http://u', CAST(user_id AS STRING), CASE WHEN event_id % 11 = 0 THEN '_x' ELSE '' END, '.example') AS origin,
+  concat('http://u', CAST(user_id AS STRING), CASE WHEN event_id % 11 = 0 THEN '_x' ELSE '' END, '.example/a/b?x=1') AS url,
+  CASE WHEN event_id % 24 = 0 THEN repeat('x', 10485761) ELSE props END AS body FROM {events} WHERE event_id % 24 <> 0 OR event_id < 200) AS told"""
 
 
-@query("redirect_target", f"SELECT event_id, CASE WHEN status BETWEEN 300 AND 399 AND regexp_matches(location, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN location END AS target FROM ({_STATUS.replace('{events}', 'events')})")
+@query("redirect_target", f"SELECT event_id, CASE WHEN status BETWEEN 300 AND 399 THEN leads END AS target FROM ({_STATUS.replace('{events}', 'events')})")
 def q_redirect_target(spark, sf):
-    return spark.sql(_STATUS, events=table(spark, sf, "events")).select("event_id", urls.redirect_target(F.col("status"), F.col("location")).alias("target"))
+    return spark.sql(_STATUS, events=table(spark, sf, "events")).select("event_id", redirect_target(F.col("url"), F.col("status"), F.col("location")).alias("target"))
 
 
 @query(
     "page_kind",
-    f"SELECT event_id, CASE WHEN NOT regexp_matches({sql_host('url')}, '^[A-Za-z0-9.-]*$') THEN 'bad_host' WHEN status BETWEEN 300 AND 399 AND regexp_matches(location, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'redirect' WHEN status NOT BETWEEN 200 AND 299 THEN 'http_error' WHEN NOT (coalesce(kind, 'text/html') LIKE 'text/html%' OR kind LIKE 'application/xhtml%') THEN 'not_html' ELSE 'ok' END AS kind FROM ({_STATUS.replace('{events}', 'events')})",
+    f"SELECT event_id, CASE WHEN NOT regexp_matches({sql_host('url')}, '^[A-Za-z0-9.-]*$') THEN 'bad_host' WHEN status BETWEEN 300 AND 399 AND leads <> url THEN 'redirect' WHEN status NOT BETWEEN 200 AND 299 THEN 'http_error' WHEN NOT (coalesce(kind, 'text/html') LIKE 'text/html%' OR kind LIKE 'application/xhtml%') THEN 'not_html' WHEN strlen(body) > 10485760 THEN 'too_big' ELSE 'ok' END AS kind FROM ({_STATUS.replace('{events}', 'events')})",
 )
 def q_page_kind(spark, sf):
     rows = spark.sql(_STATUS, events=table(spark, sf, "events"))
     headers = F.map_filter(F.create_map(F.lit("location"), F.col("location"), F.lit("content-type"), F.col("kind")), lambda k, v: v.isNotNull())
-    return rows.select("event_id", responses.page_kind(F.col("url"), F.col("status"), headers, F.col("props").cast("binary")).alias("kind"))
+    target = redirect_target(F.col("url"), F.col("status"), F.col("location"))
+    return rows.select("event_id", responses.page_kind(F.col("url"), F.col("status"), headers, F.col("body").cast("binary"), target).alias("kind"))
 
 
 # -- extraction -----------------------------------------------------------------------------

@@ -52,3 +52,13 @@ def test_responses(spark):
     assert kinds == {"http://a/": "ok", "http://b/": "not_html", "http://c/": "redirect", "http://d/": "http_error", "http://e/": "http_error", "http://f/": "too_big", "http://g/": "ok", "http://h_i/": "bad_host"}
     assert out["http://a/"].html == "<p>�" and out["http://c/"].redirects_to == "http://c/x"
     assert {u for u, r in out.items() if r.is_failure} == {"http://b/", "http://h_i/"}  # T7
+
+
+def test_relative_redirects(spark):
+    """Locations are resolved against the URL that was asked; one that leads back to it is none."""
+    now = datetime(2024, 1, 1)
+    cases = [("http://a/x/y", "/new", "http://a/new"), ("http://b/x/y", "z?q", "http://b/x/z?q"), ("http://c/x", "//o/a/../b", "http://o/b"), ("http://d/x", "?p=2", "http://d/x?p=2"), ("http://e/x", "x", None), ("http://f/x", "", None)]
+    rows = [(u, 302, {"location": to}, b"", now) for u, to, _ in cases] + [("http://g/", 200, {"location": "/no"}, b"", now), ("http://h/", 302, {}, b"", now)]
+    out = {r.url: r for r in page_rows(spark.createDataFrame(rows, "url string, status int, headers map<string,string>, body binary, fetched_at timestamp_ntz")).collect()}
+    assert {u: out[u].redirects_to for u, _, _ in cases} == {u: want for u, _, want in cases}
+    assert out["http://e/x"].kind == "http_error" and out["http://g/"].kind == "ok" and out["http://h/"].kind == "http_error"
