@@ -43,6 +43,16 @@ def sniffed_format(body: Column) -> Column:
     return out
 
 
+def format_of(data: bytes) -> str | None:
+    """P15 of bytes at hand."""
+    head = data[:12].hex().upper()
+    if head.startswith("52494646") and head[16:24] == "57454250":
+        return "webp"
+    if head[8:24] in ("6674797061766966", "6674797061766973"):
+        return "avif"
+    return next((name for magic, name in MAGIC if head.startswith(magic)), None)
+
+
 def content_hash(body: Column) -> Column:
     """The first 16 bytes of SHA-256, in hexadecimal."""
     return F.substring(F.sha2(body, 256), 1, 32)

@@ -33,8 +33,9 @@ def initial(pages: DataFrame, config: CrawlConfig = DEFAULT) -> RuntimeState:
 
 
 def next_urls(runtime: RuntimeState, busy: DataFrame, queue_len: int, now: datetime, config: CrawlConfig = DEFAULT) -> DataFrame:
-    """M6 from runtime state: refreshed ranks, then the frontier; with no page at all, the start URL."""
-    ranks = rank.pagerank(runtime.edges, config.refresh_iterations, rank.nodes_of(runtime.edges, runtime.pages), runtime.ranks, config)
+    """M6 from runtime state: refreshed ranks, which it keeps, then the frontier; with no page at all, the start URL."""
+    ranks = checkpointed(rank.pagerank(runtime.edges, config.refresh_iterations, rank.nodes_of(runtime.edges, runtime.pages), runtime.ranks, config))
+    runtime.ranks = ranks
     unvisited = runtime.unvisited.select(F.col("dst").alias("id"), "url")
     found = frontier.refreshed(ranks, runtime.pages, unvisited, busy.select(F.col("page_id").alias("id")), queue_len, now, config)
     if config.start_url is None or runtime.pages.limit(1).count():

@@ -17,7 +17,7 @@ def page_kind(url: Column, status: Column, headers: Column, body: Column, target
     kind = F.coalesce(headers["content-type"], F.lit("text/html"))
     html = kind.startswith("text/html") | kind.startswith("application/xhtml")
     return (
-        F.when(~host_is_plain(host_of(url)), "bad_host").when(target.isNotNull() & (target != url), "redirect").when(~status.between(200, 299), "http_error")
+        F.when(~host_is_plain(host_of(url)), "bad_host").when(status.isNull(), "no_answer").when(target.isNotNull() & (target != url), "redirect").when(~status.between(200, 299), "http_error")
         .when(~html, "not_html").when(F.octet_length(body) > config.max_body_bytes, "too_big").otherwise("ok")
     )
 
@@ -25,8 +25,8 @@ def page_kind(url: Column, status: Column, headers: Column, body: Column, target
 def page_rows(responses: DataFrame, config: CrawlConfig = DEFAULT) -> DataFrame:
     """Every response with its page id, ``kind``, redirect target and decoded html.
 
-    All kinds but ``bad_host`` and ``not_html`` are successes with ``failed`` 0 (error pages are
-    empty pages); those two count as failures.
+    All kinds but ``bad_host``, ``no_answer`` and ``not_html`` are successes with ``failed`` 0
+    (error pages are empty pages); those count as failures.
     """
     target = redirect_target(F.col("url"), F.col("status"), F.col("headers")["location"])
     rows = responses.withColumn("__target", target)
@@ -34,7 +34,7 @@ def page_rows(responses: DataFrame, config: CrawlConfig = DEFAULT) -> DataFrame:
     return rows.select(
         "url", page_id(F.col("url")).alias("page_id"), "kind", F.when(F.col("kind") == "redirect", F.col("__target")).alias("redirects_to"),
         F.when(F.col("kind") == "ok", _lossy(F.col("body"))).alias("html"),
-        F.col("fetched_at").alias("last_visited"), F.col("kind").isin("bad_host", "not_html").alias("is_failure"),
+        F.col("fetched_at").alias("last_visited"), F.col("kind").isin("bad_host", "no_answer", "not_html").alias("is_failure"),
     )
 
 

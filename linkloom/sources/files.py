@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import struct
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +108,12 @@ def blobs(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(F.substring_index("f", ".", 1).alias("hash"), F.substring_index("f", ".", -1).alias("file_ext"), "bytes")
 
 
+def restored(missing: DataFrame, got: DataFrame) -> DataFrame:
+    """Downloaded images (source, hash, bytes) under the hash they were missed by and under their own."""
+    found = missing.join(got.select(F.col("source").alias("url"), F.col("hash").alias("own"), "bytes"), "url")
+    return found.select(F.explode(F.array_distinct(F.array("hash", "own"))).alias("hash"), "file_ext", "bytes").dropDuplicates(["hash", "file_ext"])
+
+
 def missing_blobs(wanted: DataFrame, stored: DataFrame, occurrences: DataFrame) -> DataFrame:
     """(hash, file_ext, url) to download again, from the first page's source."""
     first = occurrences.where(F.col("source").isNotNull()).groupBy("hash").agg(F.min_by("source", F.struct("host", "path", "pos")).alias("url"))
@@ -176,6 +181,3 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
     df.select(column).write.mode("overwrite").text(path)
 
 
-def write_queue(urls: Iterable[str], path: str) -> None:
-    with _replacing(path) as out:
-        out.writelines(f"{u}\n" for u in urls)

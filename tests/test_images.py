@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import images
 from linkloom.operators import image_candidates
+from linkloom.sources.fetch import ReplayFetcher
 
 NOW = datetime(2024, 1, 1)
 
@@ -85,6 +86,6 @@ def test_scraped(spark):
     cache = spark.createDataFrame(cache, "source string, hash string, file_ext string, last_visited timestamp_ntz")
     answers = [("http://h/1.gif", 200, {"content-type": "image/gif"}, gif(), NOW), ("http://h/3.gif", 200, {"content-type": "image/gif"}, gif(1, 1), NOW), ("http://h/4.gif", 404, {"content-type": "image/gif"}, gif(), NOW)]
     answers = spark.createDataFrame(answers, "url string, status int, headers map<string,string>, body binary, fetched_at timestamp_ntz")
-    buttons = image_candidates.scraped(cands, cache, answers, NOW).first().buttons
+    buttons = image_candidates.scraped(cands, cache, ReplayFetcher(answers), NOW).buttons.first().buttons
     assert [(b.pos, b.hash[:4]) for b in buttons] == [(0, "old0"), (1, buttons[1].hash[:4]), (2, "old2")]
     assert len(buttons[1].hash) == 32 and buttons[1].last_visited == NOW and buttons[2].last_visited == NOW - timedelta(hours=200)

@@ -9,6 +9,7 @@ from linkloom.operators import maintenance, snapshot, state
 from linkloom.plans.fixtures import spark_view
 from linkloom.schemas import PAGES
 from linkloom.sources import files
+from linkloom.sources.fetch import ReplayFetcher
 from linkloom.streaming import crawl
 
 SF = "/root/testdata/sf0.001"
@@ -98,9 +99,9 @@ def test_blobs_and_gc(spark, tmp_path):
     occ = spark.createDataFrame([("h1", "gif"), ("h2", "png")], "hash string, file_ext string")
     gone = [r.filename for r in maintenance.unlinked(files.blob_names(spark, str(tmp_path)), occ).collect()]
     assert gone == ["lost.gif"]
-    maintenance.delete_files(str(tmp_path), gone)
+    assert maintenance.delete_files(spark, str(tmp_path), gone) == 1
     assert (tmp_path / "lost.gif").exists()
-    maintenance.delete_files(str(tmp_path), gone, apply=True)
+    maintenance.delete_files(spark, str(tmp_path), gone, apply=True)
     assert not (tmp_path / "lost.gif").exists()
     stored, mapping = maintenance.reencode(files.blobs(spark, str(tmp_path)), lambda b, f: b + b"!" if f == "gif" else b)
     assert stored.count() == 2 and {r.old_hash for r in mapping.collect()} == {"h1", "h2"}
@@ -123,7 +124,7 @@ def test_crawl_stream(spark, tmp_path):
         held.update(pages=df, saves=held["saves"] + 1)
 
     source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    crawl.run_stream(source, lambda: held["pages"], save, lambda p, b: crawl.apply_batch(p, cache, b, images, NOW), str(tmp_path / "cp")).awaitTermination()
+    crawl.run_stream(source, lambda: held["pages"], save, lambda p, b: crawl.apply_batch(p, cache, b, ReplayFetcher(images), NOW).pages, str(tmp_path / "cp")).awaitTermination()
     got = {r.page_id.host: r for r in held["pages"].collect()}
     page = got["h.example"]
     assert page.other_internal_links == ["http://h.example/in"] and page.buttons[0].target == "http://t.example/" and page.buttons[0].alt == "B" and len(page.buttons[0].hash) == 32
