@@ -22,7 +22,9 @@ from linkloom.storage import broadcast_if_small, discard, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Numerator and denominator of the least similarity are kept as integers, so that ties at it are exact.
-SKETCH = "struct<digest: binary, bands: binary, signature: binary, n_words: long, words: binary>"
+SKETCH = "struct<digest: binary, bands: array<long>, signature: binary, n_words: long, words: binary>"
+#: A band's key is its hash with its number in the lowest bits.
+BAND_BITS = 7
 
 
 @dataclass(frozen=True)
@@ -132,8 +134,20 @@ def signature(grams: np.ndarray, n: int, hashes: int) -> np.ndarray:
     return least
 
 
+def band_keys(parts: np.ndarray) -> np.ndarray:
+    """A key per band of a signature, different bands having different keys."""
+    _, scale, _ = _constants(0, parts.shape[1])
+    mixed = (parts * scale[None, :]).sum(axis=1, dtype=np.uint64)
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    return (mixed << np.uint64(BAND_BITS) | np.arange(len(parts), dtype=np.uint64)).view(np.int64)
+
+
 def _sketched(text: Column, plan: JoinPlan) -> Column:
     bands, rows = plan.shape
+    if bands > 1 << BAND_BITS:
+        raise ValueError("too many bands")
 
     @F.arrow_udf(SKETCH)
     def sketch(texts: pa.Array) -> pa.Array:
@@ -145,9 +159,8 @@ def _sketched(text: Column, plan: JoinPlan) -> Column:
                 continue
             grams, digest = ngram_sketch(words, plan.n)
             sig = signature(grams, plan.n, bands * rows)
-            keys = b"".join(hashlib.blake2b(part.tobytes(), digest_size=8, salt=bytes([i])).digest() for i, part in enumerate(sig.reshape(bands, rows)))
-            out.append({"digest": digest, "bands": keys, "signature": (sig >> np.uint64(48)).astype(np.uint16).tobytes(), "n_words": len(words), "words": pack.compress(" ".join(words).encode())})
-        kind = pa.struct([("digest", pa.binary()), ("bands", pa.binary()), ("signature", pa.binary()), ("n_words", pa.int64()), ("words", pa.binary())])
+            out.append({"digest": digest, "bands": band_keys(sig.reshape(bands, rows)), "signature": (sig >> np.uint64(56)).astype(np.uint8).tobytes(), "n_words": len(words), "words": pack.compress(" ".join(words).encode())})
+        kind = pa.struct([("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary()), ("n_words", pa.int64()), ("words", pa.binary())])
         return pa.array(out, kind)
 
     return sketch(text.cast("string"))
@@ -169,9 +182,13 @@ def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
     return root
 
 
-def _first_shared(bands: np.ndarray, a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
-    """Whether ``band`` is the first one that the pairs share."""
-    return ~(bands[a, :band] == bands[b, :band]).any(axis=1)
+def _first_shared(bands: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether pairs share none of ``bands``, which are those before the group's own."""
+    return ~(bands[a] == bands[b]).any(axis=1)
+
+
+def _earlier(group: pa.Table) -> np.ndarray:
+    return group["earlier"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1)
 
 
 def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -184,10 +201,8 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         n = group.num_rows
         if n < 2:
             continue
-        band, within = group["band"][0].as_py(), group["within"][0].as_py()
-        own = group["own"].to_numpy()
-        bands = np.frombuffer(b"".join(group["bands"].to_pylist()), np.int64).reshape(n, -1)
-        sigs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(n, -1)
+        within, own, bands = group["within"][0].as_py(), group["own"].to_numpy(), _earlier(group)
+        sigs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint8).reshape(n, -1)
         enough = math.ceil(least * sigs.shape[1])
         needed = np.zeros(n, bool)
         step = max(1, 4_000_000 // (n * sigs.shape[1]))
@@ -196,27 +211,25 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
             i, j = i + at, j + at
             keep = (i < j) & (within | (own[i] != own[j]))
             i, j = i[keep], j[keep]
-            keep = _first_shared(bands, i, j, band)
+            keep = _first_shared(bands, i, j)
             needed[i[keep]] = needed[j[keep]] = True
         if needed.any():
-            yield from group.drop_columns(["signature", "bands"]).filter(pa.array(needed)).combine_chunks().to_batches()
+            yield from group.drop_columns(["signature"]).filter(pa.array(needed)).combine_chunks().to_batches()
 
 
 def shared_bands(sketched: DataFrame, plan: JoinPlan) -> DataFrame:
-    """(band, hash, rep, n, blocks): each representative with the bands that it shares with n - 1 others.
+    """(band, rep, n, blocks): each representative with the bands that it shares with n - 1 others.
 
     Copies, which share all their bands, collapse to their smallest row within each band, before
     the shuffle as far as a task sees them. A bucket is compared in so many blocks that each
     holds about ``block`` texts and ``block_words`` words.
     """
-    count = plan.shape[0]
-    hashes = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.substring("bands", i * 8 + 1, F.lit(8)))
-    bands = sketched.where(F.col("digest").isNotNull()).select(F.xxhash64("digest").alias("d"), "digest", "row", "n_words", F.posexplode(hashes).alias("band", "hash"))
-    single = bands.groupBy("band", "hash", "d", "digest").agg(F.min("row").alias("rep"), F.max("n_words").alias("n_words"))
-    single = written(single.select("band", "hash", "rep", "n_words"), "ngram-bands")
+    bands = sketched.where(F.col("digest").isNotNull()).select(F.xxhash64("digest").alias("d"), "row", "n_words", F.explode("bands").alias("band"))
+    single = bands.groupBy("band", "d").agg(F.min("row").alias("rep"), F.max("n_words").alias("n_words"))
+    single = written(single.select("band", "rep", "n_words"), "ngram-bands")
     blocks = F.greatest(F.ceil(F.count("*") / plan.block), F.ceil(F.sum("n_words") / plan.block_words))
-    shared = single.groupBy("band", "hash").agg(F.count("*").alias("n"), blocks.cast("long").alias("blocks")).where("n > 1")
-    met = written(single.drop("n_words").join(shared, ["band", "hash"]), "ngram-shared")
+    shared = single.groupBy("band").agg(F.count("*").alias("n"), blocks.cast("long").alias("blocks")).where("n > 1")
+    met = written(single.drop("n_words").join(shared, "band"), "ngram-shared")
     discard(single)
     return met
 
@@ -225,21 +238,23 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     """Each row once for every pair of blocks of its bucket that its own block is part of; ``g`` names the pair."""
     own = F.pmod(F.xxhash64(F.col("rep"), F.lit(3)), F.col("blocks"))
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pair = F.xxhash64("band", "hash", F.least("own", "other"), F.greatest("own", "other"))
-    return dealt.select(pair.alias("g"), "rep", "band", "own", (F.col("own") == F.col("other")).alias("within"), *(c for c in rows.columns if c not in ("rep", "band", "hash", "n", "blocks")))
+    pair = F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.select(pair.alias("g"), "rep", "own", (F.col("own") == F.col("other")).alias("within"), *(c for c in rows.columns if c not in ("rep", "band", "n", "blocks")))
 
 
 def candidates(shared: DataFrame, payload: DataFrame, plan: JoinPlan) -> DataFrame:
-    """(g, rep, band, own, within): texts and the groups in which they have a pair to be verified.
+    """(g, rep, own, within, earlier): texts and the groups in which they have a pair to be verified.
 
     A group is a band's bucket, or a pair of blocks of one that is large. Only texts that share a
     band ever meet, and a text goes on to those groups alone where it has a partner that it has
-    not met in an earlier band; what similar texts are linked to further on plays no part.
+    not met in an earlier band (``earlier`` holds those); what similar texts are linked to further
+    on plays no part.
     """
-    rows = shared.join(payload.select("rep", "signature", "bands"), "rep")
+    number = F.col("band").bitwiseAND((1 << BAND_BITS) - 1).cast("int")
+    rows = shared.join(payload.select("rep", "signature", "bands"), "rep").withColumn("earlier", F.slice("bands", F.lit(1), number)).drop("bands")
     dealt = _in_blocks(rows).repartition("g").sortWithinPartitions("g")
     least = plan.times / plan.of - plan.slack
-    return dealt.mapInArrow(lambda batches: _alike(batches, least), "g long, rep long, band int, own long, within boolean")
+    return dealt.mapInArrow(lambda batches: _alike(batches, least), "g long, rep long, own long, within boolean, earlier array<long>")
 
 
 # -- verification ---------------------------------------------------------------------------
@@ -300,9 +315,8 @@ def _verified(batches: Iterator[pa.RecordBatch], plan: JoinPlan) -> Iterator[pa.
         n = group.num_rows
         if n < 2:
             continue
-        band, within = group["band"][0].as_py(), group["within"][0].as_py()
+        within, bands = group["within"][0].as_py(), _earlier(group)
         ids, own, copies = (group[c].to_numpy() for c in ("rep", "own", "copies"))
-        bands = np.frombuffer(b"".join(group["bands"].to_pylist()), np.int64).reshape(n, -1)
         sets = exact_sets([unpack.decompress(w).decode().split(" ") for w in group["words"].to_pylist()], plan.n)
         size = np.array([len(s) for s in sets])
         shared = overlaps(sets)
@@ -311,7 +325,7 @@ def _verified(batches: Iterator[pa.RecordBatch], plan: JoinPlan) -> Iterator[pa.
         if not within:
             linked &= own[:, None] != own[None, :]
         a, b = np.nonzero(linked)
-        first = _first_shared(bands, a, b, band)
+        first = _first_shared(bands, a, b)
         a, b = a[first], b[first]
         links = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
         root = _roots(n, np.stack([a, b], 1))
@@ -336,7 +350,7 @@ def _classes(sketched: DataFrame, plan: JoinPlan) -> DataFrame:
     payload = written(sketched.select(F.col("row").alias("rep"), "signature", "bands", "words").join(involved, "rep").join(held.select("rep", "copies"), "rep"), "ngram-payload")
     met = written(candidates(shared, payload, plan), "ngram-candidates")
     discard(shared)
-    dealt = met.join(payload.drop("signature"), "rep").repartition("g").sortWithinPartitions("g")
+    dealt = met.join(payload.drop("signature", "bands"), "rep").repartition("g").sortWithinPartitions("g")
     checked = written(dealt.mapInArrow(lambda batches: _verified(batches, plan), "u long, links long, v long"), "ngram-links")
     discard(payload, met)
     links = checked.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
