@@ -31,12 +31,16 @@ class OutlierPlan:
 
     ``spread_floor`` is the least standard deviation of each transformed statistic: statistics
     that are nearly constant in clean text (no symbols, no repeated lines) would otherwise make
-    any departure infinitely far. ``steps`` is the number of concentration steps. A row is
-    rejected if its squared distance passes the chi-square quantile ``keep``.
+    any departure infinitely far. Every start takes ``trial_steps`` concentration steps; the one
+    with the least determinant goes on until no determinant's logarithm moves by more than
+    ``settled``, ``steps`` at most in all. A row is rejected if its squared distance passes the
+    chi-square quantile ``keep``.
     """
 
     half: float = 0.75
-    steps: int = 4
+    trial_steps: int = 2
+    steps: int = 12
+    settled: float = 1e-6
     least_rows: int = 60
     spread_floor: Sequence[float] = (0.08, 0.35, 0.35, 0.35, 0.35)
     keep: float = 1 - 1e-6
@@ -209,6 +213,35 @@ def _squared(d: int) -> Column:
     return reduce(lambda a, b: a + b, (v * v for v in z))
 
 
+def _sums(d: int) -> dict[str, Column]:
+    """What a mean and a covariance are made of."""
+    values = [F.col(f"f{i}") for i in range(d)]
+    return {"n": F.lit(1)} | {f"s{i}": values[i] for i in range(d)} | {f"p{i}{j}": values[i] * values[j] for i in range(d) for j in range(i + 1)}
+
+
+def _starts(rows: DataFrame, members: DataFrame, floor: Sequence[float]) -> DataFrame:
+    """Three deterministic starts per pool: (start, key, centers, factors).
+
+    Medians with quartile spreads; the mean and covariance of all rows; and the medians with the
+    covariance of spatial signs, directions from the median that no outlier's distance bends.
+    """
+    d = len(floor)
+    middle = checkpointed(_first(rows, members, floor))
+    sums = _sums(d)
+    by_group = rows.groupBy("group_key").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
+    whole = by_group.join(members, "group_key").groupBy("key").agg(*(F.sum(k).alias(k) for k in sums))
+    whole = _estimates(whole, ["key"], floor, 1.0)
+    near = rows.join(broadcast_if_small(checkpointed(middle.join(members, "key")), BROADCAST_GROUPS), "group_key")
+    z = [(F.col(f"f{i}") - F.col(f"m{i}")) / F.col(f"c{i}{i}") for i in range(d)]
+    length = F.greatest(reduce(lambda a, b: a + b, (v * v for v in z)), F.lit(1e-12))
+    signs = near.groupBy("key").agg(F.count("*").alias("n"), *(F.sum(z[i] * z[j] / length).alias(f"p{i}{j}") for i in range(d) for j in range(i + 1)))
+    staged = signs.join(middle, "key")
+    cov = [[F.col(f"p{i}{j}") / F.col("n") * d * F.col(f"c{i}{i}") * F.col(f"c{j}{j}") + (floor[i] ** 2 if i == j else 0.0) for j in range(i + 1)] for i in range(d)]
+    shaped = staged.select("key", *(f"m{i}" for i in range(d)), *(cov[i][j].alias(f"p{i}{j}") for i in range(d) for j in range(i + 1)))
+    turned = _with_factor(shaped, ["key"], [[F.col(f"p{i}{j}") for j in range(i + 1)] for i in range(d)], d)
+    return reduce(DataFrame.unionByName, (e.withColumn("start", F.lit(i)) for i, e in enumerate((middle, whole, turned))))
+
+
 def robust_estimates(rows: DataFrame, plan: OutlierPlan) -> DataFrame:
     """Minimum-covariance-determinant centers and factors per ``group_key``.
 
@@ -223,17 +256,33 @@ def robust_estimates(rows: DataFrame, plan: OutlierPlan) -> DataFrame:
     keys = checkpointed(estimate_keys(rows, plan))
     scale = plan.half / chi_square_cdf(chi_square_quantile(plan.half, d), d + 2)
     members = checkpointed(pools(keys))
-    estimate = checkpointed(_first(rows, members, plan.spread_floor).join(members, "key"))
-    for _ in range(plan.steps):
-        near = rows.join(broadcast_if_small(estimate, BROADCAST_GROUPS), "group_key").withColumn("step", F.floor(F.log(_squared(d) + 1e-9) * 32).cast("long"))
-        values = [F.col(f"f{i}") for i in range(d)]
-        sums = {"n": F.lit(1)} | {f"s{i}": values[i] for i in range(d)} | {f"p{i}{j}": values[i] * values[j] for i in range(d) for j in range(i + 1)}
-        pooled = near.groupBy("key", "step").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
-        per = Window.partitionBy("key")
+    sums = _sums(d)
+    size = reduce(lambda a, b: a + b, (F.log(F.col(f"c{i}{i}")) for i in range(d)))  # half the determinant's logarithm
+
+    few = 3 * members.limit(BROADCAST_GROUPS).count() <= BROADCAST_GROUPS
+
+    def concentrated(estimate: DataFrame) -> DataFrame:
+        held = estimate.join(members, "key")
+        near = rows.join(F.broadcast(held) if few else held, "group_key").withColumn("step", F.floor(F.log(_squared(d) + 1e-9) * 32).cast("long"))
+        pooled = near.groupBy("key", "start", "step").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
+        per = Window.partitionBy("key", "start")
         nearest = pooled.withColumn("__before", F.sum("n").over(per.orderBy("step")) - F.col("n")).withColumn("__all", F.sum("n").over(per)).where(F.col("__before") < F.col("__all") * plan.half)
-        kept = nearest.groupBy("key").agg(*(F.sum(k).alias(k) for k in sums))
-        estimate = checkpointed(_estimates(kept, ["key"], plan.spread_floor, scale).join(members, "key"))
-    return estimate.join(keys.select("group_key", "key"), ["group_key", "key"]).drop("key")
+        kept = nearest.groupBy("key", "start").agg(*(F.sum(k).alias(k) for k in sums))
+        return checkpointed(_estimates(kept, ["key", "start"], plan.spread_floor, scale))
+
+    estimate = _starts(rows, members, plan.spread_floor)
+    for _ in range(plan.trial_steps):
+        estimate = concentrated(estimate)
+    best = Window.partitionBy("key").orderBy(F.round(size, 9), "start")
+    estimate = checkpointed(estimate.withColumn("__nth", F.row_number().over(best)).where("__nth = 1").drop("__nth"))
+    for _ in range(plan.trial_steps, plan.steps):
+        fresh = concentrated(estimate)
+        moved = fresh.select("key", size.alias("now")).join(estimate.select("key", size.alias("before")), "key").agg(F.max(F.abs(F.col("now") - F.col("before")))).first()[0]
+        estimate = fresh
+        if moved is None or 2 * moved <= plan.settled:
+            break
+    held = estimate.drop("start").join(members, "key")
+    return checkpointed(held.join(keys.select("group_key", "key"), ["group_key", "key"]).drop("key"))
 
 
 def judge(docs: DataFrame, plan: OutlierPlan = OutlierPlan(), carried: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.llm.quality import FEATURES, OutlierPlan, chi_square_cdf, chi_square_quantile, judge, robust_estimates
+from linkloom.llm.quality import FEATURES, OutlierPlan, base_failed, chi_square_cdf, chi_square_quantile, judge, robust_estimates, text_statistics, transformed
 from linkloom.session import table
 from linkloom.storage import written
 
@@ -48,6 +48,77 @@ def test_estimates_match_concentration_steps(spark):
     assert 0.6 < ratio.min() and ratio.max() < 1.6
 
 
+def plain_mcd(data, plan):
+    """Starts, concentration steps and the least determinant for one pool, written out with whole matrices."""
+    d, floor = data.shape[1], np.array(plan.spread_floor)
+
+    def quartile(column, q):
+        bins = np.sort(np.floor(column * 64))
+        return (bins[int(np.ceil(len(bins) * q)) - 1] + 0.5) / 64
+
+    middle = np.array([quartile(c, 0.5) for c in data.T])
+    spread = np.maximum([(quartile(c, 0.75) - quartile(c, 0.25)) / 1.349 for c in data.T], floor)
+    z = (data - middle) / spread
+    signs = z / np.sqrt(np.maximum((z * z).sum(1), 1e-12))[:, None]
+    pairs = lambda x: (x[:, :, None] * x[:, None, :]).mean(0)
+    full = lambda x: pairs(x) - np.outer(x.mean(0), x.mean(0))
+    starts = [(middle, np.diag(spread**2)), (data.mean(0), full(data) + np.diag(floor**2)), (middle, d * pairs(signs) * np.outer(spread, spread) + np.diag(floor**2))]
+    scale = plan.half / chi_square_cdf(chi_square_quantile(plan.half, d), d + 2)
+
+    def squared(center, cov):
+        return np.einsum("ni,ij,nj->n", data - center, np.linalg.inv(cov), data - center)
+
+    def step(center, cov):
+        at = np.floor(np.log(squared(center, cov) + 1e-9) * 32)
+        near = np.searchsorted(np.sort(at), at) < plan.half * len(data)  # rows of earlier steps are not yet half
+        return data[near].mean(0), full(data[near]) * scale + np.diag(floor**2)
+
+    for _ in range(plan.trial_steps):
+        starts = [step(*s) for s in starts]
+    best = min(starts, key=lambda s: round(np.linalg.slogdet(s[1])[1] / 2, 9))
+    for _ in range(plan.trial_steps, plan.steps):
+        fresh = step(*best)
+        moved, best = abs(np.linalg.slogdet(fresh[1])[1] - np.linalg.slogdet(best[1])[1]), fresh
+        if moved <= plan.settled:
+            break
+    return squared(*best)
+
+
+def test_kept_by_hand(spark):
+    """Distances and verdicts of whole documents against the plain estimate of each document's pool."""
+    plan = OutlierPlan(least_rows=40)
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    stats = text_statistics(docs, F.col("text")).withColumn("base_failed", base_failed())
+    rows = stats.select("doc_id", "lang", "source", "base_failed", *(v.alias(f"f{i}") for i, v in enumerate(transformed()))).toPandas()
+    good = rows[~rows.base_failed]
+    f = [f"f{i}" for i in range(len(FEATURES))]
+    want = {}
+    for (lang, source), group in good.groupby(["lang", "source"], dropna=False):
+        pool = group if len(group) >= plan.least_rows else good[good.lang == lang]
+        pool = pool if len(pool) >= plan.least_rows else good
+        distance = dict(zip(pool.doc_id, plain_mcd(pool[f].to_numpy(), plan)))
+        want |= {i: distance[i] for i in group.doc_id}
+    got = {r.doc_id: r for r in judge(docs, plan).collect()}
+    limit = chi_square_quantile(plan.keep, len(FEATURES))
+    near = sum(got[i].distance == pytest.approx(x, rel=1e-6, abs=1e-6) for i, x in want.items())
+    assert near == len(want)
+    assert all(got[i].kept == (i in want and want[i] <= limit) for i in got)
+
+
+def test_starts_escape_a_bent_middle(spark):
+    """Where the coordinates' medians mislead, another start finds the smaller determinant."""
+    rng = np.random.default_rng(5)
+    d, plan = len(FEATURES), OutlierPlan(spread_floor=(0.001,) * len(FEATURES), half=0.6)
+    line = rng.normal(size=(1500, 1)) @ np.ones((1, d)) + 0.05 * rng.normal(size=(1500, d))
+    data = np.vstack([line, rng.normal(size=(800, d)) * [3, -3, 3, -3, 3][:d] + 4])
+    rows = spark.createDataFrame([("l", "g", *map(float, x)) for x in data], ["lang_key", "group_key", *(f"f{i}" for i in range(d))])
+    e = robust_estimates(written(rows, "test"), plan).first().asDict()
+    low = np.array([[e[f"c{i}{j}"] if j <= i else 0.0 for j in range(d)] for i in range(d)])
+    center = np.array([e[f"m{i}"] for i in range(d)])
+    z = np.linalg.solve(low, (data - center).T)
+    assert np.allclose((z * z).sum(0), plain_mcd(data, plan), rtol=1e-6)
+
+
 def test_chi_square():
     assert chi_square_cdf(chi_square_quantile(0.975, 5), 5) == pytest.approx(0.975)
     assert chi_square_quantile(0.95, 1) == pytest.approx(3.841459, abs=1e-5)
