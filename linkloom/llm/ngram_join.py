@@ -134,6 +134,11 @@ def signature(grams: np.ndarray, n: int, hashes: int) -> np.ndarray:
     return least
 
 
+def signature_bytes(least: np.ndarray) -> bytes:
+    """A byte per entry; as minima have few high bits, all are mixed into it."""
+    return (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
 def band_keys(parts: np.ndarray) -> np.ndarray:
     """A key per band of a signature, different bands having different keys."""
     _, scale, _ = _constants(0, parts.shape[1])
@@ -159,7 +164,7 @@ def _sketched(text: Column, plan: JoinPlan) -> Column:
                 continue
             grams, digest = ngram_sketch(words, plan.n)
             sig = signature(grams, plan.n, bands * rows)
-            out.append({"digest": digest, "bands": band_keys(sig.reshape(bands, rows)), "signature": (sig >> np.uint64(56)).astype(np.uint8).tobytes(), "n_words": len(words), "words": pack.compress(" ".join(words).encode())})
+            out.append({"digest": digest, "bands": band_keys(sig.reshape(bands, rows)), "signature": signature_bytes(sig), "n_words": len(words), "words": pack.compress(" ".join(words).encode())})
         kind = pa.struct([("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary()), ("n_words", pa.int64()), ("words", pa.binary())])
         return pa.array(out, kind)
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.llm.ngram_join import JoinPlan, _sketch_table, candidates, jaccard_classes, overlaps, shared_bands, windows
+from linkloom.llm.ngram_join import JoinPlan, _sketch_table, candidates, jaccard_classes, overlaps, shared_bands, signature, signature_bytes, windows
 from linkloom.session import table
 
 
@@ -141,3 +141,11 @@ def test_chain(spark):
     per_group, rows = Counter(r.g for r in met.collect()), met.count()
     assert rows <= 600 * 4 and max(per_group.values()) <= 8
     assert run(docs)[0] == by_hand(docs.collect())
+
+
+def test_signatures_of_long_texts_differ():
+    """Entries of unlike texts agree by chance alone, however many n-grams there are."""
+    rng = np.random.default_rng(3)
+    for size in (10, 1000, 50_000):
+        a, b = (np.frombuffer(signature_bytes(signature(rng.integers(0, 2**63, size, dtype=np.uint64), 5, 120)), np.uint8) for _ in range(2))
+        assert (a == b).sum() <= 6
