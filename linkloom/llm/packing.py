@@ -6,7 +6,7 @@ import functools
 import json
 import re
 import zlib
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +26,13 @@ SLICE = 256
 
 @dataclass(frozen=True)
 class PackPlan:
-    """``window`` is the tokens that one round over all queues serves; ``end_id`` closes each document."""
+    """``window`` is the tokens that one round over all queues serves; ``end_id`` closes each document.
 
+    ``weights`` are target proportions that go to the sources in code-point order (null last),
+    repeating; without them every source's target is its share of all tokens.
+    """
+
+    weights: Sequence[float] | None = None
     sequence: int = 2048
     window: int = 64 * 2048
     end_id: int = 1
@@ -128,20 +133,22 @@ def served_order(queued: DataFrame, plan: PackPlan, shares: Mapping[str | None,
     it sends packets while the deficit covers them, carrying the rest over. So a packet that ends
     at token e of its queue leaves in the first round r with r * quantum >= e: a closed form
     that needs no state passed between tasks, and in which deficits carry across windows and
-    partitions alike. Shares not given are the sources' shares of all tokens; given shares hold
-    while their queues last, after which the queues that remain divide the window.
+    partitions alike. ``shares``, or the plan's weights, hold while their queues last, after which
+    the queues that remain divide the window in proportion: that is the tail, in which targets
+    can't be met as there is nothing left to meet them with.
 
-    If ``ordered``, buckets and keys are one order of all rows, and without given shares a
-    queue's quantum in a window is what it holds of the window's tokens in that order: a packet
-    leaves in the round of the window that its last token falls into.
+    If ``ordered``, buckets and keys are one order of all rows, and without targets a queue's
+    quantum in a window is what it holds of the window's tokens in that order: a packet leaves
+    in the round of the window that its last token falls into.
     """
-    if ordered and shares is None:
+    targets = shares is not None or plan.weights is not None
+    if ordered and not targets:
         everything = queued.withColumn("__all", F.lit(0))
         tape = running_total(everything, ["__all"], "__bucket", ["__key", "__row"], "n", "__tape").drop("__all")
         return _placed(_packets(tape, plan), lambda end: end / plan.window, plan)
     totals = queued.groupBy("source_key").agg(F.sum("n").alias("__queue"))
     tape = running_total(queued, ["source_key"], "__bucket", ["__key", "__row"], "n", "__tape")
-    if shares is None:
+    if not targets:
         everything = F.sum("__queue").over(Window.partitionBy())
         rounds = totals.withColumn("__per_token", everything.cast("double") / F.col("__queue") / plan.window)
         served = lambda end: end * F.col("__per_token")
@@ -177,26 +184,30 @@ def _placed(packets: DataFrame, served: Callable[[Column], Column], plan: PackPl
     )
 
 
-def _drained(totals: DataFrame, shares: Mapping[str | None, float], plan: PackPlan):
-    """Rounds for given shares: the level v = token / share at which queues run dry, in turn.
+def _drained(totals: DataFrame, shares: Mapping[str | None, float] | None, plan: PackPlan) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """Rounds for target shares: the level v = token / share at which queues run dry, in turn.
 
-    All tokens sent by level v are sum(min(queue, share * v)); that is piecewise linear with a
-    knot per source, so the driver reads the per-source totals (one row per source named in
-    ``shares``, whose size is that of the mapping).
+    All tokens sent by level v are sum(min(queue, share * v)), piecewise linear with a knot per
+    source. The knots travel as one small array, a pair of numbers per source, beside each queue.
     """
-    key = lambda s: "1" if s is None else f"0{s}"
-    share = {key(s): float(v) for s, v in shares.items()}
-    found = {r["source_key"]: r["__queue"] for r in totals.where(F.col("source_key").isin(list(share))).collect()}
-    if any(v <= 0 for v in share.values()):
-        raise ValueError("shares must be positive")
-    if totals.where(~F.col("source_key").isin(list(share))).limit(1).count():
-        raise ValueError("every source needs a share")
-    mapped = F.create_map(*(F.lit(x) for kv in share.items() for x in kv))
-    rounds = totals.withColumn("__share", F.element_at(mapped, F.col("source_key")))
+    if shares is not None:
+        key = lambda s: "1" if s is None else f"0{s}"
+        if any(v <= 0 for v in shares.values()):
+            raise ValueError("shares must be positive")
+        told = totals.sparkSession.createDataFrame([(key(s), float(v)) for s, v in shares.items()], "source_key string, __share double")
+        rated = written(totals.join(told, "source_key", "left"), "pack-shares")
+        if rated.where("__share is null").limit(1).count():
+            raise ValueError("every source needs a share")
+    else:
+        weights = F.array(*(F.lit(float(w)) for w in plan.weights))
+        nth = (F.row_number().over(Window.orderBy("source_key")) - 1) % len(plan.weights) + 1
+        rated = written(totals.withColumn("__share", F.element_at(weights, nth)), "pack-shares")
+    knots = rated.agg(F.collect_list(F.struct(F.col("__queue").cast("double").alias("queue"), F.col("__share").alias("share"))).alias("__per_level"))
+    rounds = rated.withColumn("__one", F.lit(1)).join(F.broadcast(knots.withColumn("__one", F.lit(1))), "__one").drop("__one")
 
     def served(end: Column) -> Column:
         level = end / F.col("__share")
-        return sum((F.least(F.lit(float(q)), F.lit(share[k]) * level) for k, q in found.items()), F.lit(0.0)) / plan.window
+        return F.aggregate("__per_level", F.lit(0.0), lambda acc, k: acc + F.least(k["queue"], k["share"] * level)) / plan.window
 
     return rounds, served
 
@@ -208,8 +219,8 @@ def pack(docs: DataFrame, vocabulary: str, plan: PackPlan = PackPlan(), shares:
     round-robin (see ``served_order``) into one stream that is cut every ``sequence`` tokens. Every
     sequence but the last is full, so padding is less than one sequence in all.
 
-    Without an ``order`` queues run by a digest of the id and every window has the sources' shares
-    of the whole. With it (a whole number per row, not negative, such as ``stored_order`` gives)
+    Without an ``order`` queues run by a digest of the id and every window has the target shares
+    (those given, the plan's weights, or the sources' shares of the whole). With it (a whole number per row, not negative, such as ``stored_order`` gives)
     queues run by it and a window has the shares of its own stretch of that order.
 
     Null or empty texts are one piece with ``end_id`` alone; a null source is a queue of its own;

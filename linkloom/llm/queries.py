@@ -34,7 +34,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
-    return packing.pack(table(spark, sf_dir, "documents"), path)
+    return packing.pack(table(spark, sf_dir, "documents"), path, packing.PackPlan(weights=(5, 2, 1)))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,61 @@ def test_given_shares(spark):
     assert sent.length.sum() == 40000
 
 
+def plainly_served(queues, weights, window):
+    """Deficit round-robin, packet by packet: each round adds to every waiting queue its share of the window."""
+    sent, deficit, at = [], dict.fromkeys(queues, 0.0), dict.fromkeys(queues, 0)
+    total, done, r = sum(map(sum, queues.values())), 0, 0
+    level = 0.0
+    while done < total:
+        # The level by which the queues, those run dry aside, have together sent r + 1 windows.
+        r += 1
+        goal = min(r * window, total)
+        low, high = level, level + total / min(weights.values()) + 1
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(sum(q), weights[s] * mid) for s, q in queues.items()) < goal else (low, mid)
+        for s in sorted(queues):
+            deficit[s] += weights[s] * (high - level)
+            while at[s] < len(queues[s]) and queues[s][at[s]] <= deficit[s] + 1e-6:
+                deficit[s] -= queues[s][at[s]]
+                sent.append((r - 1, s, queues[s][at[s]]))
+                done += queues[s][at[s]]
+                at[s] += 1
+        level = high
+        if r > 10 * total / window + 10:
+            break
+    return sent
+
+
+def test_weights_match_plain_rounds(spark):
+    """Target weights against deficit round-robin played out packet by packet, to the tail."""
+    rng = np.random.default_rng(9)
+    rows = [(i, ("a", "b", None)[int(rng.choice(3, p=[0.2, 0.5, 0.3]))], int(rng.integers(1, 1500))) for i in range(500)]
+    queued = spark.createDataFrame(rows, "__row long, source string, n long").select("__row", source_key(F.col("source")).alias("source_key"), "n", F.lit(0).alias("__bucket"), F.col("__row").alias("__key"))
+    plan = PackPlan(weights=(5, 2, 1), window=16384)
+    sent = served_order(queued, plan).toPandas().sort_values("place")
+    queues = {k: [n for _, s, n in rows if s == source] for k, source in (("0a", "a"), ("0b", "b"), ("1", None))}
+    assert list(zip(sent.window, sent.source_key, sent.length)) == plainly_served(queues, {"0a": 5.0, "0b": 2.0, "1": 1.0}, 16384)
+    first = sent[sent.window < 3].groupby("source_key").length.sum()
+    assert first["0a"] / first.sum() == pytest.approx(5 / 8, abs=0.05)
+
+
+def test_query_fills_windows_to_weights(spark, sf):
+    """The registered query: while all sources last, sequences hold them by weight; nothing is lost."""
+    from linkloom.llm.queries import op5_pack
+
+    pieces = op5_pack(spark, sf).toPandas()
+    size = pieces.groupby("source_key").length.sum()
+    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(size.index))}
+    level = min(size[s] / weights[s] for s in weights)  # where the first queue runs dry
+    full = int(level * sum(weights.values()) // (64 * 2048)) * 64
+    if full:
+        part = pieces[pieces.sequence_id < full].groupby("source_key").length.sum()
+        for s, w in weights.items():
+            assert part[s] / part.sum() == pytest.approx(w / sum(weights.values()), abs=0.05)
+    assert (pieces.groupby("sequence_id").length.sum() == 2048).sum() >= pieces.sequence_id.max()
+
+
 def test_empty(spark, awkward_docs):
     assert pack(awkward_docs.limit(0), PATH).count() == 0
     assert [(r.length, r.ids_crc32) for r in pack(awkward_docs.where("doc_id = 3"), PATH).collect()] == [(1, zlib.crc32(np.array([1], "<u4").tobytes()))]
