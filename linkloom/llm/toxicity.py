@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.storage import discard, written
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Prefix lengths beside whole words; inflected and compounded forms share them.
 PREFIXES = (3, 4, 5, 6, 7)
@@ -31,10 +33,12 @@ class ToxicPlan:
     """Bounds of what is fitted; scoring covers every document.
 
     ``most_labelled``: the labelled training rows, smallest id digest first, that lexicons, label
-    model and classifier are fitted on. ``features``: terms the classifier may use.
+    model and classifier are fitted on, ``most_bytes`` of packed terms at most. ``features``: terms
+    the classifier may use.
     """
 
     most_labelled: int = 20_000
+    most_bytes: int = 192 << 20
     features: int = 8192
     folds: int = 5
     least_support: int = 4
@@ -186,15 +190,26 @@ def fit_label_model(cast: np.ndarray, prior: float, rounds: int) -> LabelModel:
     return model
 
 
-def fit_linear(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int, d: int, target: np.ndarray, ridge: float, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression of soft labels on sparse features, by conjugate directions with backtracking."""
+def fit_linear(starts: np.ndarray, columns: np.ndarray, values: np.ndarray, d: int, target: np.ndarray, ridge: float, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression of soft labels on sparse features, by conjugate directions with backtracking.
+
+    ``starts`` says where each row's features begin in ``columns`` and ``values``; no row is without any.
+    """
+    n, block = len(starts), 1024
+    ends = np.append(starts[1:], len(columns))
 
     def loss_and_slope(w: np.ndarray, b: float):
-        z = np.bincount(rows, w[columns] * values, n) + b
+        z, slope = np.empty(n), ridge * w
+        for at in range(0, n, block):  # in blocks, so that only a few rows' products are held
+            a, e = starts[at], ends[min(n, at + block) - 1]
+            z[at : at + block] = np.add.reduceat(w[columns[a:e]] * values[a:e], starts[at : at + block] - a) + b
         p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-        loss = (np.logaddexp(0, z) - target * z).mean() + ridge / 2 * (w @ w)
         gap = (p - target) / n
-        return loss, np.bincount(columns, gap[rows] * values, d) + ridge * w, gap.sum()
+        for at in range(0, n, block):
+            a, e = starts[at], ends[min(n, at + block) - 1]
+            many = ends[at : at + block] - starts[at : at + block]
+            slope = slope + np.bincount(columns[a:e], np.repeat(gap[at : at + block], many) * values[a:e], d)
+        return (np.logaddexp(0, z) - target * z).mean() + ridge / 2 * (w @ w), slope, gap.sum()
 
     w, b, rate = np.zeros(d), 0.0, 1.0
     loss, gw, gb = loss_and_slope(w, b)
@@ -239,29 +254,37 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([rows[0]]), pa.array([rows[1]]), pa.array([counts[0].tobytes()]), pa.array([counts[1].tobytes()])], ["n_neg", "n_pos", "neg", "pos"])
 
 
-def _voted(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, chosen: frozenset[int]) -> Iterator[pa.RecordBatch]:
+def _voted(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, index: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Votes, and the chosen terms as places in ``index`` and their values, packed: two and four bytes a term."""
+    chosen = frozenset(index.tolist())
     for batch in batches:
-        cast, held, often = [], [], []
+        cast, places, values = [], [], []
         for text in batch["text"].to_pylist():
-            cast.append(votes(text or "", lexicon))
-            found = sorted(term_counts(text or "", chosen).items())
-            held.append([t for t, _ in found])
-            often.append([n for _, n in found])
-        columns = [pa.array(cast, pa.list_(pa.int8())), pa.array(held, pa.list_(pa.int32())), pa.array(often, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays([batch["toxic"], *columns], ["toxic", "votes", "terms", "counts"])
+            cast.append(np.array(votes(text or "", lexicon), np.int8).tobytes())
+            found = term_counts(text or "", chosen)
+            terms = np.fromiter(found, np.int64, len(found))
+            order = np.argsort(terms)
+            places.append(np.searchsorted(index, terms[order]).astype("<u2").tobytes())
+            values.append(term_value(np.fromiter(found.values(), np.int64, len(found))[order]).astype("<f4").tobytes())
+        columns = [pa.array(c, pa.binary()) for c in (cast, places, values)]
+        yield pa.RecordBatch.from_arrays([batch["spread"], batch["doc_id"], *columns], ["spread", "doc_id", "votes", "places", "values"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, plan: ToxicPlan = ToxicPlan()) -> tuple[Scorer, LabelModel | None]:
     """Lexicons, label model and classifier from labelled rows outside the held-out fold.
 
     Only the bounded sample is gathered: per task two count arrays of fixed length, then votes
-    and chosen terms of at most ``most_labelled`` rows.
+    and chosen terms of at most ``most_labelled`` rows, six bytes for each of at most ``features``
+    terms of a row and stopped at ``most_bytes`` in all. Rows beyond that are not fitted on, in
+    the order of their digests, so that the bound does not depend on how long texts are.
     """
+    if plan.features >= 1 << 16:
+        raise ValueError("too many features")
     usable = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), plan.folds) != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(plan.most_labelled)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
     # Of rows that repeat an id one is taken, so the sample keeps its bound; few tasks keep the gathered arrays few.
-    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").repartition(8).persist()
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic", F.xxhash64("doc_id").alias("spread"), "doc_id").repartition(8, "doc_id").persist()
     try:
         parts = sample.mapInArrow(_counted, "n_neg long, n_pos long, neg binary, pos binary").collect()
         neg, pos = (sum((np.frombuffer(p[c], np.int32) for p in parts), np.zeros(TABLE, np.int64)) for c in ("neg", "pos"))
@@ -275,18 +298,24 @@ def fit(docs: DataFrame, labels: DataFrame, plan: ToxicPlan = ToxicPlan()) -> tu
         spread = np.abs(np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))) * np.sqrt(np.minimum(pos / n_pos + neg / n_neg, 0.2)) * (pos + neg >= plan.least_support)
         order = np.lexsort((np.arange(TABLE), -spread))[: plan.features]
         index = np.append(np.sort(order[spread[order] > 0]), SIZE_TERM)
-        chosen = frozenset(index.tolist())
-        gathered = sample.mapInArrow(lambda batches: _voted(batches, lexicon, chosen), "toxic int, votes array<tinyint>, terms array<int>, counts array<int>").collect()
+        voted = written(sample.mapInArrow(lambda batches: _voted(batches, lexicon, index), "spread long, doc_id long, votes binary, places binary, values binary"), "votes")
+        # The same order on every run; rows arrive one partition at a time and are kept packed.
+        cast, places, values, held = [], [], [], 0
+        for r in voted.orderBy("spread", "doc_id").toLocalIterator():
+            held += len(r["places"]) + len(r["values"])
+            if held > plan.most_bytes and cast:
+                break
+            cast.append(np.frombuffer(r["votes"], np.int8))
+            places.append(np.frombuffer(r["places"], "<u2"))
+            values.append(np.frombuffer(r["values"], "<f4"))
+        discard(voted)
     finally:
         sample.unpersist()
-    cast = np.array([r.votes for r in gathered], np.int8)
+    cast = np.stack(cast)
     model = fit_label_model(cast, n_pos / (n_pos + n_neg), plan.rounds)
     target = model.posterior(cast)
-    sizes = [len(r.terms) for r in gathered]
-    rows = np.repeat(np.arange(len(gathered)), sizes)
-    columns = np.searchsorted(index, np.concatenate([np.array(r.terms, np.int64) for r in gathered]) if sum(sizes) else np.empty(0, np.int64))
-    often = np.concatenate([np.array(r.counts, np.int64) for r in gathered]) if sum(sizes) else np.empty(0, np.int64)
-    weight, bias = fit_linear(rows, columns, term_value(often), len(gathered), len(index), target, plan.ridge)
+    starts = np.cumsum([0, *(len(p) for p in places)])[:-1]
+    weight, bias = fit_linear(starts, np.concatenate(places), np.concatenate(values), len(index), target, plan.ridge)
     some = np.flatnonzero(np.abs(weight) > 1e-4)
     return Scorer(index[some], weight[some], bias), model
 
