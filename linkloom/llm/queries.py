@@ -149,4 +149,48 @@ SELECT doc_id, size, source_size, target, first + second AS taken,
 FROM readings
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_nearest": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_mix_sources": OP4_SQL, "op8_ngram_join": OP8_SQL}
+
+
+def _either_case(*words: str) -> str:
+    """A pattern for ASCII words in either case, without the folding of other letters that a flag brings."""
+    return "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in words)
+
+
+_ASSIGN = rf"""(?:{_either_case('password', 'passwd', 'secret', 'token', 'api_?key')})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_ENDPOINT = rf"""(?:{_either_case('https?', 's3', 'ftp', 'postgres', 'mysql', 'mongodb', 'redis', 'amqp')})://[^\x20\x09-\x0D"''<>]+"""
+
+
+def _sql_spans(name: str, pattern: str, rank: int, fits: str) -> str:
+    """Matches of a pattern that fit, with their places from the lengths of what lies between and before."""
+    return f"""
+{name} AS (
+  SELECT rid, {rank} AS rank, upto - len(hit) AS start, upto AS stop FROM (
+    SELECT rid, hit, sum(len(gap) + len(hit)) OVER (PARTITION BY rid ORDER BY i)::BIGINT AS upto FROM (
+      SELECT rid, generate_subscripts(hits, 1) AS i, unnest(hits) AS hit, unnest(gaps[:len(hits)]) AS gap FROM (
+        SELECT rid, regexp_extract_all(text, '{pattern}') AS hits, string_split_regex(text, '{pattern}') AS gaps FROM d)))
+  WHERE {fits})"""
+
+
+#: Base spans, and the default ``LinkPlan``: weak candidates by the gap to identifiers, secrets and tokens.
+OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+{_sql_spans("assign", _ASSIGN, 0, f"len(regexp_extract(hit, '{_ASSIGN}', 1)) >= 12")},
+{_sql_spans("access", "AKIA[A-Z0-9]+", 1, "len(hit) >= 18")},
+{_sql_spans("hexes", "[0-9a-f]+", 2, "len(hit) >= 16")},
+{_sql_spans("parts", "[A-Za-z0-9+/_.=-]+", 3, "regexp_full_match(hit, '[A-Za-z0-9+/]{32,}={0,2}') AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]')")},
+{_sql_spans("endpoints", _ENDPOINT, 4, "true")},
+base AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hexes),
+weak AS (SELECT * FROM (SELECT * FROM parts UNION ALL SELECT * FROM endpoints) w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = w.rid AND b.start < w.stop AND w.start < b.stop)),
+near AS (SELECT * FROM weak w WHERE EXISTS (SELECT 1 FROM access a WHERE a.rid = w.rid AND w.stop >= a.start - 256 AND w.start <= a.stop + 256)),
+secret AS (SELECT * FROM assign UNION ALL SELECT * FROM hexes UNION ALL SELECT * FROM near WHERE rank = 3),
+more AS (SELECT * FROM near WHERE rank = 3 UNION ALL SELECT * FROM near w WHERE rank = 4 AND EXISTS (SELECT 1 FROM secret s WHERE s.rid = w.rid AND w.stop >= s.start - 256 AND w.start <= s.stop + 256)),
+every_ AS (SELECT * FROM base UNION ALL SELECT * FROM more),
+told AS (
+  SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+         string_agg(one, ',' ORDER BY start, rank, stop) FILTER (rank < 3) AS base, string_agg(one, ',' ORDER BY start, rank, stop) AS spans
+  FROM (SELECT *, ['assign', 'access', 'hex', 'part', 'endpoint'][rank + 1] || ':' || start || ':' || stop AS one FROM every_) GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (rid)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_nearest": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_mix_sources": OP4_SQL, "op8_ngram_join": OP8_SQL, "op9_secrets": OP9_SQL}
