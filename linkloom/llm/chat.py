@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.arrays import running_starts
 from linkloom.llm.mixing import source_key
+from linkloom.llm.prefix import running_total
 from linkloom.storage import written
 
 # Fixed control strings of the template.
@@ -18,6 +19,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 ASSISTANT = "assistant"
 #: Turns of one path that are gathered together first.
 CHUNK = 64
+#: Turn numbers that are sorted together.
+STRETCH = 1024
 
 READ_BACK = "struct<n_turns: long, turns_sha256: string, loss_chars: long, loss_sha256: string>"
 
@@ -113,9 +116,11 @@ def chosen_paths(nodes: DataFrame, plan: ChatPlan = ChatPlan()) -> DataFrame:
 
     ``nodes`` has ``tree``, ``node``, ``parent`` and ``score``; a parent that is missing, or not before
     its child, makes the child a root, so there are no cycles. Branches rank by mean score, ties
-    to the smaller leaf.
+    to the smaller leaf. Null scores count as 0; rows without a tree or node are left out; of rows
+    that repeat a node the greatest parent and score count; an empty table gives no rows.
     """
-    own = nodes.select("tree", "node", F.when(F.col("parent") < F.col("node"), F.col("parent")).alias("parent"), F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
+    own = nodes.where(F.col("tree").isNotNull() & F.col("node").isNotNull()).groupBy("tree", "node").agg(F.max("parent").alias("parent"), F.max("score").alias("score"))
+    own = own.select("tree", "node", F.when(F.col("parent") < F.col("node"), F.col("parent")).alias("parent"), F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
     present = own.select("tree", F.col("node").alias("parent"), F.lit(True).alias("__there"))
     links = own.join(present, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("__there"), F.col("parent")).alias("parent"), "score")
     levels, state = _raised(links)
@@ -134,8 +139,10 @@ def format_trees(nodes: DataFrame, plan: ChatPlan = ChatPlan()) -> DataFrame:
     """One row per chosen path: ``tree``, ``branch``, ``formatted`` and ``loss`` (spans of code points under the loss mask).
 
     ``nodes`` has ``tree``, ``node``, ``parent``, ``score``, ``role`` and ``text`` and is read from storage.
-    Null roles and texts are empty. Turns are formatted where they are; each path is gathered by
-    chunks of turns first, then by chunks, as one row that holds the conversation.
+    Null roles and texts are empty; rows that repeat a node are turns of their own at its place,
+    ordered by what they say; an empty table gives no rows; other columns, whatever their names,
+    are ignored. Turns are formatted where they are; each path is gathered by chunks of turns
+    first, then by chunks, as one row that holds the conversation.
     """
     paths = chosen_paths(nodes, plan)
     body = escaped(F.coalesce("text", F.lit("")))
@@ -155,14 +162,16 @@ def format_trees(nodes: DataFrame, plan: ChatPlan = ChatPlan()) -> DataFrame:
 def conversation_nodes(conversations: DataFrame) -> DataFrame:
     """Linear conversations as trees: each turn replies to the one before it.
 
-    Turns that tie are ordered by role and text, null turns first; repeated rows stay.
+    Turns that tie are ordered by role and text, null turns first; repeated rows stay. Turns are
+    numbered in stretches of ``STRETCH``, so that a long conversation is sorted by many tasks.
     """
-    order = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
     keyed = conversations.select(
         source_key(F.col("conv_id")).alias("tree"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
     )
-    numbered = keyed.withColumn("node", F.row_number().over(order).cast("long"))
+    dealt = keyed.withColumn("stretch", F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-(1 << 62)))).withColumn("one", F.lit(1).cast("long"))
+    numbered = running_total(dealt, ["tree"], "stretch", order, "one", "before").withColumn("node", F.col("before") + 1)
     return numbered.select("tree", "conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 

@@ -20,6 +20,9 @@ def components(edges: DataFrame) -> DataFrame:
     the way each time, and goes on with the edges between roots alone. Stars, which candidate
     edges mostly are, are gone after one round; a path of n nodes takes log2(n) steps. Tables
     stay in the shared folder; the driver only learns whether anything is left.
+
+    Loops, null ends and repeated edges count for nothing; an empty table gives no rows; other
+    columns are ignored. Nodes must be whole numbers; the order of rows plays no part.
     """
     left = written(_between(edges), "edges")
     labels = left.select(F.col("u").alias("node"), F.col("v").alias("label"))

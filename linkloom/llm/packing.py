@@ -140,6 +140,9 @@ def served_order(queued: DataFrame, plan: PackPlan, shares: Mapping[str | None,
     If ``ordered``, buckets and keys are one order of all rows, and without targets a queue's
     quantum in a window is what it holds of the window's tokens in that order: a packet leaves
     in the round of the window that its last token falls into.
+
+    Ties are settled by ``__key`` and ``__row``, which must be unique; ``n`` is at least 1 and no
+    column is null; an empty table gives no rows; other columns play no part.
     """
     targets = shares is not None or plan.weights is not None
     if ordered and not targets:

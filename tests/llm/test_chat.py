@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from linkloom.llm.chat import ChatPlan, chosen_paths, escaped, escaped_role, format_conversations, format_trees, unescape, unescape_role
+from linkloom.llm.chat import ChatPlan, chosen_paths, escaped, escaped_role, format_conversations, format_trees, parse, unescape, unescape_role
 from linkloom.session import table
 from linkloom.storage import written
 
@@ -69,3 +69,23 @@ def test_table(spark, sf):
     rows = sorted(map(tuple, convs.select("conv_id", "turn", "role", "text").collect()))
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in format_conversations(convs).collect()}
     assert got == {c: by_hand([(r, t) for d, _, r, t in rows if d == c]) for c in {r[0] for r in rows}}
+
+
+def test_long_conversations_and_odd_turns(spark):
+    """Turns far beyond a stretch, below zero, null, tied and repeated keep their order; other columns play no part."""
+    rows = [(1, t, "user" if t % 2 else "assistant", f"text {t}") for t in range(-1500, 2600, 3)] + [(1, None, "user", "first"), (1, 7, "user", None), (1, 7, "user", "text 7"), (None, 1, "user", "of none"), (None, 1, "user", "of none")]
+    convs = spark.createDataFrame([(*r, 5, "x", 1.0) for r in rows], "conv_id long, turn long, role string, text string, one int, stretch string, before double")
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in format_conversations(convs).collect()}
+    order = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] is not None, r[3] or "")
+    assert got == {c: by_hand([(r, t) for d, _, r, t in sorted(rows, key=order) if d == c]) for c in (1, None)}
+    assert format_conversations(convs.limit(0)).count() == 0
+
+
+def test_repeated_nodes_and_clashes(spark):
+    rows = [("t", 1, None, 1.0, "user", "a"), ("t", 1, None, 1.0, "user", "a"), ("t", 2, 1, None, "assistant", "b"), ("t", 3, 1, 9.0, "assistant", "c"), ("t", 3, 1, 9.0, "assistant", "d"), ("t", None, 1, 1.0, "user", "x"), (None, 1, None, 1.0, "user", "x")]
+    nodes = spark.createDataFrame([(*r, "z", 0) for r in rows], "tree string, node long, parent long, score double, role string, text string, branch string, place int")
+    assert sorted((r.node, r.place, r.branch) for r in chosen_paths(nodes).collect()) == [(1, 0, 1), (3, 1, 1)]
+    (one,) = format_trees(nodes).collect()
+    assert [t for _, t in parse(one.formatted)] == ["a", "a", "c", "d"]
+    assert "".join(one.formatted[s.start : s.end] for s in one.loss) == "cd"
+    assert format_trees(nodes.limit(0)).count() == chosen_paths(nodes.limit(0)).count() == 0
