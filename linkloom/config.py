@@ -43,6 +43,8 @@ class CrawlConfig:
     user_agent: str = "linkloom (set a contact here)"
     verify_tls: bool = True
     checkpoint_every: int = 5
+    hub_links: int = 200_000
+    chunk_links: int = 65_536
 
 
 DEFAULT = CrawlConfig()

@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.config import DEFAULT, CrawlConfig
-from linkloom.storage import bucketed, checkpointed
+from linkloom.storage import bucketed, checkpointed, discard, written
 
+#: Hubs, with one id each, up to which their scores are broadcast.
+BROADCAST_HUBS = 100_000
 
-def prepared_edges(edges: DataFrame) -> DataFrame:
-    """The bag collapsed to (src, dst, share): weights over the source's out-degree, summed.
 
-    Collapsing multi-edges once makes every iteration read one row per pair of nodes. The
-    out-degree counts all links but self-links carry no rank.
-    """
-    pairs = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
-    degree = pairs.groupBy("src").agg(F.sum("n").alias("out_degree"))
-    return pairs.where(F.col("src") != F.col("dst")).join(degree, "src").select("src", "dst", (F.col("w") / F.col("out_degree")).alias("share"))
+def collapsed(edges: DataFrame) -> DataFrame:
+    """The bag as (src, dst, w, n): weights summed and links counted per pair of nodes."""
+    return edges.groupBy("src", "dst").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
 
 
 def nodes_of(edges: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -28,23 +27,62 @@ def nodes_of(edges: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     return ids.distinct()
 
 
-def step(ids: DataFrame, shares: DataFrame, ranks: DataFrame, damping: float) -> DataFrame:
+@dataclass
+class Shares:
+    """What each node gives to those that it links, (src, dst, share), stored for every step.
+
+    ``plain`` is bucketed by source. The links of ``hubs`` (ids with many) would make one bucket
+    that no reader splits, so they lie apart in ``crowded``, dealt by their targets.
+    """
+
+    plain: DataFrame
+    crowded: DataFrame
+    hubs: DataFrame
+    any: bool
+    few: bool
+
+
+def prepared(pairs: DataFrame, config: CrawlConfig = DEFAULT) -> Shares:
+    """Shares of collapsed pairs: weights over the source's out-degree.
+
+    The out-degree counts all links but self-links carry no rank.
+    """
+    degree = written(pairs.groupBy("src").agg(F.sum("n").alias("out_degree"), F.count("*").alias("targets")), "degree")
+    hubs = degree.where(F.col("targets") > config.hub_links).select(F.col("src").alias("id"))
+    shares = pairs.where(F.col("src") != F.col("dst")).join(degree, "src").select("src", "dst", (F.col("w") / F.col("out_degree")).alias("share"), (F.col("targets") > config.hub_links).alias("hub"))
+    crowded = written(shares.where("hub").drop("hub").repartition("dst"), "shares-of-hubs")
+    hubs = written(hubs, "hubs")
+    n = hubs.limit(BROADCAST_HUBS + 1).count()
+    return Shares(bucketed(shares.where(~F.col("hub")).drop("hub"), "src", "shares"), crowded, hubs, n > 0, n <= BROADCAST_HUBS)
+
+
+def step(ids: DataFrame, shares: Shares, ranks: DataFrame, damping: float) -> DataFrame:
     """One Jacobi iteration: (1 - d) + d * sum(score * share)."""
     given = ranks.select(F.col("id").alias("src"), "score")
-    heard = shares.join(given, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("s"))
+    of_hubs = given.join(shares.hubs.select(F.col("id").alias("src")), "src")
+    of_hubs = F.broadcast(of_hubs) if shares.few else of_hubs
+    sent = lambda links, scores: links.join(scores, "src").select(F.col("dst").alias("id"), (F.col("score") * F.col("share")).alias("part"))
+    parts = sent(shares.plain, given)
+    if shares.any:
+        parts = parts.unionByName(sent(shares.crowded, of_hubs))
+    heard = parts.groupBy("id").agg(F.sum("part").alias("s"))
     return ids.join(heard, "id", "left").select("id", (F.lit(1 - damping) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("score"))
 
 
 def pagerank(edges: DataFrame, iterations: int, ids: DataFrame | None = None, start: DataFrame | None = None, config: CrawlConfig = DEFAULT) -> DataFrame:
     """(id, score) after ``iterations`` steps from 1.0, or from the scores of ``start`` where it has them.
 
-    Shares are stored bucketed by source and ids by id, so that a step shuffles scores and
-    partial sums but never the edges. Ranks are stored every ``checkpoint_every`` steps, in the
-    folder that executors share, so that neither lineage nor a lost executor makes the loop
-    start over. A node's sum is taken partially before its shuffle, so hubs don't gather.
+    The edges are read once: their collapsed pairs are stored, and degrees, shares and ids come
+    from those. Shares are stored bucketed by source and ids by id, so that a step shuffles
+    partial sums but never the edges; hubs' links are spread by target. Ranks are stored every
+    ``checkpoint_every`` steps, in the folder that executors share, so that neither lineage nor a
+    lost executor makes the loop start over. A node's sum is taken partially before its shuffle,
+    so targets of many links don't gather either.
     """
-    shares = bucketed(prepared_edges(edges), "src", "shares")
-    ids = bucketed(nodes_of(edges) if ids is None else ids, "id", "ids")
+    pairs = written(collapsed(edges), "pairs")
+    shares = prepared(pairs, config)
+    ids = bucketed(nodes_of(pairs) if ids is None else ids, "id", "ids")
+    discard(pairs)
     ranks = ids.select("id", F.lit(1.0).alias("score"))
     if start is not None:
         ranks = ids.join(start.select("id", F.col("score").alias("__s")), "id", "left").select("id", F.coalesce("__s", F.lit(1.0)).alias("score"))

@@ -56,6 +56,24 @@ SELECT concat('g', CAST(l_suppkey AS STRING)) AS page, CAST(l_orderkey * 8 + l_l
        CASE WHEN l_quantity < 10 THEN '88' WHEN l_quantity < 20 THEN '+088' WHEN l_quantity < 30 THEN '88px' WHEN l_quantity < 35 THEN '90' END AS width,
        CASE WHEN l_tax < 0.04 THEN '31' WHEN l_tax < 0.05 THEN ' 31' WHEN l_tax < 0.06 THEN '99999999999' WHEN l_tax < 0.07 THEN '32' END AS height
 FROM {lineitem}""",
+    # Markup by position, beside what it stands for: the image, the hrefs of its anchors.
+    "html_tokens": """
+SELECT page, url, pos, img_url, CASE WHEN kind IN (0, 1, 3, 5) THEN alt END AS alt, CASE WHEN kind IN (0, 1, 3, 5) THEN title END AS title,
+       CASE WHEN kind IN (0, 1, 3, 5) THEN width END AS width, CASE WHEN kind IN (0, 1, 3, 5) THEN height END AS height, href, outer_href,
+       CASE kind WHEN 0 THEN image WHEN 1 THEN concat('<a href="', href, '"><b>', image, '</b></a>') WHEN 2 THEN concat('<a href="/in', CAST(n AS STRING), '?ref=x">text</a>')
+         WHEN 3 THEN concat('<a href="/out', CAST(n AS STRING), '">a<a href="/in', CAST(n AS STRING), '">', image, '</a></a>')
+         WHEN 4 THEN concat('<template><a href="/hidden">', image, '</a></template>') WHEN 5 THEN concat('<a href="mailto:x@y">', image, '</a>') ELSE '<a href="#top">up</a><img src="e.ico">' END AS markup
+FROM (SELECT *, concat('<img src="', src, '"', coalesce(concat(' alt="', alt, '"'), ''), coalesce(concat(' title="', title, '"'), ''), coalesce(concat(' width="', width, '"'), ''), coalesce(concat(' height=', height), ''), '>') AS image,
+        CASE WHEN kind IN (0, 1, 3, 5) THEN concat('http://s', CAST(page AS STRING), '.example/dir/', src) WHEN kind = 6 THEN concat('http://s', CAST(page AS STRING), '.example/dir/e.ico') END AS img_url,
+        CASE kind WHEN 1 THEN CASE WHEN n % 5 = 0 THEN concat('http://s', CAST(page AS STRING), '.example/dir/', src) WHEN n % 5 = 1 THEN concat('http://s', CAST(page AS STRING), '.example/in', CAST(n AS STRING)) ELSE concat('http://t', CAST(n AS STRING), '.example/') END
+          WHEN 2 THEN concat('http://s', CAST(page AS STRING), '.example/in', CAST(n AS STRING)) WHEN 3 THEN concat('http://s', CAST(page AS STRING), '.example/in', CAST(n AS STRING)) END AS href,
+        CASE WHEN kind = 3 THEN concat('http://s', CAST(page AS STRING), '.example/out', CAST(n AS STRING)) END AS outer_href
+      FROM (SELECT l_suppkey AS page, concat('http://s', CAST(l_suppkey AS STRING), '.example/dir/') AS url, CAST(l_partkey % 23 AS BIGINT) AS n, CAST((l_orderkey + l_linenumber) % 7 AS INT) AS kind,
+        CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax) AS BIGINT) AS pos,
+        concat('i', CAST(l_partkey % 29 AS STRING), CASE WHEN l_partkey % 29 = 3 THEN '.svg' ELSE '.gif' END) AS src,
+        CASE WHEN l_returnflag = 'A' THEN '' WHEN l_returnflag = 'R' THEN concat('alt', CAST(l_linenumber AS STRING)) END AS alt, CASE WHEN l_linestatus = 'F' THEN 'title' END AS title,
+        CASE WHEN l_quantity < 15 THEN '88' WHEN l_quantity < 25 THEN '88px' WHEN l_quantity < 30 THEN '90' END AS width, CASE WHEN l_tax < 0.03 THEN '31' WHEN l_tax < 0.04 THEN 'x' WHEN l_tax < 0.05 THEN '32' END AS height
+        FROM {lineitem}) AS raw) AS made""",
     "candidates": """
 SELECT concat('c', CAST(s_suppkey AS STRING)) AS page, CAST(n AS BIGINT) AS pos, concat('u', CAST(n AS STRING)) AS url,
        (n * 7 + s_suppkey) % 61 = 0 AND s_suppkey % 4 <> 0 OR (s_suppkey % 4 = 0 AND n = 49) AS valid

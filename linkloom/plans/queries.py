@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,10 @@ from linkloom.config import DEFAULT, DEFAULT_DELAY_S, RATE_RULES
 from linkloom.functions import hosts, images, urls
 from linkloom.functions.url_join import redirect_target
 from linkloom.operators import edges as E
-from linkloom.operators import frontier, html_links, image_candidates, maintenance, rank, responses, snapshot, state
+from linkloom.operators import frontier, html_links, image_candidates, maintenance, queue, rank, responses, snapshot, state
 from linkloom.plans.fixtures import duck_view, spark_view
 from linkloom.session import table
+from linkloom.sources import files
 from linkloom.storage import shared_dir, written
 from linkloom.streaming import limiter
 
@@ -32,7 +34,7 @@ def query(name: str, sql: str | None = None, **views: str):
         QUERIES[name] = f
         if sql is not None:
             text = sql
-            for v in ("edges", "button_occ", "redirects", "page_state", "rate_requests", "blobs", "img_tokens", "candidates"):
+            for v in ("edges", "button_occ", "redirects", "page_state", "rate_requests", "blobs", "img_tokens", "candidates", "html_tokens"):
                 text = text.replace("{" + v + "}", duck_view(v))
             ORACLE_SQL[name] = text
         return f
@@ -299,13 +301,9 @@ links AS (SELECT page, pos, {sql_clean('url')} AS href, page_url FROM full_ WHER
 
 @query("internal_links", f"WITH {_sql_links()}, once AS (SELECT page, href, min(pos) AS pos FROM links WHERE href <> page_url GROUP BY ALL) SELECT page, href FROM once")
 def q_internal_links(spark, sf):
-    """All internal links of every page, before the cap."""
+    """All internal links of every page, under a cap that none reaches."""
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("page"), "url", "html")
-    parsed = written(pages.select("page", html_links.tokens(F.col("html"), F.col("url")).alias("t")), "tokens")
-    anchors = parsed.select("page", F.col("t.base").alias("page_url"), F.explode("t.anchors").alias("a")).select("page", "page_url", "a.pos", "a.raw", "a.url")
-    links = html_links.usable_anchors(anchors)
-    own = links.where((urls.host_of(F.col("href")) == urls.host_of(F.col("page_url"))) & (F.col("href") != F.col("page_url")))
-    return own.select("page", "href").distinct()
+    return html_links.extract(pages, replace(DEFAULT, max_internal_links=1 << 30))[1].select("page", F.explode("links").alias("href"))
 
 
 @query("internal_links_top8", f"WITH {_sql_links()}, once AS (SELECT page, href, min(pos) AS pos FROM links WHERE href <> page_url GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY pos) AS n FROM once) SELECT page, count(*)::INTEGER AS n, string_agg(href, ' ' ORDER BY pos) AS links FROM ranked WHERE n <= 8 GROUP BY page")
@@ -313,9 +311,37 @@ def q_internal_top8(spark, sf):
     return _page_links(spark, sf)[1].select("page", F.size("links").alias("n"), F.array_join("links", " ").alias("links"))
 
 
-@query("html_candidates")
+def html_pages(spark, sf):
+    """Pages put together from the markup of the token view, in order."""
+    tokens = spark_view(spark, sf, "html_tokens")
+    pages = tokens.groupBy("page", "url").agg(F.array_sort(F.collect_list(F.struct("pos", "markup"))).alias("a"))
+    body = F.array_join(F.transform("a", lambda x: x["markup"]), "\n")
+    return pages.select("page", "url", F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
+
+
+#: Images and anchors that the token view's markup stands for, by the rules: what is hidden is none,
+#: an anchor ends where the next begins, the first image of an anchor is its own.
+_TOKENS = """tok AS (SELECT * FROM {html_tokens}),
+img AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY pos) - 1 AS pos, img_url, alt, title, width, height FROM tok WHERE img_url IS NOT NULL),
+cand AS (SELECT page, pos, img_url AS url, nullif(alt, '') AS alt, nullif(title, '') AS title FROM img
+         WHERE coalesce(width, '88') IN ('88', '88px') AND NOT ends_with(img_url, '.svg') AND NOT ends_with(img_url, '.ico') AND coalesce(height, '31') IN ('31', 'x') QUALIFY row_number() OVER (PARTITION BY page, img_url ORDER BY pos) = 1),
+anchor AS (SELECT page, url AS page_url, pos * 2 AS pos, outer_href AS href, CAST(NULL AS VARCHAR) AS img_url FROM tok WHERE outer_href IS NOT NULL
+           UNION ALL SELECT page, url, pos * 2 + 1, href, img_url FROM tok WHERE href IS NOT NULL),
+badge AS (SELECT page, img_url AS url, arg_max(href, pos) AS href FROM anchor WHERE img_url IS NOT NULL AND href <> img_url GROUP BY ALL),
+found AS (SELECT cand.page, cand.pos, cand.url, alt, title, href FROM cand LEFT JOIN badge USING (page, url)),
+own AS (SELECT page, href, min(pos) AS pos FROM anchor WHERE starts_with(href, regexp_extract(page_url, '^http://[^/]*/')) AND href <> page_url GROUP BY ALL),
+plain AS (SELECT * FROM own WHERE (page, href) NOT IN (SELECT page, href FROM found WHERE href IS NOT NULL))"""
+
+
+@query("html_candidates", f"WITH {_TOKENS} SELECT page, pos, url, alt, title, href FROM found")
 def q_html_candidates(spark, sf):
-    return _page_links(spark, sf)[0]
+    return html_links.extract(html_pages(spark, sf))[0]
+
+
+@query("internal_minus_buttons", f"WITH {_TOKENS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY pos) AS n FROM plain) SELECT page, count(*)::INTEGER AS n, string_agg(href, ' ' ORDER BY pos) AS links FROM ranked WHERE n <= 8 GROUP BY page")
+def q_internal_minus_buttons(spark, sf):
+    """Internal links that no badge leads to, eight at most."""
+    return html_links.extract(html_pages(spark, sf))[1].select("page", F.size("links").alias("n"), F.array_join("links", " ").alias("links"))
 
 
 @query(
@@ -526,9 +552,72 @@ def q_failures(spark, sf):
     return state.record_failures(pages, failures, NOW).select("url", "page_id.host", "page_id.path", "last_visited", "failed")
 
 
-@query("page_lookup", f"SELECT {sql_id_host('url')} AS host, {sql_id_path('url')} AS path, count(*) > 1 AS many FROM pages GROUP BY ALL")
+@query("page_lookup", "SELECT url, host, path, last_visited, failed FROM {page_state} WHERE host = 'c7.example' AND path = ''")
 def q_page_lookup(spark, sf):
-    return page_urls(spark, sf).groupBy(urls.page_id(F.col("url")).alias("k")).agg((F.count("*") > 1).alias("many")).select("k.host", "k.path", "many")
+    found = queue.page(scored_pages(spark, sf), "c7.example", "")
+    return found.select("url", "page_id.host", "page_id.path", "last_visited", "failed")
+
+
+def _queue(spark, sf):
+    """Pages by failures: queued, in flight, or in neither."""
+    pages = scored_pages(spark, sf)
+    status = F.when(F.col("failed") % 4 == 3, queue.IN_FLIGHT).otherwise(queue.QUEUED)
+    return pages.where("failed % 4 <> 0").select("page_id", "url", F.regexp_extract("host", "([0-9]+)", 1).cast("long").alias("seq"), status.alias("status"))
+
+
+_QUEUE = "(SELECT url, host, path, failed, CAST(regexp_extract(host, '([0-9]+)', 1) AS BIGINT) AS seq, CASE WHEN failed % 4 = 3 THEN 'in_flight' ELSE 'queued' END AS status FROM {page_state} WHERE failed % 4 <> 0)"
+
+
+@query("queue_busy", f"SELECT host, path FROM {_QUEUE} WHERE seq % 2 = 0")
+def q_queue_busy(spark, sf):
+    """Of every second page, those that are queued or in flight."""
+    asked = scored_pages(spark, sf).where(F.regexp_extract("host", "([0-9]+)", 1).cast("long") % 2 == 0).select("page_id")
+    return queue.is_busy(_queue(spark, sf), asked).select("page_id.host", "page_id.path")
+
+
+@query("queue_start", f"SELECT host, path, url, seq, CASE WHEN seq % 5 = 0 THEN 'in_flight' ELSE status END AS status FROM {_QUEUE}")
+def q_queue_start(spark, sf):
+    held = _queue(spark, sf)
+    return queue.start(held, held.where("seq % 5 = 0").select("page_id")).select("page_id.host", "page_id.path", "url", "seq", "status")
+
+
+@query("queue_finish", f"SELECT host, path, url, seq, status FROM {_QUEUE} WHERE seq % 3 <> 0")
+def q_queue_finish(spark, sf):
+    held = _queue(spark, sf)
+    return queue.finish(held, held.where("seq % 3 = 0").select("page_id")).select("page_id.host", "page_id.path", "url", "seq", "status")
+
+
+@query("queue_enqueue", f"SELECT host, path, url, seq, status FROM {_QUEUE} UNION ALL SELECT host, path, url, CAST(regexp_extract(host, '([0-9]+)', 1) AS BIGINT) + 1000000, 'queued' FROM {{page_state}} WHERE failed % 4 = 0 AND NOT (host = 'c0.example' OR ends_with(host, '.c0.example'))")
+def q_queue_enqueue(spark, sf):
+    """All pages offered to the queue, one host of them banned."""
+    offered = scored_pages(spark, sf).select("url", (F.regexp_extract("host", "([0-9]+)", 1).cast("long") + 1000000).alias("seq"))
+    return queue.enqueue(_queue(spark, sf), offered, replace(DEFAULT, banned_hosts=("c0.example",))).select("page_id.host", "page_id.path", "url", "seq", "status")
+
+
+_NEXT = f"(SELECT event_id AS seq, host, t_ms, {sql_rate('host', 'key')} AS rate_key, CAST({sql_rate('host', 'delay')} AS INTEGER) AS delay_s FROM {{rate_requests}})"
+
+
+@query("queue_next", f"SELECT rate_key, delay_s, min(seq) AS seq FROM {_NEXT} WHERE seq % 3 <> 0 GROUP BY ALL HAVING rate_key NOT IN ('jcink.net') ORDER BY seq")
+def q_queue_next(spark, sf):
+    """The next URL of each host whose time has come; one host's has not."""
+    requests = spark_view(spark, sf, "rate_requests")
+    url = F.concat(F.lit("http://"), F.col("host"), F.lit("/"), F.col("event_id").cast("string"))
+    held = requests.select(urls.page_id(url).alias("page_id"), url.alias("url"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, queue.IN_FLIGHT).otherwise(queue.QUEUED).alias("status"))
+    times = spark.createDataFrame([("jcink.net", 5_001), ("neocities.org", 5_000)], "rate_key string, next_ms long")
+    return queue.next_admissible(held, times, 5_000).select("rate_key", "delay_s", "seq")
+
+
+@query("without_banned", "SELECT url FROM {page_state} WHERE NOT (host IN ('c1.example', 'c12.example') OR ends_with(host, '.c1.example') OR ends_with(host, '.c12.example'))")
+def q_without_banned(spark, sf):
+    return state.without_banned(scored_pages(spark, sf), replace(DEFAULT, banned_hosts=("c1.example", "c12.example"))).select("url")
+
+
+@query("missing_blobs", "WITH occ AS (SELECT * FROM {button_occ}), firsts AS (SELECT hash, arg_min(source, struct_pack(a := host, b := path, c := pos)) FILTER (source IS NOT NULL) AS url FROM occ GROUP BY hash) SELECT DISTINCT hash, file_ext, url FROM occ JOIN firsts USING (hash) WHERE hash || '.' || file_ext NOT IN (SELECT filename FROM {blobs})")
+def q_missing_blobs(spark, sf):
+    """Images that pages link under an extension that isn't stored, with where to find them again."""
+    occ = spark_view(spark, sf, "button_occ")
+    stored = spark_view(spark, sf, "blobs").select(F.substring_index("filename", ".", 1).alias("hash"), F.substring_index("filename", ".", -1).alias("file_ext"))
+    return files.missing_blobs(occ.select("hash", "file_ext").distinct(), stored, occ)
 
 
 # -- snapshot -------------------------------------------------------------------------------
@@ -580,34 +669,48 @@ def _joined(c):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",", "-").alias(c)
 
 
+#: Chunks so short that the view's pages and badges have several.
+CHUNKED = replace(DEFAULT, chunk_links=64)
+
+
 def _snapshot(spark, sf):
     fact, dicts = snapshot.encoded(*_occ(spark, sf))
     return written(fact, "fact"), dicts
 
 
+def _sql_chunks(key: str, where: str = "true") -> str:
+    return f"(SELECT *, (row_number() OVER (PARTITION BY {key} ORDER BY host, path, pos) - 1) // 64 AS chunk, count(*) OVER (PARTITION BY {key}) AS total FROM fact WHERE {where})"
+
+
 _AGG = "coalesce(string_agg(coalesce({c}::VARCHAR, '-'), ',' ORDER BY f.host, f.path, f.pos), '')"
 _FORWARD = {"links": "dst_idx", "link_buttons": "button_idx", "link_button_alts": "alt_idx", "link_button_titles": "title_idx", "link_button_filenames": "filename_idx"}
 
 
-@query("links_fwd", f"WITH {_HOPS} SELECT pd.idx AS page, " + ", ".join(f"CASE WHEN count(f.pos) = 0 THEN '' ELSE {_AGG.format(c='f.' + c)} END AS {n}" for n, c in _FORWARD.items()) + " FROM pd LEFT JOIN fact f ON f.src_idx = pd.idx GROUP BY pd.idx")
+@query("links_fwd", f"WITH {_HOPS} SELECT pd.idx AS page, coalesce(f.chunk, 0) AS chunk, coalesce(any_value(f.total), 0) AS total, " + ", ".join(f"CASE WHEN count(f.pos) = 0 THEN '' ELSE {_AGG.format(c='f.' + c)} END AS {n}" for n, c in _FORWARD.items()) + f" FROM pd LEFT JOIN {_sql_chunks('src_idx')} f ON f.src_idx = pd.idx GROUP BY pd.idx, f.chunk")
 def q_links_fwd(spark, sf):
     fact, dicts = _snapshot(spark, sf)
-    return snapshot.forward_links(fact, dicts["pages"]).select("page", *(_joined(c) for c in _FORWARD))
+    return snapshot.forward_links(fact, dicts["pages"], CHUNKED).select("page", "chunk", "total", *(_joined(c) for c in _FORWARD))
 
 
-@query("links_back", f"WITH {_HOPS} SELECT pd.idx AS page, CASE WHEN count(f.pos) = 0 THEN '' ELSE {_AGG.format(c='f.src_idx')} END AS backlinks, CASE WHEN count(f.pos) = 0 THEN '' ELSE {_AGG.format(c='f.button_idx')} END AS backlink_buttons FROM pd LEFT JOIN fact f ON f.dst_idx = pd.idx GROUP BY pd.idx")
+@query("links_back", f"WITH {_HOPS} SELECT pd.idx AS page, coalesce(f.chunk, 0) AS chunk, coalesce(any_value(f.total), 0) AS total, CASE WHEN count(f.pos) = 0 THEN '' ELSE {_AGG.format(c='f.src_idx')} END AS backlinks, CASE WHEN count(f.pos) = 0 THEN '' ELSE {_AGG.format(c='f.button_idx')} END AS backlink_buttons FROM pd LEFT JOIN {_sql_chunks('dst_idx', 'dst_idx IS NOT NULL')} f ON f.dst_idx = pd.idx GROUP BY pd.idx, f.chunk")
 def q_links_back(spark, sf):
     fact, dicts = _snapshot(spark, sf)
-    return snapshot.back_links(fact, dicts["pages"]).select("page", _joined("backlinks"), _joined("backlink_buttons"))
+    return snapshot.back_links(fact, dicts["pages"], CHUNKED).select("page", "chunk", "total", _joined("backlinks"), _joined("backlink_buttons"))
 
 
 _NAMES = "array_to_string(flatten(list(list_filter([alt_idx, title_idx, filename_idx], lambda x: x IS NOT NULL) ORDER BY f.host, f.path, f.pos)), ',')"
 
 
-@query("button_columns", f"WITH {_HOPS} SELECT f.button_idx AS button, coalesce(string_agg(f.dst_idx::VARCHAR, ',' ORDER BY f.host, f.path, f.pos), '') AS button_links, {_AGG.format(c='f.src_idx')} AS button_backlinks, {_NAMES} AS button_names FROM fact f GROUP BY f.button_idx")
+@query("button_columns", f"WITH {_HOPS} SELECT f.button_idx AS button, f.chunk, any_value(f.total) AS total, coalesce(string_agg(f.dst_idx::VARCHAR, ',' ORDER BY f.host, f.path, f.pos), '') AS button_links, {_AGG.format(c='f.src_idx')} AS button_backlinks, {_NAMES} AS button_names FROM {_sql_chunks('button_idx')} f GROUP BY f.button_idx, f.chunk")
 def q_button_columns(spark, sf):
     fact, dicts = _snapshot(spark, sf)
-    return snapshot.button_columns(fact, dicts["buttons"]).select("button", _joined("button_links"), _joined("button_backlinks"), _joined("button_names"))
+    return snapshot.button_columns(fact, dicts["buttons"], CHUNKED).select("button", "chunk", "total", _joined("button_links"), _joined("button_backlinks"), _joined("button_names"))
+
+
+@query("button_file_exts", f"WITH {_HOPS} SELECT bd.idx, arg_max(file_ext, struct_pack(a := last_visited, b := file_ext)) AS file_ext FROM occ JOIN bd USING (hash) GROUP BY bd.idx")
+def q_button_file_exts(spark, sf):
+    occ = _occ(spark, sf)[0]
+    return snapshot.button_file_exts(snapshot.button_dictionary(occ), occ).select("idx", "file_ext")
 
 
 @query("stats", "SELECT count(DISTINCT hash) AS buttons FROM {button_occ}")
@@ -661,7 +764,21 @@ def q_limit_stream(spark, sf):
 
 @query("link_report", "SELECT src, count(*) AS links, count(DISTINCT dst) AS targets, round(sum(weight), 6) AS weight FROM {edges} GROUP BY src")
 def q_link_report(spark, sf):
-    return spark_view(spark, sf, "edges").groupBy("src").agg(F.count("*").alias("links"), F.count_distinct("dst").alias("targets"), F.round(F.sum("weight"), 6).alias("weight"))
+    """What each node links to, from the pairs that ranks are made of."""
+    pairs = rank.collapsed(spark_view(spark, sf, "edges"))
+    return pairs.groupBy("src").agg(F.sum("n").alias("links"), F.count("*").alias("targets"), F.round(F.sum("w"), 6).alias("weight"))
+
+
+_IMAGE_ANSWERS = """SELECT event_id, CAST(CASE event_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 302 ELSE 200 END AS INT) AS status,
+  CASE event_id % 5 WHEN 0 THEN 'image/gif' WHEN 1 THEN 'text/html' WHEN 2 THEN 'image/x-anything' WHEN 3 THEN 'application/octet-stream' END AS kind,
+  CASE WHEN event_id % 60 = 2 AND event_id < 300 THEN repeat('x', 10485761) ELSE 'GIF89a' END AS body FROM {events}"""
+
+
+@query("image_kind", f"SELECT event_id, CASE WHEN status NOT BETWEEN 200 AND 299 THEN 'http_error' WHEN kind IS NULL THEN 'no_type' WHEN NOT starts_with(kind, 'image/') THEN 'not_image' WHEN strlen(body) > 10485760 THEN 'too_big' ELSE 'ok' END AS kind FROM ({_IMAGE_ANSWERS.replace('{events}', 'events')})")
+def q_image_kind(spark, sf):
+    rows = spark.sql(_IMAGE_ANSWERS, events=table(spark, sf, "events"))
+    headers = F.map_filter(F.create_map(F.lit("content-type"), F.col("kind")), lambda k, v: v.isNotNull())
+    return rows.select("event_id", image_candidates.image_kind(F.col("status"), headers, F.col("body").cast("binary")).alias("kind"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

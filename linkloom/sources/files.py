@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from linkloom.functions.urls import page_id_parse, page_id_text
 from linkloom.schemas import PAGES
+from linkloom.storage import remove
 
 
 def _texted(kind: T.DataType) -> T.DataType:
@@ -29,7 +30,13 @@ def parsed_stamp(text: Column) -> Column:
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """A state file ``{"pages": {id: page}}`` as page rows; missing fields take their defaults."""
+    """Page state: a Parquet folder as it is, or a state file ``{"pages": {id: page}}``, whose missing fields take their defaults.
+
+    The single file is one value and so one task's work: a form to import from and to export to.
+    State of any size lives in a folder.
+    """
+    if not path.endswith(".json"):
+        return spark.read.schema(PAGES).parquet(path)
     stored = _texted(T.StructType([f for f in PAGES.fields if f.name != "page_id"]))
     raw = spark.read.text(path, wholetext=True)
     state = raw.select(F.from_json("value", T.StructType([T.StructField("pages", T.MapType(T.StringType(), stored))])).alias("s"))
@@ -72,7 +79,10 @@ def page_record(row) -> dict:
 
 
 def write_state(pages: DataFrame, path: str) -> None:
-    """K1: the state file, pages in id order, written beside and renamed; rows stream to the driver one partition at a time."""
+    """K1: page state, written beside and renamed: a Parquet folder in id order, or a ``.json`` file, to which rows stream through the driver a partition at a time."""
+    if not path.endswith(".json"):
+        replace_folder(pages.repartitionByRange("page_id").sortWithinPartitions("page_id"), path)
+        return
     ordered = pages.withColumn("id", page_id_text(F.col("page_id.host"), F.col("page_id.path"))).orderBy("page_id")
     with _replacing(path) as out:
         out.write('{\n  "pages": {')
@@ -81,6 +91,21 @@ def write_state(pages: DataFrame, path: str) -> None:
         out.write("\n  }\n}\n")
 
 
+def replace_folder(df: DataFrame, path: str) -> None:
+    """``df`` as a Parquet folder that takes its place only once it is whole; readers of the old one must be done."""
+    spark = df.sparkSession
+    fresh, old = f"{path}-new", f"{path}-old"
+    df.write.mode("overwrite").parquet(fresh)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at(path)):
+        remove(spark, [old])
+        fs.rename(at(path), at(old))
+    if not fs.rename(at(fresh), at(path)):
+        raise OSError(f"{fresh} could not become {path}")
+    remove(spark, [old])
+
+
 class _replacing:
     """A file that takes its place only once it is whole."""
 
@@ -147,32 +172,115 @@ def _head(major: int, n: int) -> bytes:
     raise ValueError("too large")
 
 
-def assemble(tables: dict[str, DataFrame]) -> dict[str, list]:
-    """K2: the export's parallel arrays from the snapshot tables, in index order."""
-    get = lambda df, order, *cols: [tuple(r[c] for c in cols) for r in df.select(order, *cols).orderBy(order).toLocalIterator()]
-    id_text = tables["pages"].select("idx", page_id_text(F.col("id.host"), F.col("id.path")).alias("id"))
-    out: dict[str, list] = {
-        "pages": [x for (x,) in get(id_text, "idx", "id")],
-        "buttons": [x for (x,) in get(tables["buttons"], "idx", "hash")],
-        "texts": [x for (x,) in get(tables["texts"], "idx", "text")],
-        "button_file_exts": [x for (x,) in get(tables["button_file_exts"], "idx", "file_ext")],
-    }
-    for name, key in (("page_links", "page"), ("page_backlinks", "page"), ("button_columns", "button")):
-        cols = [c for c in tables[name].columns if c not in (key, "hash")]
-        rows = get(tables[name], key, *cols)
-        for i, c in enumerate(cols):
-            out[c] = [list(r[i]) for r in rows]
-    return out
+#: The export's columns in order: (name, table, order, column, length of a whole inner array or None).
+COLUMNS = (
+    ("pages", "pages", "idx", "id", None), ("buttons", "buttons", "idx", "hash", None), ("texts", "texts", "idx", "text", None), ("button_file_exts", "button_file_exts", "idx", "file_ext", None),
+    ("links", "page_links", "page", "links", "total"), ("link_buttons", "page_links", "page", "link_buttons", "total"), ("link_button_alts", "page_links", "page", "link_button_alts", "total"),
+    ("link_button_titles", "page_links", "page", "link_button_titles", "total"), ("link_button_filenames", "page_links", "page", "link_button_filenames", "total"),
+    ("backlinks", "page_backlinks", "page", "backlinks", "total"), ("backlink_buttons", "page_backlinks", "page", "backlink_buttons", "total"),
+    ("button_links", "button_columns", "button", "button_links", "n_links"), ("button_backlinks", "button_columns", "button", "button_backlinks", "total"), ("button_names", "button_columns", "button", "button_names", "n_names"),
+)
+
+
+class _Json:
+    """The export as text, value by value."""
+
+    def __init__(self, out):
+        self.out, self.first = out, [True]
+        out.write("{")
+
+    def _comma(self):
+        if not self.first[-1]:
+            self.out.write(", ")
+        self.first[-1] = False
+
+    def begin(self, name, n):
+        self._comma()
+        self.out.write(f"{json.dumps(name)}: [")
+        self.first.append(True)
+
+    def begin_inner(self, n):
+        self._comma()
+        self.out.write("[")
+        self.first.append(True)
+
+    def value(self, v):
+        self._comma()
+        self.out.write(json.dumps(v, ensure_ascii=False))
+
+    def end(self):
+        self.first.pop()
+        self.out.write("]")
+
+    def close(self):
+        self.out.write("}")
+
+
+class _Cbor:
+    """The same in definite-length encoding: every length is known before its values come."""
+
+    def __init__(self, out):
+        self.out = out
+        out.write(_head(5, len(COLUMNS)))
+
+    def begin(self, name, n):
+        self.out.write(cbor(name) + _head(4, n))
+
+    def begin_inner(self, n):
+        self.out.write(_head(4, n))
+
+    def value(self, v):
+        self.out.write(cbor(v))
+
+    def end(self):
+        pass
+
+    def close(self):
+        pass
+
+
+def export(tables: dict[str, DataFrame], writers) -> None:
+    """K2: the snapshot's parallel arrays to each writer; rows stream through the driver a partition at a time.
+
+    No column is ever held whole; a page's or badge's arrays come chunk by chunk.
+    """
+    for name, source, key, column, length in COLUMNS:
+        df = tables[source]
+        if column == "id":
+            df = df.select("idx", page_id_text(F.col("id.host"), F.col("id.path")).alias("id"))
+        n = df.select(key).distinct().count()
+        for w in writers:
+            w.begin(name, n)
+        if length is None:
+            for row in df.select(key, column).orderBy(key).toLocalIterator():
+                for w in writers:
+                    w.value(row[column])
+        else:
+            last = None
+            for row in df.select(key, "chunk", length, column).orderBy(key, "chunk").toLocalIterator():
+                if row[key] != last:
+                    for w in writers:
+                        if last is not None:
+                            w.end()
+                        w.begin_inner(row[length])
+                    last = row[key]
+                for v in row[column]:
+                    for w in writers:
+                        w.value(v)
+            if last is not None:
+                for w in writers:
+                    w.end()
+        for w in writers:
+            w.end()
+    for w in writers:
+        w.close()
 
 
 def write_snapshot(tables: dict[str, DataFrame], folder: str, stats: dict) -> None:
     """K2, K3: the export as JSON and CBOR, each replaced whole, and the statistics."""
-    data = assemble(tables)
-    with _replacing(f"{folder}/index.json") as out:
-        json.dump(data, out, ensure_ascii=False)
-    with _replacing(f"{folder}/index.cbor", "wb") as out:
-        out.write(cbor(data))
-    with open(f"{folder}/stats.json", "w", encoding="utf-8") as out:
+    with _replacing(f"{folder}/index.json") as text, _replacing(f"{folder}/index.cbor", "wb") as binary:
+        export(tables, [_Json(text), _Cbor(binary)])
+    with _replacing(f"{folder}/stats.json") as out:
         json.dump(stats, out)
 
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from linkloom.functions.hosts import rate_key
 
+#: Rows that a key passes on together.
+SLICE = 10_000
 RESULT = "rate_key string, event_id long, t_ms long, admitted boolean"
 
 
@@ -19,14 +23,17 @@ def keyed(requests: DataFrame) -> DataFrame:
     return requests.withColumn("__k", rate_key(F.col("host"))).select("event_id", "t_ms", F.col("__k.rate_key").alias("rate_key"), F.col("__k.delay_s").cast("long").alias("delay_s"))
 
 
-def admit(times, delays, next_ms: int) -> tuple[list[bool], int]:
-    """A request passes if its host's time has come, and moves it on; a refused one doesn't."""
-    out = []
-    for t, d in zip(times, delays, strict=True):
-        ok = t >= next_ms
-        if ok:
-            next_ms = t + 1000 * d
-        out.append(bool(ok))
+def admit(times: np.ndarray, delays: np.ndarray, next_ms: int) -> tuple[np.ndarray, int]:
+    """Which of a host's requests, in order of time, pass: one does if the host's time has come, and moves it on.
+
+    Refused ones are jumped over: the next to pass is found by bisection.
+    """
+    out = np.zeros(len(times), bool)
+    at = int(np.searchsorted(times, next_ms))
+    while at < len(times):
+        out[at] = True
+        next_ms = int(times[at]) + 1000 * int(delays[at])
+        at = max(at + 1, int(np.searchsorted(times, next_ms)))
     return out, next_ms
 
 
@@ -37,30 +44,41 @@ def batch_limited(requests: DataFrame) -> DataFrame:
     hot key costs time but no memory.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, next_ms = None, 0
-        for frame in frames:
-            passed = []
-            for k, t, d in zip(frame.rate_key, frame.t_ms, frame.delay_s, strict=True):
-                if k != key:
-                    key, next_ms = k, -(2**62)
-                ok = t >= next_ms
-                if ok:
-                    next_ms = t + 1000 * d
-                passed.append(ok)
-            yield frame[["rate_key", "event_id", "t_ms"]].assign(admitted=pd.Series(passed, dtype=bool))
-
-    return keyed(requests).repartition("rate_key").sortWithinPartitions("rate_key", "t_ms", "event_id").mapInPandas(run, RESULT)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch["rate_key"].dictionary_encode(null_encoding="encode")
+            codes, names = keys.indices.to_numpy(zero_copy_only=False), keys.dictionary.to_pylist()
+            times, delays = batch["t_ms"].to_numpy(), batch["delay_s"].to_numpy()
+            passed = np.zeros(len(times), bool)
+            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if names[codes[a]] != key:
+                    key, next_ms = names[codes[a]], -(2**62)
+                passed[a:b], next_ms = admit(times[a:b], delays[a:b], next_ms)
+            yield pa.RecordBatch.from_arrays([batch["rate_key"], batch["event_id"], batch["t_ms"], pa.array(passed)], ["rate_key", "event_id", "t_ms", "admitted"])
+
+    return keyed(requests).repartition("rate_key").sortWithinPartitions("rate_key", "t_ms", "event_id").mapInArrow(run, RESULT)
 
 
 def stream_limited(requests: DataFrame) -> DataFrame:
-    """The same as a stateful stream: one value of state per key. Rows of a micro-batch are put in order first."""
+    """The same as a stateful stream: one value of state per key.
+
+    A micro-batch's requests of a key are put in order first; of each only its number, time and
+    delay are held while that is done, and the source's trigger limits bound how many there are.
+    """
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["t_ms", "event_id"])
+        parts = [(f.t_ms.to_numpy(), f.event_id.to_numpy(), f.delay_s.to_numpy()) for f in frames]
+        times, events, delays = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort((events, times))
         (next_ms,) = state.get if state.exists else (-(2**62),)
-        passed, next_ms = admit(rows.t_ms, rows.delay_s, next_ms)
+        passed, next_ms = admit(times[order], delays[order], next_ms)
         state.update((int(next_ms),))
-        yield rows[["rate_key", "event_id", "t_ms"]].assign(admitted=passed)
+        for at in range(0, len(order), SLICE):
+            some = order[at : at + SLICE]
+            yield pd.DataFrame({"rate_key": key[0], "event_id": events[some], "t_ms": times[some], "admitted": passed[at : at + SLICE]})
 
     return keyed(requests).groupBy("rate_key").applyInPandasWithState(run, RESULT, "next_ms long", "append", GroupStateTimeout.NoTimeout)

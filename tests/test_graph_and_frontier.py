@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from linkloom.config import CrawlConfig
 from linkloom.operators import edges, frontier, rank, state
 from linkloom.schemas import PAGES
+from linkloom.storage import written
 
 NOW = datetime(2024, 1, 1)
 
@@ -30,6 +31,20 @@ def test_rank_matches_plain_python(spark, seed):
     assert got == pytest.approx(by_hand(links, 7))
 
 
+def test_hubs_lie_apart(spark):
+    """Ranks are the same however few links make a hub; hubs' links are in no bucket."""
+    rng = random.Random(7)
+    links = [(f"n{rng.randrange(3)}", f"n{rng.randrange(40)}", 1.0) for _ in range(150)] + [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}", 0.1) for _ in range(60)]
+    df = spark.createDataFrame(links, "src string, dst string, weight double")
+    want = by_hand(links, 6)
+    for most in (1, 10, 10**6):
+        config = CrawlConfig(hub_links=most)
+        assert {r.id: r.score for r in rank.pagerank(df, 6, config=config).collect()} == pytest.approx(want)
+    shares = rank.prepared(written(rank.collapsed(df), "test"), CrawlConfig(hub_links=10))
+    assert shares.any and shares.few and {r.id for r in shares.hubs.collect()} == {"n0", "n1", "n2"}
+    assert shares.plain.where("src in ('n0', 'n1', 'n2')").count() == 0 < shares.crowded.count()
+
+
 def test_thresholds(spark):
     """One internal link gives 0.15255, crawlable; three give 0.15085, not."""
     one = [("a", "b", 0.02)]

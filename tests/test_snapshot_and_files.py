@@ -3,23 +3,30 @@
 import json
 from datetime import datetime
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from linkloom.config import CrawlConfig
 from linkloom.operators import maintenance, snapshot, state
 from linkloom.plans.fixtures import spark_view
 from linkloom.schemas import PAGES
 from linkloom.sources import files
 from linkloom.sources.fetch import ReplayFetcher
-from linkloom.streaming import crawl
+from linkloom.streaming import crawl, limiter
 
 SF = "/root/testdata/sf0.001"
 NOW = datetime(2024, 1, 1, 10, 30)
 
 
-def test_index_invariants(spark):
+@pytest.mark.parametrize("chunk", [7, 65536])
+def test_index_invariants(spark, tmp_path, chunk):
     occ, hops = spark_view(spark, SF, "button_occ"), spark_view(spark, SF, "redirects")
-    tables = snapshot.snapshot(occ, hops)
-    data = files.assemble(tables)
+    tables = snapshot.snapshot(occ, hops, CrawlConfig(chunk_links=chunk))
+    assert all(len(r.links) <= chunk for r in tables["page_links"].collect())
+    files.write_snapshot(tables, str(tmp_path), {})
+    data = json.loads((tmp_path / "index.json").read_text())
+    assert decode((tmp_path / "index.cbor").read_bytes())[0] == data
     total = occ.count()
     for name in ("pages", "buttons", "texts"):
         assert len(set(data[name])) == len(data[name])
@@ -136,3 +143,29 @@ def test_positions_of_dense_index(spark):
     df = spark.range(5000).select(F.format_string("k%05d", F.col("id") % 3000).alias("k"))
     rows = [tuple(r) for r in snapshot.dense_index(df, "k").orderBy("idx").collect()]
     assert rows == [(f"k{i:05}", i) for i in range(3000)]
+
+
+def test_state_folder(spark, tmp_path):
+    """State as a Parquet folder: written twice, read back, ordered by id."""
+    rows = [(f"http://h{i}/", (f"h{i}", ""), NOW, i, [], [], None) for i in range(50)]
+    pages, path = spark.createDataFrame(rows, PAGES), str(tmp_path / "state")
+    files.write_state(pages.limit(3), path)
+    files.write_state(pages, path)
+    back = files.read_state(spark, path)
+    assert not state.changed(pages, back.select(pages.columns))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["state"]
+
+
+def test_limiter_jumps():
+    """Bisection against the fold request by request."""
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        times = np.sort(rng.integers(0, 20_000, rng.integers(0, 60)))
+        delays = np.full(len(times), rng.integers(1, 11))
+        start = next_ms = int(rng.integers(-5000, 10_000))
+        want = []
+        for t, d in zip(times, delays):
+            want.append(t >= next_ms)
+            next_ms = t + 1000 * d if t >= next_ms else next_ms
+        got, after = limiter.admit(times, delays, start)
+        assert got.tolist() == want and after == next_ms
