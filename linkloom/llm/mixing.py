@@ -14,8 +14,8 @@ from linkloom.storage import broadcast_if_small, written
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Plans of up to so many documents, about 60 bytes each, are broadcast to carried columns.
-BROADCAST_ROWS = 1_000_000
+#: Plans of up to so many documents, about 100 bytes each, are broadcast to carried columns.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -127,7 +127,7 @@ def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_i
         ),
         "mix",
     )
-    sources = source_targets(sized.groupBy("source_key").agg(F.sum("size").alias("source_size")), plan)
+    sources = written(source_targets(sized.groupBy("source_key").agg(F.sum("size").alias("source_size")), plan), "mix-sources")
     narrow = sized.select("doc_id", "source_key", "size", "__bucket", "__key", "__row")
     placed = running_total(narrow, ["source_key"], "__bucket", ["__key", "doc_id", "size", "__row"], "size", "__start").join(sources, "source_key")
 
@@ -139,12 +139,15 @@ def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_i
         share = F.try_divide(F.col("source_size") * i + F.col("__start"), F.col("target"))
         return F.when(reading(i) > 0, training_time(share, F.col("rank"), plan))
 
-    taken = sum((reading(i) for i in range(1, plan.most_repeats)), reading(0))
     every = F.array(*(F.struct(time(i).alias("time"), reading(i).alias("words")) for i in range(plan.most_repeats)))
-    mixed = placed.select("__row", "doc_id", "size", "source_size", "target", taken.alias("taken"), F.filter(every, lambda r: r["words"] > 0).alias("readings"))
-    mixed = mixed.withColumns({"position": F.get("readings", 0)["time"], "repeat_position": F.get("readings", 1)["time"]})
-    if carried:
-        whole = sized.select("__row", *(F.col(f"__carried_{c}").alias(c) for c in carried))
-        mixed = whole.join(broadcast_if_small(written(mixed, "mix-plan"), BROADCAST_ROWS), "__row")
-    mixed = mixed.drop("__row")
+    mixed = placed.select("__row", "doc_id", "size", "source_size", "target", F.filter(every, lambda r: r["words"] > 0).alias("readings"))
+    if carried:  # only a row's readings meet its carried columns; what is its source's comes from the sources
+        whole = sized.select("__row", "doc_id", "size", "source_key", *(F.col(f"__carried_{c}").alias(f"__carried_{c}") for c in carried))
+        read = whole.join(broadcast_if_small(written(mixed.select("__row", "readings"), "mix-plan"), BROADCAST_ROWS), "__row")
+        mixed = read.join(broadcast_if_small(sources, BROADCAST_ROWS), "source_key")
+    taken = F.aggregate("readings", F.lit(0).cast("long"), lambda acc, r: acc + r["words"])
+    mixed = mixed.select(
+        "doc_id", "size", "source_size", "target", taken.alias("taken"), "readings", F.get("readings", 0)["time"].alias("position"), F.get("readings", 1)["time"].alias("repeat_position"),
+        *(F.col(f"__carried_{c}").alias(c) for c in carried),
+    )
     return mixed if not ordered else mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
