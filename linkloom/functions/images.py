@@ -120,7 +120,7 @@ def badge_sized(body: Column, image_format: Column, config: CrawlConfig = DEFAUL
     header are compared natively; only JPEG, WebP and AVIF headers are walked in Python."""
     w, h = config.badge_width, config.badge_height
     at = lambda start, n: F.hex(F.substring(body, start, n))
-    gif, png, bmp = struct.pack("<HH", w, h).hex().upper(), struct.pack(">II", w, h).hex().upper(), struct.pack("<ii", w, h).hex().upper()
+    gif, png, bmp = struct.pack("<HH", w, h).hex().upper(), struct.pack(">II", w, h).hex().upper(), [struct.pack("<ii", w, up).hex().upper() for up in (h, -h)]  # from the top down, heights are negative
 
     @F.arrow_udf("boolean")
     def walked(bodies: pa.Array, formats: pa.Array) -> pa.Array:
@@ -131,7 +131,7 @@ def badge_sized(body: Column, image_format: Column, config: CrawlConfig = DEFAUL
     return (
         F.when(image_format == "gif", F.when(long_enough(10), at(7, 4) == gif))
         .when(image_format == "png", F.when(long_enough(24), at(17, 8) == png))
-        .when((image_format == "bmp") & long_enough(26) & (at(15, 4) != "0C000000"), at(19, 8) == bmp)
+        .when((image_format == "bmp") & long_enough(26) & (at(15, 4) != "0C000000"), at(19, 8).isin(bmp))
         .otherwise(walked(body, image_format))
     )
 

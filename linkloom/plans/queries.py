@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from linkloom.config import DEFAULT, DEFAULT_DELAY_S, RATE_RULES
 from linkloom.functions import hosts, images, urls
-from linkloom.functions.url_join import redirect_target
+from linkloom.functions.url_join import original_images, redirect_target
 from linkloom.operators import edges as E
 from linkloom.operators import frontier, html_links, image_candidates, maintenance, queue, rank, responses, snapshot, state
 from linkloom.plans.fixtures import duck_view, spark_view
@@ -237,6 +237,33 @@ def q_page_kind(spark, sf):
     return rows.select("event_id", responses.page_kind(F.col("url"), F.col("status"), headers, F.col("body").cast("binary"), target).alias("kind"))
 
 
+_OPTIMISED = """SELECT event_id, concat('https://h.example/', CASE event_id % 4 WHEN 0 THEN concat('_next/image?url=%2Fimg%2F', CAST(event_id AS STRING), '.png&w=96') WHEN 1 THEN concat('_next/image?w=96&url=http%3A%2F%2Fo.example%2F', CAST(event_id AS STRING), '.gif')
+    WHEN 2 THEN concat('img/', CAST(event_id AS STRING), '.gif?url=x') ELSE '_next/image?w=1' END) AS url,
+  concat(CASE event_id % 4 WHEN 1 THEN 'http://o.example/' ELSE 'https://h.example/' END, CASE event_id % 4 WHEN 0 THEN concat('img/', CAST(event_id AS STRING), '.png') WHEN 1 THEN concat(CAST(event_id AS STRING), '.gif')
+    WHEN 2 THEN concat('img/', CAST(event_id AS STRING), '.gif?url=x') ELSE '_next/image?w=1' END) AS original FROM {events}"""
+
+
+@query("original_image", f"SELECT event_id, original FROM ({_OPTIMISED.replace('{events}', 'events')})")
+def q_original_image(spark, sf):
+    return spark.sql(_OPTIMISED, events=table(spark, sf, "events")).select("event_id", original_images(F.col("url")).alias("original"))
+
+
+#: Headers of images as hexadecimal digits, with their formats and whether they are badges.
+_HEADERS = """SELECT event_id, concat(CASE event_id % 9 WHEN 5 THEN 'FFD8FFE0000400FFFFC0001108001F0058030000' WHEN 0 THEN '47494638396158001F00' WHEN 1 THEN '47494638376158002000' WHEN 2 THEN '89504E470D0A1A0A0000000D49484452000000580000001F08020000'
+    WHEN 3 THEN '89504E470D0A1A0A0000000D494844520000001F0000005808020000' WHEN 4 THEN CASE WHEN event_id % 2 = 0 THEN '424D0000000000000000000000002800000058000000E1FFFFFF0000' ELSE '424D00000000000000000000000028000000580000001F0000000000' END
+    WHEN 6 THEN '52494646000000005745425056503858' WHEN 7 THEN '0000001C6674797061766966000000000000001469737065000000000000005800' ELSE '3C68746D6C3E' END,
+  CASE event_id % 9 WHEN 6 THEN '0A00000000000000570000' WHEN 7 THEN '00001F' ELSE '' END, CASE event_id % 9 WHEN 6 THEN '1E0000' ELSE '' END) AS digits,
+  CASE event_id % 9 WHEN 0 THEN 'gif' WHEN 1 THEN 'gif' WHEN 2 THEN 'png' WHEN 3 THEN 'png' WHEN 4 THEN 'bmp' WHEN 5 THEN 'jpeg' WHEN 6 THEN 'webp' WHEN 7 THEN 'avif' END AS format,
+  CASE WHEN event_id % 9 IN (0, 2, 4, 5, 6, 7) THEN true WHEN event_id % 9 IN (1, 3) THEN false END AS badge FROM {events}"""
+
+
+@query("image_headers", f"SELECT event_id, format, badge FROM ({_HEADERS.replace('{events}', 'events')})")
+def q_image_headers(spark, sf):
+    body = F.unhex("digits")
+    found = spark.sql(_HEADERS, events=table(spark, sf, "events")).select("event_id", body.alias("body"), images.sniffed_format(body).alias("format"))
+    return found.select("event_id", "format", images.badge_sized(F.col("body"), F.col("format")).alias("badge"))
+
+
 # -- extraction -----------------------------------------------------------------------------
 
 
@@ -408,6 +435,25 @@ def q_edges(spark, sf):
     return _flat(E.page_edges(crawled_pages(spark, sf)))
 
 
+#: Three hosts: one not followed, one of full weight, one whose redirects lead to no web page.
+_RULES = replace(DEFAULT, no_follow_hosts=("s1.example",), full_weight_hosts=("s2.example",))
+
+
+@query("edges_rules", f"WITH {_EDGE_SQL} SELECT src_host, src_path, kind, count(*) AS n, round(sum(CASE WHEN kind = 'internal' AND src_host = 's2.example' THEN 1.0::DOUBLE ELSE weight END), 6) AS weight FROM edges_ WHERE NOT (src_host = 's1.example') AND NOT (kind = 'redirect' AND src_host = 's3.example') GROUP BY ALL")
+def q_edges_rules(spark, sf):
+    pages = crawled_pages(spark, sf).withColumn("redirects_to", F.when(F.col("page_id.host") == "s3.example", F.lit("mailto:x@y")).otherwise(F.col("redirects_to")))
+    found = _flat(E.page_edges(pages, _RULES))
+    return found.groupBy("src_host", "src_path", "kind").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+@query("state_changed", "SELECT (SELECT count(*) FROM {page_state} WHERE failed = 3) > 0 AS later, false AS same")
+def q_state_changed(spark, sf):
+    """Whether a state differs from itself in another order, and from one with a failure more."""
+    pages = scored_pages(spark, sf).select("url", "page_id", "last_visited", "failed")
+    more = pages.withColumn("failed", F.when(F.col("failed") == 3, F.col("failed") + 1).otherwise(F.col("failed")))
+    return spark.createDataFrame([(state.changed(pages, more), state.changed(pages, pages.orderBy(F.desc("url"))))], "later boolean, same boolean")
+
+
 @query("unvisited", f"WITH {_EDGE_SQL} SELECT dst_host AS host, dst_path AS path, max(dst_url) AS url FROM edges_ e WHERE NOT EXISTS (SELECT 1 FROM pages_ p WHERE p.host = e.dst_host AND p.path = e.dst_path) GROUP BY ALL")
 def q_unvisited(spark, sf):
     pages = crawled_pages(spark, sf)
