@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import ann, chat, html_text, mixing, ngram_join, packing, quality, secrets, token_counts, toxicity
+from linkloom.llm import ann, chat, html_text, mixing, ngram_join, packing, quality, quality_sql, secrets, token_counts, toxicity
 from linkloom.session import table
 
 TOKEN_LIMIT = 512
@@ -42,7 +42,7 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(table(spark, sf_dir, "documents")).drop("distance")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,4 +193,4 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN told USING (rid)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_nearest": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_mix_sources": OP4_SQL, "op8_ngram_join": OP8_SQL, "op9_secrets": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_nearest": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_mix_sources": OP4_SQL, "op7_quality": quality_sql.sql(), "op8_ngram_join": OP8_SQL, "op9_secrets": OP9_SQL}
