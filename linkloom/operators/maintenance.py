@@ -7,8 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.config import DEFAULT, CrawlConfig
 from linkloom.functions.images import Normalizer, content_hash, identity_normalizer, re_encoded
-from linkloom.storage import remove
+from linkloom.storage import remove, written
 
 
 def linked_filenames(occurrences: DataFrame) -> DataFrame:
@@ -30,9 +31,12 @@ def delete_files(spark: SparkSession, root: str, filenames: Iterable[str], apply
     return n
 
 
-def pages_of_hash(occurrences: DataFrame) -> DataFrame:
-    """A12."""
-    return occurrences.groupBy("hash").agg(F.sort_array(F.collect_set(F.struct("host", "path"))).alias("pages"))
+def pages_of_hash(occurrences: DataFrame, config: CrawlConfig = DEFAULT) -> DataFrame:
+    """(hash, part, pages): the pages of each image, in parts of about ``chunk_links`` where there are more."""
+    pages = written(occurrences.select("hash", F.struct("host", "path").alias("page")).distinct(), "pages-of-hash")
+    parts = pages.groupBy("hash").agg(F.ceil(F.count("*") / config.chunk_links).alias("parts"))
+    dealt = pages.join(parts, "hash").withColumn("part", F.pmod(F.xxhash64("page"), F.col("parts")))
+    return dealt.groupBy("hash", "part").agg(F.sort_array(F.collect_list("page")).alias("pages"))
 
 
 def rekeyed(occurrences: DataFrame, mapping: DataFrame) -> DataFrame:

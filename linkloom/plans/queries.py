@@ -772,10 +772,10 @@ def q_gc(spark, sf):
     return maintenance.unlinked(spark_view(spark, sf, "blobs"), _occ(spark, sf)[0])
 
 
-@query("pages_of_hash", "SELECT hash, string_agg(id, ' ' ORDER BY host, path) AS pages FROM (SELECT DISTINCT hash, host, path, host || '/' || path AS id FROM {button_occ}) GROUP BY hash")
+@query("pages_of_hash", "SELECT hash, 0 AS part, string_agg(id, ' ' ORDER BY host, path) AS pages FROM (SELECT DISTINCT hash, host, path, host || '/' || path AS id FROM {button_occ}) GROUP BY hash")
 def q_pages_of_hash(spark, sf):
     found = maintenance.pages_of_hash(_occ(spark, sf)[0])
-    return found.select("hash", F.array_join(F.transform("pages", lambda p: F.concat_ws("/", p["host"], p["path"])), " ").alias("pages"))
+    return found.select("hash", "part", F.array_join(F.transform("pages", lambda p: F.concat_ws("/", p["host"], p["path"])), " ").alias("pages"))
 
 
 @query("rekey_hashes", "SELECT CASE WHEN hash < '8' THEN 'new' || substr(hash, 1, 29) ELSE hash END AS hash, CASE WHEN hash < '8' THEN 'webp' ELSE file_ext END AS file_ext, count(*) AS n FROM {button_occ} GROUP BY ALL")

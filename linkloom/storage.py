@@ -114,9 +114,16 @@ def discard(*tables: DataFrame) -> None:
         remove(df.sparkSession, [df._linkloom_path])
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df``, marked for broadcast if it has no more than ``most_rows`` rows; else left to a shuffled join.
+#: What a broadcast may weigh, as rows are laid out in memory.
+BROADCAST_BYTES = 96 << 20
 
-    ``df`` should be a stored table, as it is counted here.
+
+def broadcast_if_small(df: DataFrame, most_rows: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, marked for broadcast if it has no more than ``most_rows`` rows and ``most_bytes`` bytes; else left to a shuffled join.
+
+    ``df`` should be a stored table, as its rows are counted and its texts and arrays measured here.
     """
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    long = [F.octet_length(F.col(f"`{c}`")) for c, kind in df.dtypes if kind in ("string", "binary")] + [F.size(F.col(f"`{c}`")) * 32 for c, kind in df.dtypes if kind.startswith("array")]
+    held = sum((F.greatest(F.coalesce(x, F.lit(0)), F.lit(0)) for x in long), F.lit(8 + 16 * len(df.columns)).cast("long"))
+    n, size = df.limit(most_rows + 1).agg(F.count("*"), F.sum(held)).first()
+    return F.broadcast(df) if n <= most_rows and (size or 0) <= most_bytes else df

@@ -13,6 +13,7 @@ from linkloom.plans.fixtures import spark_view
 from linkloom.schemas import PAGES
 from linkloom.sources import files
 from linkloom.sources.fetch import ReplayFetcher
+from linkloom.storage import broadcast_if_small
 from linkloom.streaming import crawl, limiter
 
 SF = "/root/testdata/sf0.001"
@@ -169,3 +170,17 @@ def test_limiter_jumps():
             next_ms = t + 1000 * d if t >= next_ms else next_ms
         got, after = limiter.admit(times, delays, start)
         assert got.tolist() == want and after == next_ms
+
+
+def test_pages_of_a_common_image(spark):
+    rows = [(f"h{i % 500}", "", "common") for i in range(1000)] + [("h1", "x", "rare")]
+    occ = spark.createDataFrame(rows, "host string, path string, hash string")
+    got = maintenance.pages_of_hash(occ, CrawlConfig(chunk_links=60)).collect()
+    assert sorted((p.host, p.path) for r in got if r.hash == "common" for p in r.pages) == sorted({(h, p) for h, p, x in rows if x == "common"})
+    assert len([r for r in got if r.hash == "common"]) == 9 and max(len(r.pages) for r in got) < 120
+
+
+def test_broadcast_counts_bytes(spark):
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString() or "UnresolvedHint" in df._jdf.queryExecution().logical().toString()
+    small = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
+    assert hinted(broadcast_if_small(small, 10)) and not hinted(broadcast_if_small(small, 9)) and not hinted(broadcast_if_small(small, 10, 9_000))
