@@ -182,8 +182,9 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS tex
 base AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hexes),
 weak AS (SELECT * FROM (SELECT * FROM parts UNION ALL SELECT * FROM endpoints) w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = w.rid AND b.start < w.stop AND w.start < b.stop)),
 near AS (SELECT * FROM weak w WHERE EXISTS (SELECT 1 FROM access a WHERE a.rid = w.rid AND w.stop >= a.start - 256 AND w.start <= a.stop + 256)),
-secret AS (SELECT * FROM assign UNION ALL SELECT * FROM hexes UNION ALL SELECT * FROM near WHERE rank = 3),
-more AS (SELECT * FROM near WHERE rank = 3 UNION ALL SELECT * FROM near w WHERE rank = 4 AND EXISTS (SELECT 1 FROM secret s WHERE s.rid = w.rid AND w.stop >= s.start - 256 AND w.start <= s.stop + 256)),
+secret AS (SELECT * FROM hexes UNION ALL SELECT * FROM near WHERE rank = 3),
+more AS (SELECT * FROM near WHERE rank = 3 UNION ALL SELECT * FROM near w WHERE rank = 4 AND EXISTS (SELECT 1 FROM secret s WHERE s.rid = w.rid AND w.stop >= s.start - 256 AND w.start <= s.stop + 256)
+         UNION SELECT * FROM weak w WHERE rank = 4 AND EXISTS (SELECT 1 FROM assign s WHERE s.rid = w.rid AND w.stop >= s.start - 256 AND w.start <= s.stop + 256)),
 every_ AS (SELECT * FROM base UNION ALL SELECT * FROM more),
 told AS (
   SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,

@@ -71,9 +71,8 @@ def _linked(scanned: DataFrame, plan: LinkPlan) -> DataFrame:
     An interval join: candidates and the base spans of a text, widened by the scope, are dealt to
     the stretches of text they touch, and a candidate meets only the spans of its own stretches,
     those that the gap to it lets in. A stretch holds a bounded number of spans, so hot texts are
-    split by it. A long mixed token counts where an
-    access identifier is near; an address where both an identifier and a secret (assigned,
-    hexadecimal or such a token) are.
+    split by it. A long mixed token counts where an access identifier is near; an address where
+    an assigned secret is, or both an identifier and another secret (hexadecimal or such a token).
     """
     both, width = scanned, plan.scope * 4
 
@@ -91,7 +90,9 @@ def _linked(scanned: DataFrame, plan: LinkPlan) -> DataFrame:
 
     identified = near(spans("__weak"), spans("__access"))
     tokens = identified.where(F.col("s.rank") == 3)
-    addresses = near(identified.where(F.col("s.rank") == 4), spans("__secret").unionByName(tokens))
+    secrets = spans("__secret")
+    addressed = near(spans("__weak").where(F.col("s.rank") == 4), secrets.where(F.col("s.rank") == 0))
+    addresses = near(identified.where(F.col("s.rank") == 4), secrets.where(F.col("s.rank") == 2).unionByName(tokens)).unionByName(addressed).distinct()
     return tokens.unionByName(addresses).groupBy("__row").agg(F.collect_list("s").alias("__more"))
 
 
@@ -115,17 +116,18 @@ def scan(docs: DataFrame, plan: LinkPlan = LinkPlan(), carried: Sequence[str] =
     first = with_spans(first, "__text", ACCESS, 1, "__access", plan.block)
     first = with_spans(first, "__text", HEX, 2, "__hex", plan.block)
     first = first.withColumn("__base", F.array_sort(F.concat("__assign", "__access", "__hex")))
-    # Weak candidates count only beside an access identifier, so other texts aren't searched for them.
-    first = first.withColumn("__near", F.when(F.size("__access") > 0, F.col("__text")).otherwise(F.lit("")))
+    # Weak candidates count only beside an access identifier or an assigned secret, so other texts aren't searched for them.
+    told, assigned = F.size("__access") > 0, F.size("__assign") > 0
+    first = first.withColumn("__near", F.when(told, F.col("__text")).otherwise(F.lit(""))).withColumn("__wide", F.when(told | assigned, F.col("__text")).otherwise(F.lit("")))
     first = with_spans(first, "__near", PART, 3, "__parts", plan.block)
-    first = with_spans(first, "__near", ENDPOINT, 4, "__endpoints", plan.block)
+    first = with_spans(first, "__wide", ENDPOINT, 4, "__endpoints", plan.block)
     second = first.select(
         "doc_id", *outer, "__row", "__access", "__base", F.concat("__assign", "__hex").alias("__secret"), F.concat("__parts", "__endpoints").alias("__weak"),
         *(F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]),
     )
     apart = F.filter("__weak", lambda w: ~F.exists("__base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     scanned = written(second.withColumn("__weak", apart), "secrets")
-    linkable = (F.size("__weak") > 0) & (F.size("__access") > 0)
+    linkable = F.size("__weak") > 0
     joined = scanned.where(linkable).join(_linked(scanned.where(linkable), plan), "__row", "left")
     every = F.array_sort(F.concat("__base", F.coalesce("__more", F.array().cast(SPAN))))
     shown = [*outer, "doc_id", *(f"n_{k}" for k in KINDS[:3]), "__base"]

@@ -59,6 +59,14 @@ def test_linking(spark):
     assert kinds == {1: ["access", "part", "endpoint"], 2: [""], 3: ["access"], 4: ["access"], 5: ["part", "access"], 6: ["access", "endpoint", "assign"]}
 
 
+def test_parts_that_complete_each_other(spark):
+    """An assigned secret and an address are a credential without an identifier too; a digest or a token and an address are not."""
+    url, far = "postgres://user@db.example:5432/app", " filler" * 60
+    rows = [(1, f"password: abcdefghijkl {url}"), (2, f"{url}{far} password: abcdefghijkl"), (3, f"commit 0123456789abcdef0123 {url}"), (4, f"{PART} {url}"), (5, f"{url} {'0123456789abcdef0123'} {KEY}")]
+    kinds = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",")] for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kinds == {1: ["assign", "endpoint"], 2: ["assign"], 3: ["hex"], 4: [""], 5: ["endpoint", "hex", "access"]}
+
+
 def test_long_candidates_link_on_either_side(spark):
     """What counts is the gap between two spans, however long they are."""
     token, url = "aB3dE" * 80, "https://store.example/" + "q/" * 600

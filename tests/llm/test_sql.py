@@ -36,7 +36,7 @@ def test_secrets_linked_as_in_sql(spark):
     texts = [None, "", KEY, f"{KEY}{KEY}", f"{token}={KEY}", f"ſecret={'x' * 20} KEY {KEY} toKen: {'y' * 20}", f"redis://h/{KEY} {token}", f"{token}== {KEY}", f"{token}=== {KEY}", f"é{token}é {KEY} HTTPS://x\x0by"]
     for gap in (0, 1, 255, 256, 257, 300, 1023, 1024, 1025):
         for a in (token, url, token * 12, url + "/q" * 900):
-            texts += [f"{a}{' ' * gap}{KEY}", f"{KEY}{' ' * gap}{a}", f"\U0001f600{KEY} {a}{' ' * gap}{assigned}", f"{digits}{' ' * gap}{a} {KEY}", f"{a}{'.' * gap} {KEY} {token} {a}"]
+            texts += [f"{a}{' ' * gap}{assigned}", f"{assigned}{'.' * gap} {a}", f"{a}{' ' * gap}{digits}", f"{a}{' ' * gap}{KEY}", f"{KEY}{' ' * gap}{a}", f"\U0001f600{KEY} {a}{' ' * gap}{assigned}", f"{digits}{' ' * gap}{a} {KEY}", f"{a}{'.' * gap} {KEY} {token} {a}"]
     texts += [" ".join([KEY, token, url, assigned, digits] * 60), (f"{token} " * 40 + KEY) * 5]
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
