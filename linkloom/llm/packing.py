@@ -191,7 +191,7 @@ def _drained(totals: DataFrame, shares: Mapping[str | None, float] | None, plan:
     """Rounds for target shares: the level v = token / share at which queues run dry, in turn.
 
     All tokens sent by level v are sum(min(queue, share * v)), piecewise linear with a knot per
-    source. The knots travel as one small array, a pair of numbers per source, beside each queue.
+    source. The knots are one value of the plan, a pair of numbers per source.
     """
     if shares is not None:
         key = lambda s: "1" if s is None else f"0{s}"
@@ -205,14 +205,13 @@ def _drained(totals: DataFrame, shares: Mapping[str | None, float] | None, plan:
         weights = F.array(*(F.lit(float(w)) for w in plan.weights))
         nth = (F.row_number().over(Window.orderBy("source_key")) - 1) % len(plan.weights) + 1
         rated = written(totals.withColumn("__share", F.element_at(weights, nth)), "pack-shares")
-    knots = rated.agg(F.collect_list(F.struct(F.col("__queue").cast("double").alias("queue"), F.col("__share").alias("share"))).alias("__per_level"))
-    rounds = rated.withColumn("__one", F.lit(1)).join(F.broadcast(knots.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    knots = rated.agg(F.sort_array(F.collect_list(F.struct(F.col("__queue").cast("double").alias("queue"), F.col("__share").alias("share"))))).scalar()
 
     def served(end: Column) -> Column:
         level = end / F.col("__share")
         return F.aggregate("__per_level", F.lit(0.0), lambda acc, k: acc + F.least(k["queue"], k["share"] * level)) / plan.window
 
-    return rounds, served
+    return rated.withColumn("__per_level", knots), served
 
 
 def pack(docs: DataFrame, vocabulary: str, plan: PackPlan = PackPlan(), shares: Mapping[str | None, float] | None = None, id_col: str = "doc_id", order: Column | None = None) -> DataFrame:
