@@ -245,13 +245,15 @@ class Scorer:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task, toxic and other rows that hold each term, as two dense arrays of fixed length."""
-    counts, rows = np.zeros((2, TABLE), np.int32), [0, 0]
+    """Per task, how many toxic and other rows hold each term, for the terms that occur."""
+    counts = np.zeros((2, TABLE), np.int64)
     for batch in batches:
         for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
             counts[toxic, np.fromiter((t for t in term_counts(text or "") if t != SIZE_TERM), np.int64)] += 1
-            rows[toxic] += 1
-    yield pa.RecordBatch.from_arrays([pa.array([rows[0]]), pa.array([rows[1]]), pa.array([counts[0].tobytes()]), pa.array([counts[1].tobytes()])], ["n_neg", "n_pos", "neg", "pos"])
+    found = np.flatnonzero(counts.any(axis=0))
+    for at in range(0, len(found), 100_000):
+        some = found[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some]), pa.array(counts[1, some])], ["term", "neg", "pos"])
 
 
 def _voted(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, index: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -273,8 +275,8 @@ def _voted(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, index: np.ndarra
 def fit(docs: DataFrame, labels: DataFrame, plan: ToxicPlan = ToxicPlan()) -> tuple[Scorer, LabelModel | None]:
     """Lexicons, label model and classifier from labelled rows outside the held-out fold.
 
-    Only the bounded sample is gathered: per task two count arrays of fixed length, then votes
-    and chosen terms of at most ``most_labelled`` rows, six bytes for each of at most ``features``
+    Only what the bounded sample holds is gathered: the summed counts of terms that enough rows
+    hold, of at most ``TABLE`` hashed ones, then votes and chosen terms of at most ``most_labelled`` rows, six bytes for each of at most ``features``
     terms of a row and stopped at ``most_bytes`` in all. Rows beyond that are not fitted on, in
     the order of their digests, so that the bound does not depend on how long texts are.
     """
@@ -283,12 +285,15 @@ def fit(docs: DataFrame, labels: DataFrame, plan: ToxicPlan = ToxicPlan()) -> tu
     usable = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), plan.folds) != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(plan.most_labelled)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    # Of rows that repeat an id one is taken, so the sample keeps its bound; few tasks keep the gathered arrays few.
-    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic", F.xxhash64("doc_id").alias("spread"), "doc_id").repartition(8, "doc_id").persist()
+    # Of rows that repeat an id one is taken, so the sample keeps its bound.
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic", F.xxhash64("doc_id").alias("spread"), "doc_id").repartition(32, "doc_id").persist()
     try:
-        parts = sample.mapInArrow(_counted, "n_neg long, n_pos long, neg binary, pos binary").collect()
-        neg, pos = (sum((np.frombuffer(p[c], np.int32) for p in parts), np.zeros(TABLE, np.int64)) for c in ("neg", "pos"))
-        n_neg, n_pos = sum(p.n_neg for p in parts), sum(p.n_pos for p in parts)
+        n_neg, n_pos = sample.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
+        summed = sample.mapInArrow(_counted, "term long, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+        # Terms of fewer rows are in no lexicon and no feature.
+        told = summed.where(F.col("neg") + F.col("pos") >= plan.least_support).toArrow()
+        neg, pos = np.zeros(TABLE, np.int64), np.zeros(TABLE, np.int64)
+        neg[told["term"].to_numpy()], pos[told["term"].to_numpy()] = told["neg"].to_numpy(), told["pos"].to_numpy()
         if not n_pos or not n_neg:
             rate = (n_pos + 0.5) / (n_pos + n_neg + 1)
             return Scorer(np.empty(0, np.int64), np.empty(0), float(np.log(rate / (1 - rate)))), None
