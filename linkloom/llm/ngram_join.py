@@ -253,7 +253,8 @@ def candidates(shared: DataFrame, payload: DataFrame, plan: JoinPlan) -> DataFra
     A group is a band's bucket, or a pair of blocks of one that is large. Only texts that share a
     band ever meet, and a text goes on to those groups alone where it has a partner that it has
     not met in an earlier band (``earlier`` holds those); what similar texts are linked to further
-    on plays no part.
+    on plays no part. ``rep`` is unique in ``payload`` and never null; empty tables give no rows;
+    other columns are ignored.
     """
     number = F.col("band").bitwiseAND((1 << BAND_BITS) - 1).cast("int")
     rows = shared.join(payload.select("rep", "signature", "bands"), "rep").withColumn("earlier", F.slice("bands", F.lit(1), number)).drop("bands")
