@@ -17,7 +17,7 @@ from linkloom.operators.image_candidates import scraped
 from linkloom.sources.blobs import BlobTable
 from linkloom.sources.fetch import Fetcher, download_pages
 from linkloom.sources.files import write_lines
-from linkloom.storage import written
+from linkloom.storage import remove, scratch, written
 
 
 @dataclass
@@ -81,8 +81,9 @@ TIMES = "rate_key string, next_ms long"
 class Crawler:
     """ST0, ST1, ST6: the running crawl. State lives in stored tables; the driver holds counters and times.
 
-    ``save`` is given the page state when it changed, ``export`` also once at the start; ``dump`` is
-    a folder for ranks and queue as lines of text. Every turn takes the first URL of each host
+    ``save`` is given the page state when it changed, ``export`` also once at the start; both are to
+    write it then and there, as tables that a turn leaves behind are deleted. ``dump`` is a folder
+    for ranks and queue as lines of text. Every turn takes the first URL of each host
     whose time has come, so hosts are never asked more often than the limiter lets them.
     """
 
@@ -99,18 +100,36 @@ class Crawler:
     saved: DataFrame = field(init=False)
     collected_at: datetime | None = field(init=False, default=None)
     seq: int = field(init=False, default=0)
+    stored: list[str] = field(init=False, default_factory=list)
 
     def start(self, pages: DataFrame, now: datetime) -> None:
         """ST0: ranks, cache and queue from the stored state; the index is exported, the state is not saved yet."""
         spark = pages.sparkSession
-        self.runtime = initial.initial(pages, self.config)
+        with scratch() as stored:
+            self.runtime = initial.initial(pages, self.config)
+        self.stored += stored
         self.saved = self.runtime.pages
         self.queue, self.next_times = spark.createDataFrame([], QUEUE), spark.createDataFrame([], TIMES)
         self.export(self.runtime.pages)
         self.refresh(now)
 
+    def _sweep(self, stored: list[str]) -> None:
+        """Deletes the stored tables that the state doesn't read any more."""
+        run = self.runtime
+        read = [self.queue, self.next_times, self.saved, run.pages, run.edges, run.ranks, run.cache, run.unvisited]
+        live = {part for df in read for f in df.inputFiles() for part in f.split("/")}
+        gone = [p for p in (*self.stored, *stored) if p.rpartition("/")[2] not in live]
+        self.stored = [p for p in (*self.stored, *stored) if p not in gone]
+        remove(run.pages.sparkSession, gone)
+
     def refresh(self, now: datetime) -> int:
         """M6: ranks brought up to date and the queue filled; the queue's length."""
+        with scratch() as stored:
+            n = self._refresh(now)
+        self._sweep(stored)
+        return n
+
+    def _refresh(self, now: datetime) -> int:
         held = self.queue.count()
         found = initial.next_urls(self.runtime, self.queue, held, now, self.config)
         self.queue = written(queue.enqueue(self.queue, found.select("url", (F.col("pos") + self.seq).alias("seq")), self.config), "queue")
@@ -124,6 +143,12 @@ class Crawler:
 
     def turn(self, now: datetime) -> int:
         """ST2, M4, M5: one URL of each free host fetched and brought into the state; how many there were."""
+        with scratch() as stored:
+            n = self._turn(now)
+        self._sweep(stored)
+        return n
+
+    def _turn(self, now: datetime) -> int:
         now_ms = int(now.replace(tzinfo=timezone.utc).timestamp() * 1000)
         free = queue.next_admissible(self.queue, self.next_times, now_ms).orderBy("seq").limit(self.config.concurrent_fetches)
         picked = written(free, "picked")

@@ -2,6 +2,7 @@
 
 import base64
 import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -88,6 +89,8 @@ def test_crawl_end_to_end(spark, answers, tmp_path):
     assert ("prlog.ru", "x") not in pages
     assert (tmp_path / "debug" / "queue").exists() and (tmp_path / "debug" / "pagerank").exists()
     assert crawler.queue.where("status = 'in_flight'").count() == 0
+    left = [p for p in crawler.stored if os.path.exists(p.removeprefix("file:"))]
+    assert len(left) == len(crawler.stored) <= 8  # tables of earlier turns are gone
 
 
 def test_last_response_of_a_page_counts(spark):
