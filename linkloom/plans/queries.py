@@ -19,7 +19,7 @@ from linkloom.plans.fixtures import duck_view, spark_view
 from linkloom.session import table
 from linkloom.sources import files
 from linkloom.storage import shared_dir, written
-from linkloom.streaming import limiter
+from linkloom.streaming import in_flight, limiter
 
 NOW = datetime(2001, 8, 1, 12)
 NOW_SQL = "TIMESTAMP '2001-08-01 12:00:00'"
@@ -795,17 +795,32 @@ def q_limit_batch(spark, sf):
     return limiter.batch_limited(spark_view(spark, sf, "rate_requests"))
 
 
+def _drained(spark, stream, schema: str):
+    """A stream run over all that is there, into a stored table."""
+    out = f"{shared_dir(spark)}/linkloom-drained-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(out)
+
+
+def _event_stream(spark, sf):
+    return spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+
+
 @query("ratelimit_stream", _LIMIT_SQL)
 def q_limit_stream(spark, sf):
     """The limiter as a stateful stream over the events table, drained into a stored table."""
-    out = f"{shared_dir(spark)}/linkloom-limited-{uuid.uuid4().hex}"
-    source = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    source = _event_stream(spark, sf)
     suffix = F.when(F.col("event_type") == "view", ".neocities.org").when(F.col("event_type") == "click", ".jcink.net").otherwise(".example.com")
     host = F.concat(F.lit("u"), F.col("user_id").cast("string"), suffix)
     requests = source.select("event_id", (F.col("event_id") * 500).alias("t_ms"), host.alias("host"))
-    stream = limiter.stream_limited(requests).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start()
-    stream.awaitTermination()
-    return spark.read.schema(limiter.RESULT).parquet(out)
+    return _drained(spark, limiter.stream_limited(requests), limiter.RESULT)
+
+
+@query("in_flight_stream", "SELECT host, '' AS path, event_id, NOT coalesce(lag(starts) OVER (PARTITION BY host ORDER BY event_id), false) AS admitted, starts FROM (SELECT event_id, concat('u', CAST(user_id AS VARCHAR), '.example') AS host, event_type IN ('view', 'click') AS starts FROM events) QUALIFY starts")
+def q_in_flight_stream(spark, sf):
+    """Views and clicks start a page's request, other events finish it; a start passes if the page is free."""
+    events = _event_stream(spark, sf).select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".example")).alias("host"), F.lit("").alias("path"), "event_id", F.col("event_type").isin("view", "click").alias("starts"))
+    return _drained(spark, in_flight.in_flight(events), in_flight.RESULT).withColumn("starts", F.lit(True))
 
 
 @query("link_report", "SELECT src, count(*) AS links, count(DISTINCT dst) AS targets, round(sum(weight), 6) AS weight FROM {edges} GROUP BY src")
