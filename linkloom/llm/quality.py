@@ -14,9 +14,8 @@ from linkloom.llm.mixing import source_key
 from linkloom.storage import broadcast_if_small, checkpointed, written
 
 #: ASCII white space, which separates words; and the symbols counted.
-BLANKS = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 
 #: Estimates of up to so many (language, source) groups, about 200 bytes each, are broadcast.
 BROADCAST_GROUPS = 50_000
@@ -71,8 +70,8 @@ def text_statistics(docs: DataFrame, text: Column) -> DataFrame:
     return staged.select(
         *docs.columns,
         F.col("__n").cast("long").alias("n_words"),
-        F.length(F.translate("__text", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("__text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce("__hits", F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("__lines").cast("long").alias("n_lines"),
