@@ -14,7 +14,7 @@ from linkloom.storage import broadcast_if_small, written
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Plans of up to so many documents, about 100 bytes each, are broadcast to carried columns.
+#: Plans of up to so many documents, two numbers each, are broadcast to carried columns.
 BROADCAST_ROWS = 500_000
 
 
@@ -129,7 +129,11 @@ def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_i
     )
     sources = written(source_targets(sized.groupBy("source_key").agg(F.sum("size").alias("source_size")), plan), "mix-sources")
     narrow = sized.select("doc_id", "source_key", "size", "__bucket", "__key", "__row")
-    placed = running_total(narrow, ["source_key"], "__bucket", ["__key", "doc_id", "size", "__row"], "size", "__start").join(sources, "source_key")
+    placed = running_total(narrow, ["source_key"], "__bucket", ["__key", "doc_id", "size", "__row"], "size", "__start").select("__row", "doc_id", "source_key", "size", "__start")
+    if carried:  # only a row's place on its tape meets its carried columns
+        whole = sized.select("__row", "doc_id", "source_key", "size", *(f"__carried_{c}" for c in carried))
+        placed = whole.join(broadcast_if_small(written(placed.select("__row", "__start"), "mix-plan"), BROADCAST_ROWS), "__row")
+    placed = placed.join(broadcast_if_small(sources, BROADCAST_ROWS), "source_key")
 
     def reading(i: int) -> Column:
         left = F.floor("target") - (F.col("source_size") * i + F.col("__start"))
@@ -140,11 +144,7 @@ def mix_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_i
         return F.when(reading(i) > 0, training_time(share, F.col("rank"), plan))
 
     every = F.array(*(F.struct(time(i).alias("time"), reading(i).alias("words")) for i in range(plan.most_repeats)))
-    mixed = placed.select("__row", "doc_id", "size", "source_size", "target", F.filter(every, lambda r: r["words"] > 0).alias("readings"))
-    if carried:  # only a row's readings meet its carried columns; what is its source's comes from the sources
-        whole = sized.select("__row", "doc_id", "size", "source_key", *(F.col(f"__carried_{c}").alias(f"__carried_{c}") for c in carried))
-        read = whole.join(broadcast_if_small(written(mixed.select("__row", "readings"), "mix-plan"), BROADCAST_ROWS), "__row")
-        mixed = read.join(broadcast_if_small(sources, BROADCAST_ROWS), "source_key")
+    mixed = placed.withColumn("readings", F.filter(every, lambda r: r["words"] > 0))
     taken = F.aggregate("readings", F.lit(0).cast("long"), lambda acc, r: acc + r["words"])
     mixed = mixed.select(
         "doc_id", "size", "source_size", "target", taken.alias("taken"), "readings", F.get("readings", 0)["time"].alias("position"), F.get("readings", 1)["time"].alias("repeat_position"),
