@@ -7,7 +7,7 @@ from linkloom.session import build_session
 def spark(tmp_path_factory):
     session = build_session(
         "tests", "local[8]",
-        spark__sql__shuffle__partitions="8",
+        spark__sql__shuffle__partitions="4",
         spark__driver__memory="6g",
         spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
     )
