@@ -32,12 +32,13 @@ class Shares:
     """What each node gives to those that it links, (src, dst, share), stored for every step.
 
     ``plain`` is bucketed by source. The links of ``hubs`` (ids with many) would make one bucket
-    that no reader splits, so they lie apart in ``crowded``, dealt by their targets.
+    that no reader splits, so they lie apart in ``crowded``, dealt by their targets, if there are
+    ``any``.
     """
 
     plain: DataFrame
-    crowded: DataFrame
-    hubs: DataFrame
+    crowded: DataFrame | None
+    hubs: DataFrame | None
     any: bool
     few: bool
 
@@ -50,21 +51,21 @@ def prepared(pairs: DataFrame, config: CrawlConfig = DEFAULT) -> Shares:
     degree = written(pairs.groupBy("src").agg(F.sum("n").alias("out_degree"), F.count("*").alias("targets")), "degree")
     hubs = degree.where(F.col("targets") > config.hub_links).select(F.col("src").alias("id"))
     shares = pairs.where(F.col("src") != F.col("dst")).join(degree, "src").select("src", "dst", (F.col("w") / F.col("out_degree")).alias("share"), (F.col("targets") > config.hub_links).alias("hub"))
-    crowded = written(shares.where("hub").drop("hub").repartition("dst"), "shares-of-hubs")
-    hubs = written(hubs, "hubs")
     n = hubs.limit(BROADCAST_HUBS + 1).count()
-    return Shares(bucketed(shares.where(~F.col("hub")).drop("hub"), "src", "shares"), crowded, hubs, n > 0, n <= BROADCAST_HUBS)
+    if not n:
+        return Shares(bucketed(shares.drop("hub"), "src", "shares"), None, None, False, True)
+    crowded = written(shares.where("hub").drop("hub").repartition("dst"), "shares-of-hubs")
+    return Shares(bucketed(shares.where(~F.col("hub")).drop("hub"), "src", "shares"), crowded, written(hubs, "hubs"), True, n <= BROADCAST_HUBS)
 
 
 def step(ids: DataFrame, shares: Shares, ranks: DataFrame, damping: float) -> DataFrame:
     """One Jacobi iteration: (1 - d) + d * sum(score * share)."""
     given = ranks.select(F.col("id").alias("src"), "score")
-    of_hubs = given.join(shares.hubs.select(F.col("id").alias("src")), "src")
-    of_hubs = F.broadcast(of_hubs) if shares.few else of_hubs
     sent = lambda links, scores: links.join(scores, "src").select(F.col("dst").alias("id"), (F.col("score") * F.col("share")).alias("part"))
     parts = sent(shares.plain, given)
     if shares.any:
-        parts = parts.unionByName(sent(shares.crowded, of_hubs))
+        of_hubs = given.join(shares.hubs.select(F.col("id").alias("src")), "src")
+        parts = parts.unionByName(sent(shares.crowded, F.broadcast(of_hubs) if shares.few else of_hubs))
     heard = parts.groupBy("id").agg(F.sum("part").alias("s"))
     return ids.join(heard, "id", "left").select("id", (F.lit(1 - damping) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("score"))
 
