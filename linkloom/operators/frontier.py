@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkloom.config import DEFAULT, CrawlConfig
 from linkloom.functions.hosts import host_in
 from linkloom.functions.urls import host_of, page_id
+from linkloom.operators.running import numbered_by_range
 
 
 def backoff(last_visited: Column, failed: Column) -> Column:
@@ -56,8 +57,10 @@ def capped(candidates: DataFrame, queue_len: int, config: CrawlConfig = DEFAULT)
     return candidates.orderBy(*order).limit(1).where("due")
 
 
-def with_positions(frontier: DataFrame) -> DataFrame:
-    """Queue positions from 0; at most the cap of rows, so one task numbers them."""
+def with_positions(frontier: DataFrame, bounded: bool = True) -> DataFrame:
+    """Queue positions from 0. At most the cap of rows are numbered by one task; unless ``bounded``, range partitions number their own."""
+    if not bounded:
+        return numbered_by_range(frontier, [F.desc("score"), F.col("id")], "pos")
     return frontier.withColumn("pos", (F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).cast("long"))
 
 
@@ -68,7 +71,11 @@ def admitted(urls: DataFrame, queued: DataFrame, config: CrawlConfig = DEFAULT)
     return fresh.groupBy("page_id").agg(F.min_by("url", "seq").alias("url"), F.min("seq").alias("seq"))
 
 
-def refreshed(ranks: DataFrame, pages: DataFrame, unvisited: DataFrame, busy: DataFrame, queue_len: int, now: datetime, config: CrawlConfig = DEFAULT) -> DataFrame:
-    """M6: the whole refresh. Bans apply after the cap, so banned URLs use up its slots."""
-    picked = capped(ranked_candidates(ranks, pages, unvisited, busy, now, config), queue_len, config)
-    return with_positions(picked.where(~host_in(host_of(F.col("url")), config.banned_hosts)))
+def refreshed(ranks: DataFrame, pages: DataFrame, unvisited: DataFrame, busy: DataFrame, queue_len: int | None, now: datetime, config: CrawlConfig = DEFAULT) -> DataFrame:
+    """M6: the whole refresh. Bans apply after the cap, so banned URLs use up its slots.
+
+    ``queue_len`` None asks for all due candidates, whatever a queue would hold.
+    """
+    found = ranked_candidates(ranks, pages, unvisited, busy, now, config)
+    picked = found.where("due") if queue_len is None else capped(found, queue_len, config)
+    return with_positions(picked.where(~host_in(host_of(F.col("url")), config.banned_hosts)), bounded=queue_len is not None)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.storage import written
+
 
 def numbered(rows: DataFrame, key: str, stretch: Column, order: list[str], out: str = "nth") -> DataFrame:
     """Adds ``out``: a row's number from 0 among those of its ``key``, by ``stretch`` and then ``order``.
@@ -18,3 +20,16 @@ def numbered(rows: DataFrame, key: str, stretch: Column, order: list[str], out:
     before = dealt.groupBy(key, "__stretch").agg(F.count("*").alias("__n")).select(key, "__stretch", F.coalesce(F.sum("__n").over(across), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy(key, "__stretch").orderBy(*order)) - 1
     return dealt.withColumn("__inside", inside).join(before, [key, "__stretch"]).withColumn(out, F.col("__before") + F.col("__inside")).drop("__stretch", "__before", "__inside")
+
+
+def numbered_by_range(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Adds ``out``: a row's number from 0 in ``order`` over all rows.
+
+    Rows are range-partitioned and stored; one count per partition gives each its offset, so no
+    task sorts more than its range. Ties in ``order`` are settled anyhow.
+    """
+    kept = written(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = kept.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return kept.withColumn("__inside", place).join(offsets, "__part").withColumn(out, (F.col("__before") + F.col("__inside")).cast("long")).drop("__part", "__before", "__inside")

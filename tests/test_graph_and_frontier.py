@@ -111,6 +111,16 @@ def test_bans_apply_after_the_cap(spark):
     assert [r.url for r in got.collect()] == ["http://b/"]
 
 
+def test_frontier_without_a_queue_is_whole(spark):
+    """More due candidates than the cap: all of them, numbered by score and id over several partitions."""
+    ids = spark.range(10_500).select(F.format_string("p%05d", "id").alias("id"), (F.lit(1.0) - F.floor(F.col("id") % 100) / 1000).alias("score"))
+    known = spark.createDataFrame([], "page_id string, url string, last_visited timestamp_ntz, failed long")
+    found = ids.select("id", F.concat(F.lit("http://"), "id", F.lit("/")).alias("url"))
+    got = frontier.refreshed(ids, known, found, spark.createDataFrame([], "id string"), None, NOW, CrawlConfig())
+    want = [r.id for r in ids.orderBy(F.desc("score"), "id").collect()]
+    assert [(r.pos, r.id) for r in got.orderBy("pos").collect()] == list(enumerate(want))
+
+
 def test_upsert_and_failures(spark):
     old = pages(spark, [("http://a/", ("a", ""), NOW - timedelta(days=3), 4, [button("http://b/")], [], "http://r/")])
     new = pages(spark, [("https://a", ("a", ""), NOW, 0, [], ["http://a/i"], "http://other/"), ("http://n/", ("n", ""), NOW, 0, [], [], None)])
