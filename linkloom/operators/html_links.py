@@ -5,6 +5,8 @@ Python only tokenises and resolves URLs; every rule is a native expression over
 
 from __future__ import annotations
 
+import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -18,47 +20,124 @@ from linkloom.functions.urls import clean_page_url, host_of, path_of, scheme_of
 TOKENS = (
     "struct<base: string,"
     "imgs: array<struct<pos:bigint,url:string,alt:string,title:string,width:string,height:string>>,"
-    "anchors: array<struct<pos:bigint,raw:string,url:string,img:bigint>>>"
+    "anchors: array<struct<pos:bigint,raw:string,url:string,img_url:string>>>"
 )
-_IMG = pa.struct([("pos", pa.int64()), *((n, pa.string()) for n in ("url", "alt", "title", "width", "height"))])
-_ANCHOR = pa.struct([("pos", pa.int64()), ("raw", pa.string()), ("url", pa.string()), ("img", pa.int64())])
+_IMG = ("pos", "url", "alt", "title", "width", "height")
+_ANCHOR = ("pos", "raw", "url", "img_url")
 
+#: A tag, without its ``<``, that every reader takes alike: attributes apart by white space, quoted or of plain characters.
+_TAG = re.compile(r"""(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n\r\f]+[a-zA-Z][-a-zA-Z0-9_]*(?:=(?:"[^"]*"|'[^']*'|[^\s"'<>=`/]+(?=[ \t\n\r\f>])))?)*)[ \t\n\r\f]*(/?)>""")
+_ATTRIBUTE = re.compile(r"""[ \t\n\r\f]+([a-zA-Z][-a-zA-Z0-9_]*)(?:=("[^"]*"|'[^']*'|[^ \t\n\r\f]+))?""")
+#: Elements whose content may be no markup, by this or a later version of the parser.
+_RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "plaintext", *HTMLParser.CDATA_CONTENT_ELEMENTS))
 
-class _Tokens(HTMLParser):
+
+class _Found:
     """Images and anchors in page order; an anchor ends where the next one starts, and the first of repeated attributes counts."""
 
     def __init__(self, base: str | None):
-        super().__init__(convert_charrefs=True)
-        self.base, self.imgs, self.anchors, self.open, self.hidden = base, [], [], None, None
-
-    def handle_starttag(self, tag, attrs):
-        if self.hidden:
-            return
+        self.base, self.imgs, self.anchors, self.open, self.hidden = base, [], [], None, False
+        self.joined: dict[str, str | None] = {}
+
+    def join(self, reference: str) -> str | None:
+        if reference not in self.joined:
+            self.joined[reference] = join(self.base, reference)
+        return self.joined[reference]
+
+    def made(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple | None:
+        """What a start tag stands for: its kind and the values that are kept of it."""
+        if tag == "template":
+            return (tag,)
+        if tag not in ("img", "image", "a"):
+            return None
         own = dict(reversed([(k, v or "") for k, v in attrs]))
-        if tag in ("template", "noscript"):
-            self.hidden = tag if tag == "template" else None
-        elif tag in ("img", "image"):
-            self.imgs.append({"pos": len(self.imgs), "url": join(self.base, own.get("src", "")), **{k: own.get(k) for k in ("alt", "title", "width", "height")}})
-            if self.open is not None and self.open["img"] is None:
-                self.open["img"] = len(self.imgs) - 1
-        elif tag == "a":
+        if tag == "a":
             raw = own.get("href")
-            self.open = {"pos": len(self.anchors), "raw": raw, "url": None if raw is None else join(self.base, raw), "img": None}
-            self.anchors.append(self.open)
+            return ("a", raw, None if raw is None else self.join(raw))
+        return ("img", self.join(own.get("src", "")), *(own.get(k) for k in ("alt", "title", "width", "height")))
 
-    def handle_endtag(self, tag):
-        if tag == self.hidden:
-            self.hidden = None
+    def start(self, made: tuple | None) -> None:
+        if self.hidden or made is None:
+            return
+        if made[0] == "a":
+            self.open = [*made[1:], None]  # the image's URL is added once
+            self.anchors.append(self.open)
+            self.first = True
+        elif made[0] == "img":
+            self.imgs.append(made[1:])
+            if self.open is not None and self.first:
+                self.open[2], self.first = made[1], False
+        else:
+            self.hidden = True
+
+    def end(self, tag: str) -> None:
+        if tag == "template" and self.hidden:
+            self.hidden = False
         elif tag == "a":
             self.open = None
 
 
-def tokenize(html: str | None, url: str | None) -> dict:
+class _Parser(HTMLParser):
+    """Any markup, by the standard parser."""
+
+    def __init__(self, found: _Found):
+        super().__init__(convert_charrefs=True)
+        self.found = found
+
+    def handle_starttag(self, tag, attrs):
+        self.found.start(self.found.made(tag, attrs))
+
+    def handle_endtag(self, tag):
+        self.found.end(tag)
+
+
+def _plain(html: str, found: _Found) -> bool:
+    """Tokens of a page of simple tags only, each different one read once; False as soon as a page isn't."""
+    seen: dict[str, tuple[bool, str | tuple | None]] = {}
+    parts = iter(html.split("<"))
+    next(parts)
+    for part in parts:
+        told = seen.get(part)
+        if told is None:
+            tag = _TAG.match(part)
+            if tag is None:
+                return False
+            name = tag[2].lower()
+            if name in _RAW or tag[1] and (tag[3] or tag[4]) or tag[4] and name in ("a", "template"):
+                return False
+            if tag[1]:
+                told = (True, name)
+            else:
+                attrs = [(k.lower(), unescape(v[1:-1] if v[:1] in ("'", '"') else v)) for k, v in _ATTRIBUTE.findall(tag[3])] if name in ("a", "img", "image") else []
+                told = (False, found.made(name, attrs))
+            seen[part] = told
+        if told[0]:
+            found.end(told[1])
+        elif told[1] is not None:
+            found.start(told[1])
+    return True
+
+
+def tokenize(html: str | None, url: str | None) -> _Found:
     base = join(None, url or "")
-    parser = _Tokens(base)
-    parser.feed(html or "")
-    parser.close()
-    return {"base": base, "imgs": parser.imgs, "anchors": parser.anchors}
+    found = _Found(base)
+    if not _plain(html or "", found):
+        found = _Found(base)
+        parser = _Parser(found)
+        parser.feed(html or "")
+        parser.close()
+    return found
+
+
+def _lists(pages: list[list], names: tuple[str, ...]) -> pa.Array:
+    """Lists of structs, put together by column; the first field is an item's place in its list."""
+    ends = [0]
+    for page in pages:
+        ends.append(ends[-1] + len(page))
+    columns = [[item[k] for page in pages for item in page] for k in range(len(names) - 1)]
+    places = pa.array([i for page in pages for i in range(len(page))], pa.int64())
+    items = pa.StructArray.from_arrays([places, *(pa.array(c, pa.string()) for c in columns)], list(names))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
 
 
 def tokens(html: Column, url: Column) -> Column:
@@ -66,8 +145,9 @@ def tokens(html: Column, url: Column) -> Column:
 
     @F.arrow_udf(TOKENS)
     def run(pages: pa.Array, urls: pa.Array) -> pa.Array:
-        out = [tokenize(h, u) for h, u in zip(pages.to_pylist(), urls.to_pylist(), strict=True)]
-        return pa.array(out, pa.struct([("base", pa.string()), ("imgs", pa.list_(_IMG)), ("anchors", pa.list_(_ANCHOR))]))
+        found = [tokenize(h.as_py(), u.as_py()) for h, u in zip(pages, urls, strict=True)]
+        bases = pa.array([f.base for f in found], pa.string())
+        return pa.StructArray.from_arrays([bases, _lists([f.imgs for f in found], _IMG), _lists([f.anchors for f in found], _ANCHOR)], ["base", "imgs", "anchors"])
 
     return run(html, url)
 
@@ -120,8 +200,7 @@ def extract(pages: DataFrame, config: CrawlConfig = DEFAULT) -> tuple[DataFrame,
 
     parsed = written(pages.select("page", tokens(F.col("html"), F.col("url")).alias("t")), "tokens")
     imgs = parsed.select("page", F.explode("t.imgs").alias("i")).select("page", "i.*")
-    anchors = parsed.select("page", F.col("t.base").alias("page_url"), F.posexplode("t.anchors").alias("__p", "a"), F.col("t.imgs").alias("imgs"))
-    anchors = anchors.select("page", "page_url", "a.pos", "a.raw", "a.url", F.get("imgs", F.col("a.img"))["url"].alias("img_url"))
+    anchors = parsed.select("page", F.col("t.base").alias("page_url"), F.explode("t.anchors").alias("a")).select("page", "page_url", "a.*")
     links = usable_anchors(anchors, config)
     candidates = anchored(accepted_images(imgs, config), links)
     return candidates, internal_links(links, candidates, config)

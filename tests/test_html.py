@@ -1,8 +1,10 @@
 """Extraction rules on literal pages; responses."""
 
+import random
+import time
 from datetime import datetime
 
-from linkloom.operators.html_links import extract
+from linkloom.operators.html_links import _Found, _Parser, _plain, extract
 from linkloom.operators.responses import page_rows
 
 PAGE = """<html><body>
@@ -40,6 +42,34 @@ def test_caps(spark):
     assert rows == {1: ["http://h.example" + long[0], *(f"http://h.example/l{i}" for i in range(7))]}
 
 
+def test_many_badges_of_one_page(spark):
+    """An anchor brings its own image's URL, not all images of its page along, which took the square of their number."""
+    n = 12_000
+    html = "".join(f'<a href="http://t{i}.example/"><img src="i{i}.gif" alt="{"a" * 100}"></a>' for i in range(n)) + '<a href="/in">x</a>'
+    began = time.monotonic()
+    candidates, internal = extract(spark.createDataFrame([(1, "http://h.example/", html)], "page int, url string, html string"))
+    got = {r.pos: (r.url, r.href) for r in candidates.collect()}
+    assert got == {i: (f"http://h.example/i{i}.gif", f"http://t{i}.example/") for i in range(n)}
+    assert internal.first().links == ["http://h.example/in"]
+    assert time.monotonic() - began < 60
+
+
+def test_plain_pages_are_read_as_by_the_parser():
+    rng, plain = random.Random(5), 0
+    bits = ["<a ", "<img ", "</a>", "</a x>", "<A HREF=", "href=", "src=", '"', "'", "/x", ">", "/>", " ", "y", "&amp;", "<template>", "</template>", "<noscript>", "<!--", "-->", 'alt="q"', "<script>", "</script>", "<image src=a>"]
+    bits += ['<img src="i.gif" alt>', '<a href="/p">', "<a href=p>", '<a href="p"/>', "<a href=p/>", "<img src=i SRC=j>", "\xa0", "<title>", "</A\t>"] * 3
+    for _ in range(5000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 12)))
+        quick, full = _Found("http://s.example/d/"), _Found("http://s.example/d/")
+        parser = _Parser(full)
+        parser.feed(html)
+        parser.close()
+        if _plain(html, quick):
+            plain += 1
+            assert (quick.imgs, quick.anchors) == (full.imgs, full.anchors), html
+    assert plain > 200
+
+
 def test_responses(spark):
     now = datetime(2024, 1, 1)
     html = {"content-type": "text/html"}
