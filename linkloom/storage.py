@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,18 +55,37 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+#: Plan nodes that pass on rows of a file as they are, where they came from included.
+_PASSING = ("Project", "Filter", "SubqueryAlias", "GlobalLimit", "LocalLimit")
+
+
+def _is_file_read(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in _PASSING:
+        plan = plan.children().apply(0)
+    return plan.getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in df.columns
+
+
 def stored_order(df: DataFrame) -> Column:
     """A whole number per row of ``df`` that grows along its rows, as stored.
 
-    Spark deals a folder's files to tasks by size. So if ``df`` is a Parquet folder as read, the
-    number is made of the task that wrote the file, the file's number among those of that task
-    and the row's place in it: the order of a sorted table outlives being written. Otherwise it
-    is the order in which the plan gives its rows.
+    Spark deals a folder's files to tasks by size. So if ``df`` reads a Parquet folder, with
+    columns or rows of it left out or columns added or not, the number is made of the task that
+    wrote the file, the file's number among those of that task and the row's place in it: the
+    order of a sorted table outlives being written. Files that do not all bear a task's number
+    are taken in the order of their names. Otherwise it is the order in which the plan gives its
+    rows.
     """
-    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or "_metadata" in df.columns:
+    if not _is_file_read(df):
         return F.monotonically_increasing_id()
+    names = sorted({f.rpartition("/")[2] for f in df.inputFiles()}, key=unquote)
     part = lambda p: F.coalesce(F.expr(f"try_cast(nullif(regexp_extract(_metadata.file_name, '{p}', 1), '') as bigint)"), F.lit(0))
-    return F.shiftleft(part("^part-([0-9]+)"), 43) + F.shiftleft(part("-c([0-9]+)[.]"), 33) + F.col("_metadata.row_index")
+    if all(re.match("part-[0-9]+", n) for n in names):
+        file = F.shiftleft(part("^part-([0-9]+)"), 43) + F.shiftleft(part("-c([0-9]+)[.]"), 33)
+    else:
+        place = lambda known: F.array_position(F.lit(known), F.col("_metadata.file_name"))
+        file = F.shiftleft(F.greatest(place(names), place([unquote(n) for n in names])), 43)  # names are given as in a URL or plain
+    return file + F.col("_metadata.row_index")
 
 
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
