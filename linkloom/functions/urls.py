@@ -77,7 +77,8 @@ def query_encoded(text: Column) -> Column:
 def clean_page_url(url: Column, config: CrawlConfig = DEFAULT) -> Column:
     """Tracking parameters, video links, fragment and explicit 80/443 ports cleaned up."""
     scheme, host, port, path = scheme_of(url), url_part(url, 2), url_part(url, 3), path_of(url)
-    query = drop_tracking(url_part(url, 5), config)
+    asked = url_part(url, 5)
+    query = F.when(asked == "", asked).otherwise(drop_tracking(asked, config))  # most have none, and pairs are costly
     video = query_encoded(form_decoded(F.regexp_extract(query, r"(?:^|&)v=([^&]*)", 1)))
     has_video = query.rlike(r"(?:^|&)v=")
     watch = (host == "www.youtube.com") & (path == "/watch") & has_video
